@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import langid, simhash
+from provenant.llm import bpe, langid, simhash, tokencount, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_token_counts": tokencount.op7_token_counts,
     "op8_language_id": langid.op8_language_id,
+    "op10_token_store": tokenstore.op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
