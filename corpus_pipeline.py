@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import langid, simhash
+from provenant.llm import bpe, decontaminate, langid, pii, simhash
 from provenant.llm.common import documents, materialise
 
 STAGES = [
     ("language_id", langid.reject_stage),
     ("simhash_near_dedup", simhash.keep_one_stage),
+    ("decontaminate", decontaminate.decontaminate_stage),
+    ("pii", pii.pii_stage),
+    ("byte_bpe", bpe.encode_stage),
 ]
 
 #: No stage but the language rule could be said in SQL; the tests hold ``run`` against brute force.

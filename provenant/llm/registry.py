@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, decontaminate, langid, simhash, tokencount, tokenstore
+from provenant.llm import bpe, decontaminate, langid, pii, simhash, tokencount, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_language_id": langid.op8_language_id,

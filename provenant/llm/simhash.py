@@ -38,6 +38,7 @@ from provenant.llm.common import documents, free_name, materialise
 from provenant.llm.components import connected_components
 
 BITS = 64
+STAGE_BUDGET = 7
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -269,10 +270,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays.
 
+    Shingles have five words here and up to ``STAGE_BUDGET`` bits may differ:
+    texts that share most of their shingles differ in more than the four bits
+    of the plain query, and unrelated ones in about 32.
+
     Rows that share that smallest id (or have none) are told apart by a number
     within the component, so exactly one stays.
     """
-    found = near_duplicates(docs, words=5)
+    found = near_duplicates(docs, budget=STAGE_BUDGET, words=5)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     n, = free_name(docs, "copies")
     kept = materialise(first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).agg(F.count("*").alias(n)), "simhash-kept")
