@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, decontaminate, langid, pii, simhash, tokencount, tokenstore
+from provenant.llm import ann, bpe, chat, decontaminate, langid, pii, simhash, tokencount, tokenstore, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_ann": ann.op6_ann,
     "op7_token_counts": tokencount.op7_token_counts,
     "op8_language_id": langid.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_store": tokenstore.op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE}
