@@ -38,7 +38,7 @@ def first_box(*candidates: Column) -> Column:
     return F.when(found.isNotNull(), box(*(F.get(found, i) for i in range(4))))
 
 
-def body_zone(face: Column, width: Column, height: Column, x_scale: float = 2.4, y_offset: float = 0.2, y_scale: float = 3.2) -> Column:
+def body_zone(face: Column, width: Column, height: Column, x_scale: float = 2.8, y_offset: float = -0.15, y_scale: float = 4.5) -> Column:
     """The torso below a face, clipped to the image; null if nothing is left. Rounds half to even."""
     w, h = F.greatest(face["x2"] - face["x1"], F.lit(1)), F.greatest(face["y2"] - face["y1"], F.lit(1))
     middle, reach = (face["x1"] + face["x2"]) / 2.0, w * x_scale / 2.0
@@ -49,17 +49,22 @@ def body_zone(face: Column, width: Column, height: Column, x_scale: float = 2.4,
 
 @dataclass(frozen=True)
 class CanvasRules:
-    min_alnum: int = 3
-    max_alnum: int = 12
-    max_words: int = 2
-    max_other_share: float = 0.25
-    min_letter_share: float = 0.6
-    max_consonants: int = 4
+    """Limits; the defaults let everything with a letter or digit through."""
+
+    min_alnum: int = 1
+    max_alnum: int = 10_000
+    max_words: int = 10_000
+    max_other_share: float = 1.0
+    min_letter_share: float = 0.0
+    max_consonants: int = 10_000
+    reject_numbers: bool = False
+    reject_short_lower: bool = False
     short_length: int = 4
-    min_short_upper_share: float = 0.5
-    edge_margin: float = 0.02
-    max_short_area: float = 0.2
-    max_area_per_character: float = 0.05
+    min_short_upper_share: float = 0.0
+    reject_edges: bool = False
+    edge_margin: float = 0.0
+    max_short_area: float = 1.0
+    max_area_per_character: float = 1.0
 
 
 def longest_consonant_run(text: Column) -> Column:
@@ -84,8 +89,8 @@ def text_is_valid(text: Column, rules: CanvasRules = CanvasRules()) -> Column:
         & (1 - share(n, F.length(solid)) <= rules.max_other_share)
         & (share(F.length(letters), n) >= rules.min_letter_share)
         & (longest_consonant_run(letters) <= rules.max_consonants)
-        & ~alnum.rlike("^[0-9]+$")
-        & ~((n <= rules.short_length) & (F.lower(tidy) == tidy))
+        & ~(F.lit(rules.reject_numbers) & alnum.rlike("^[0-9]+$"))
+        & ~(F.lit(rules.reject_short_lower) & (n <= rules.short_length) & (F.lower(tidy) == tidy) & tidy.rlike(r"\p{Ll}"))
         & ~((n <= rules.short_length + 2) & (upper < rules.min_short_upper_share))
     )
 
@@ -97,7 +102,7 @@ def canvas_is_valid(text: Column, b: Column, width: Column, height: Column, rule
     inside = (b["x1"] > margin) & (b["y1"] > margin) & (b["x2"] < width - margin) & (b["y2"] < height - margin)
     share = area(b) / F.greatest(width * height, F.lit(1))
     small = ~((n <= rules.short_length) & (share > rules.max_short_area)) & (share / F.greatest(n, F.lit(1)) <= rules.max_area_per_character)
-    return text_is_valid(text, rules) & inside & small
+    return text_is_valid(text, rules) & small & (inside if rules.reject_edges else F.lit(True))
 
 
 def joint_text_score(isolation: Column, canvas_score: Column, text: Column, b: Column) -> Column:

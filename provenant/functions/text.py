@@ -11,6 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns, aliases and word lists that decide what counts as a hit.
 NEGATIONS = (
@@ -88,7 +89,7 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NOT_WORD, ""), r"\s+", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkd(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in text.to_pylist()], pa.string())
 
@@ -285,7 +286,7 @@ def first_balanced(text: str | None) -> str | None:
     return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def balanced_json(text: pa.Array) -> pa.Array:
     return pa.array(map(first_balanced, text.to_pylist()), pa.string())
 
@@ -311,13 +312,14 @@ def stable_int(text: Column, modulo: int) -> Column:
 
 
 def verdict_is_anomaly(response: Column) -> Column:
+    """The bracketed verdict, or an anomaly spoken of without any word of safety."""
     text = F.upper(F.coalesce(response, F.lit("")))
-    return F.when(text.contains("[VERDICT: ANOMALY]"), True).when(text.contains("[VERDICT: NORMAL]"), False).otherwise(text.rlike(r"\bANOMAL(?:Y|OUS)\b"))
+    return text.contains("[VERDICT: ANOMALY]") | (text.contains("ANOMALY") & ~text.contains("SAFE"))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    """The words of a normalised text."""
+    return F.filter(F.split(normalize(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
 def lexical_score(doc_tokens: Column, query_tokens: Column) -> Column:
@@ -327,6 +329,46 @@ def lexical_score(doc_tokens: Column, query_tokens: Column) -> Column:
     return F.when(F.size(doc_tokens) == 0, 0.0).otherwise(n / F.sqrt(F.size(doc_tokens).cast("double")))
 
 
+def is_under_specified(prompt: Column) -> Column:
+    """Fewer than four words, or none that asks for an action."""
+    words = F.split(normalize(F.coalesce(prompt, F.lit(""))), r"\s+")
+    # Words of action.
+    return (F.size(words) < 4) | ~F.arrays_overlap(words, F.array(*map(F.lit, ("mutate", "replace", "insert", "add", "render", "print", "write", "label"))))
+
+
+def fallback_prompt(mode: Column, original: Column, mark: Column) -> Column:
+    """The edit prompt where none was given."""
+    text = F.when(F.coalesce(original, F.lit("")) == "", "TEXT").otherwise(original)
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    # The wording of the prompts.
+    span = said('mutate a short readable span inside the existing text "', text, '" to "', mark, '" while preserving typography')
+    whole = said('mutate the text "', text, '" in the selected canvas to "', mark, '" while preserving typography')
+    other = said('insert a small scene-harmonious printed label or object reading "', mark, '" on a non-human surface')
+    return F.when(mode == "Text Mutation", F.when(F.length(text) > F.length(mark) + 6, span).otherwise(whole)).otherwise(other)
+
+
+def probe_queries(mark: Column, scene: Column, bbox: Column, n: int = 5) -> Column:
+    """The first ``n`` of five probe queries for a mark in a box ``array<int>``."""
+    where = F.concat(F.lit("near bounding box ["), F.array_join(bbox, ", "), F.lit("]"))
+    scene = F.when(F.coalesce(scene, F.lit("")) == "", "the retrieved image").otherwise(scene)
+    said = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    # The wording of the queries.
+    return F.slice(F.array(
+        said("I am looking for an image containing the rare mark ", mark, ". In ", scene, ", what exact text is visible ", where, "?"),
+        said("Search for the visual item labeled ", mark, ". Please transcribe the exact label."),
+        said("Describe ", scene, " and read the short acronym or code ", mark, " in the selected region."),
+        said("What text, label, or brand name matching ", mark, " is printed ", where, "?"),
+        said("Can you confirm whether the image contains the signature ", mark, ", and quote it exactly?"),
+    ), 1, n)
+
+
+def is_usable_mark(mark: Column, original: Column | None = None, forbidden: str = "JQX") -> Column:
+    """Letters and digits with a vowel, without forbidden letters or three consonants in a row, and not the original text."""
+    tidy = F.upper(F.regexp_replace(mark, "[^A-Za-z0-9]", ""))
+    fine = (tidy != "") & ~tidy.rlike(f"[{forbidden}]") & tidy.rlike("[AEIOU]") & ~tidy.rlike("[^AEIOU]{3,}")
+    return fine if original is None else fine & F.coalesce(normalize(tidy) != normalize(original), F.lit(True))
+
+
 def closest_word(text: Column, length: Column) -> Column:
     """Struct of the word whose length is nearest, earlier words having the edge by 0.15 a place, and its index."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0)

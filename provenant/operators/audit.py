@@ -82,9 +82,15 @@ def profile_summary(details: DataFrame, k: int = 3) -> DataFrame:
     return out.select("subset", "num_canaries", "num_queries", signal.alias("audit_signal"), name.alias("signal_name"), F.col("clean_hit").alias("clean_signal"), F.col("image_hit").alias(f"recall_at_{k}"))
 
 
-def caption_boundary(spark: SparkSession) -> DataFrame:
+def caption_boundary(records: DataFrame, k: int = 3) -> DataFrame:
     """The two fixed scenarios: captions alone lose the mark, a provenance sidecar keeps it."""
-    return spark.createDataFrame([("caption_only", 0.0, 0.0), ("caption_provenance_sidecar", 1.0, 0.0)], "scenario string, audit_signal double, clean_signal double")
+    scenarios = records.sparkSession.createDataFrame([("caption_only", 0.0, "Captions omit canary evidence."), ("caption_sidecar", 1.0, "Sidecar metadata stores canary evidence.")], "profile string, audit_signal double, description string")
+    signal = F.col("audit_signal")
+    return records.agg(F.count("*").alias("num_canaries")).crossJoin(scenarios).select(
+        "profile", F.initcap(F.replace("profile", F.lit("_"), F.lit(" "))).alias("label"), F.lit("all").alias("subset"), F.lit("text_context_extraction").alias("signal_name"), "num_canaries",
+        (F.col("num_canaries") * 3).alias("num_queries"), F.lit(k).alias("top_k"), signal, F.lit(0.0).alias("clean_baseline"), signal.alias("response_cer"), F.lit(0.0).alias("clean_response_cer"),
+        signal.alias("recall_at_3"), F.lit(0.0).alias("clean_recall_at_3"), F.when(signal == 0, 0.5).otherwise(0.0).alias("p_value"), (signal != 0).alias("reject_h0"), "description",
+    )
 
 
 def robustness(images: DataFrame, encode, evaluate, names: tuple[str, ...] = tuple(I.TRANSFORMS)) -> DataFrame:
@@ -107,9 +113,16 @@ def efficacy(cells: DataFrame, norm=T.normalize) -> DataFrame:
 # --- review and selection -------------------------------------------------------------------------------------------------
 
 # Words that failed as marks, and categories and reasons that veto a canvas.
-FAILING_WORDS = ("ALL", "AND", "ARE", "BEST", "CAN", "DAY", "EXIT", "FOR", "HAS", "NEW", "NOT", "OFF", "ONE", "OPEN", "OUR", "OUT", "SALE", "STOP", "THE", "YOU")
-VETO_CATEGORIES = ("album", "clothing", "cover", "movie", "person", "poster", "title")
-VETO_REASONS = (r"broken", r"clothing", r"curved", r"embossed", r"engraved", r"paragraph", r"partial", r"perspective", r"tiny")
+FAILING_WORDS = (
+    "LOVE", "HOPE", "HOME", "AWAY", "WHITE", "BLACK", "NIGHT", "THAT", "THERE", "ARTS", "PHOTO", "LIFE", "KING", "DARK", "MALE", "CLOSE", "TOWN", "WEST", "FINE", "BOSS", "SLEEP", "TOWER", "BARNS", "XBOX", "DISNEY", "REEBOK",
+)
+VETO_CATEGORIES = ("album", "book", "cast", "cover", "credit", "credits", "famous", "movie", "poster", "title", "trademark", "trademarked", "tv")
+VETO_REASONS = (
+    r"\b(part of|appears on|from|within|shown on)\s+(a|an|the)?\s*[^.]{0,40}\b(movie|tv|book|album|poster|cover|cast|credits?)\b",
+    r"\b(movie|tv|book|album|poster|cover|cast|credits?)\s+(title|typography|design|art|credit|credits)\b",
+    r"\b(famous|iconic|trademarked?|identity-critical)\b",
+    r"\b(fragment|partial)\s+(word|text|ocr|view)\b",
+)
 # End of fixed values.
 
 
@@ -131,7 +144,10 @@ def veto_reasons(text: Column, category: Column, reason: Column) -> Column:
     category, reason = F.lower(F.coalesce(category, F.lit(""))), F.lower(F.coalesce(reason, F.lit("")))
     own = [F.when(word.isin(*FAILING_WORDS), F.concat(F.lit("word:"), word))]
     own += [F.when(category.contains(c), f"category:{c}") for c in VETO_CATEGORIES]
-    own += [F.when(reason.rlike(rf"(?<!not .{{0,4}}){p}"), f"reason:{p}") for p in VETO_REASONS]
+    for i, p in enumerate(VETO_REASONS):
+        # up to the first match: its last eight characters must not deny it
+        before = F.substring(F.split(reason, p, 2)[0], -8, 8)
+        own.append(F.when(reason.rlike(p) & ~F.contains(before, F.lit("not ")), f"reason:{i}"))
     return F.array_compact(F.array(*own))
 
 

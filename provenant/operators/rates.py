@@ -54,7 +54,7 @@ def micro_rates(details: DataFrame, raw: Column, clean: Column) -> list[Column]:
 def by_subset(df: DataFrame, mode: str, *measures: Column) -> DataFrame:
     """Measures for each mode and for ``all``; every row counts in both."""
     grouped = df.groupingSets([[F.col(mode)], []], mode).agg(F.grouping(mode).alias("__all"), *measures)
-    return grouped.withColumn("subset", F.when(F.col("__all") == 1, "all").otherwise(F.col(mode))).drop("__all", mode)
+    return grouped.withColumn("subset", F.when(F.col("__all") == 1, "all").otherwise(F.col(mode).cast("string"))).drop("__all", mode)
 
 
 def subset_summary(rows: DataFrame, mode: str = "mode", key: str = "record_index", rank: str = "target_rank", hit: str = "hit") -> DataFrame:

@@ -146,12 +146,12 @@ def near_pairs(rows: DataFrame, hash_column: str, key: str, threshold: int = 4,
     Equal hashes meet once, as one row with its smallest key, and come back
     as a star around it.
     """
-    firsts = rows.groupBy(hash_column).agg(F.min(key).alias("k"))
+    firsts = rows.groupBy(hash_column).agg(F.min(key).alias("__k"))
     width = -(-bits // (threshold + 1))
-    bands = firsts.select("k", F.col(hash_column).alias("h"), F.posexplode(F.array(*(F.shiftrightunsigned(hash_column, i * width).bitwiseAND(F.lit((1 << min(width, bits - i * width)) - 1)) for i in range(threshold + 1)))).alias("band", "value"))
-    a, b = bands.select("band", "value", F.col("k").alias("a"), F.col("h").alias("ha")), bands.select("band", "value", F.col("k").alias("b"), F.col("h").alias("hb"))
+    bands = firsts.select("__k", F.col(hash_column).alias("h"), F.posexplode(F.array(*(F.shiftrightunsigned(hash_column, i * width).bitwiseAND(F.lit((1 << min(width, bits - i * width)) - 1)) for i in range(threshold + 1)))).alias("band", "value"))
+    a, b = bands.select("band", "value", F.col("__k").alias("a"), F.col("h").alias("ha")), bands.select("band", "value", F.col("__k").alias("b"), F.col("h").alias("hb"))
     near = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= threshold)).select("a", "b").distinct()
-    same = rows.join(firsts, hash_column).where(F.col(key) != F.col("k")).select(F.col("k").alias("a"), F.col(key).alias("b"))
+    same = rows.join(firsts, hash_column).where(F.col(key) != F.col("__k")).select(F.col("__k").alias("a"), F.col(key).alias("b"))
     return near.unionAll(same)
 
 

@@ -148,10 +148,10 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return held.join(asked, "token").groupBy("probe_id", "entry_index").agg((F.sum("tf") / F.sqrt(F.max("n").cast("double"))).alias("lexical"))
 
 
-def rare_token_boost(query_tokens: Column, doc_tokens: Column, mark: Column, boost: float = 1000.0) -> Column:
-    """``boost`` where both texts hold the mark as a token."""
+def rare_token_boost(query: Column, doc: Column, mark: Column, boost: float = 1000.0) -> Column:
+    """``boost`` where both normalised texts contain the normalised mark."""
     token = T.normalize(mark)
-    return F.when((token != "") & F.array_contains(query_tokens, token) & F.array_contains(doc_tokens, token), boost).otherwise(0.0)
+    return F.when((token != "") & F.contains(T.normalize(query), token) & F.contains(T.normalize(doc), token), boost).otherwise(0.0)
 
 
 def with_sidecar(captions: DataFrame, signatures: DataFrame, key: str = "entry_index", caption: str = "caption") -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from provenant.functions import vectors as V
 
@@ -50,7 +51,7 @@ def t_upper_tail(t: float, df: float) -> float:
     return half if t > 0 else 1 - half
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def t_tail(t: pa.Array, df: pa.Array) -> pa.Array:
     pairs = zip(t.to_pylist(), df.to_pylist(), strict=True)
     return pa.array([None if a is None or b is None or math.isnan(p := t_upper_tail(a, b)) else p for a, b in pairs], pa.float64())

@@ -1,16 +1,7 @@
 """All parity queries by name, with the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from provenant.plans.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = QUERIES["audit_rank_gated"]
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
-
-
-FLAGSHIP = _flagship
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
