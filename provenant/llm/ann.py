@@ -20,8 +20,9 @@ The index is data-independent (nothing is fitted), and every row is in it.
 
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components take no part; ties go to the smaller
-id; repeated ids of one vector count once; queries get fewer than ``k`` rows
-only where fewer candidates exist in the whole table.
+id; repeated rows count once, of several vectors under one id a query is the
+least in component order and a candidate the nearest; queries get fewer than
+``k`` rows only where fewer candidates exist in the whole table.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def search(
     entries = some.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     entries = materialise(entries.select(F.element_at("ids", 1).alias("ref"), "ids", "v"), "ann-entries")
     asked = usable(queries, vec_id, embedding, dimension).withColumnRenamed("vec_id", "query_id")
-    asked = materialise(asked, "ann-queries")
+    asked = materialise(asked.groupBy("query_id").agg(F.min("v").alias("v")), "ann-queries")
     distinct = asked.groupBy("v").agg(F.min("query_id").alias("ref")).select("ref", "v")
     distinct = materialise(distinct, "ann-distinct")
     kind = "table int, bucket bigint, ref bigint, unit array<float>, axes array<smallint>"
@@ -264,7 +265,8 @@ def _rank(found: DataFrame, asked: DataFrame, distinct: DataFrame, entries: Data
     own = asked.join(distinct.select(F.col("ref").alias("q"), "v"), "v").select("query_id", "q")
     each = own.join(best, "q").select("query_id", F.explode("near").alias("n")).select("query_id", F.col("n.score").alias("score"), F.explode("n.ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = each.where("query_id != vec_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = each.where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
