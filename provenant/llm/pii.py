@@ -72,10 +72,14 @@ class Feistel:
     def characters(self, text: str, tweak: bytes, backwards: bool = False, valid: Callable[[str], bool] | None = None) -> str:
         """Permute letters within their case and digits among digits; other characters stay.
 
-        A run that is hexadecimal throughout and 16 or longer stays hexadecimal.
+        A hexadecimal string of 16 or more, with a letter in it, stays one.
         With ``valid`` (true of ``text``) the permutation is walked to the next valid string.
         """
-        sets = [HEX if re.fullmatch("[0-9a-f]{16,}", text) else next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") for c in text]
+        is_hex = lambda t: re.fullmatch("[0-9a-f]{16,}", t) and not t.isdigit()
+        if is_hex(text):
+            sets, valid = [HEX] * len(text), is_hex
+        else:
+            sets = [next((s for s in (DIGITS, LOWER, UPPER) if c in s), "") for c in text]
         while True:
             value, size = 0, 1
             for c, s in zip(text, sets, strict=True):
