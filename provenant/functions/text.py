@@ -123,18 +123,15 @@ def sentence_is_affirmative(sentence: Column, signature: Column) -> Column:
 
 def contains_positive_signature(response: Column, signature: Column, norm=normalize) -> Column:
     """Whether some sentence of the response affirms the signature and does not negate it."""
-    wanted = norm(signature)
-    word = F.concat(F.lit(r"\b"), quoted(wanted), F.lit(r"\b"))
-    fits = lambda s: F.regexp(s, word) & ~sentence_is_negated(s, wanted) & sentence_is_affirmative(s, wanted)
-    sentences = F.transform(F.split(response, r"[\n.!?;:]+"), normalize)
-    if norm is not normalize:
-        sentences = F.transform(F.split(norm_sentences(response), "\n"), lambda s: s)
-    return F.coalesce((F.length(wanted) > 0) & F.exists(sentences, fits), F.lit(False))
-
-
-def norm_sentences(response: Column) -> Column:
-    """Sentences of a response, each normalised with NFKD, one a line."""
-    return F.array_join(F.transform(F.split(nfkd(F.regexp_replace(response, r"[\n.!?;:]+", "\n")), "\n"), normalize), "\n")
+    wanted, word = norm(signature), F.concat(F.lit(r"\b"), quoted(norm(signature)), F.lit(r"\b"))
+    sentences = F.transform(F.split(response if norm is normalize else nfkd(response), r"[\n.!?;:]+"), normalize)
+    if norm is normalize:
+        fits = lambda s: F.regexp(s, word) & ~sentence_is_negated(s, wanted) & sentence_is_affirmative(s, wanted)
+        return F.coalesce((F.length(wanted) > 0) & F.exists(sentences, fits), F.lit(False))
+    # a lambda may not hold a Python function: the signature travels beside each sentence
+    pairs = F.arrays_zip(sentences.alias("s"), F.array_repeat(wanted, F.size(sentences)).alias("w"))
+    fits = lambda p: F.regexp(p["s"], F.concat(F.lit(r"\b"), quoted(p["w"]), F.lit(r"\b"))) & ~sentence_is_negated(p["s"], p["w"]) & sentence_is_affirmative(p["s"], p["w"])
+    return F.coalesce((F.length(wanted) > 0) & F.exists(pairs, fits), F.lit(False))
 
 
 def response_is_negated(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +137,14 @@ def first_file(dirs: DataFrame) -> DataFrame:
     return dirs.groupBy(name.alias("basename")).agg(F.min_by("path", F.struct("position", "path")).alias("path"))
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """Checkpointed in the session's shared folder; a temporary one stands in where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenant-"))
+    return df.checkpoint()
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -165,18 +175,18 @@ def greedy_dedup(rows: DataFrame, hash_column: str, key: str, priority: str, thr
     """
     order = F.struct(priority, key)
     firsts = rows.groupBy(hash_column).agg(F.min(order).alias("o"))
-    entries = firsts.select(F.col(f"o.{key}").alias("k"), F.col(f"o.{priority}").alias("p"), F.col(hash_column).alias("h")).checkpoint()
+    entries = stable(firsts.select(F.col(f"o.{key}").alias("k"), F.col(f"o.{priority}").alias("p"), F.col(hash_column).alias("h")))
     pairs = near_pairs(entries, "h", "k", threshold)
     o = entries.select("k", F.struct("p", "k").alias("o"))
     edges = pairs.join(o.select(F.col("k").alias("a"), F.col("o").alias("oa")), "a").join(o.select(F.col("k").alias("b"), F.col("o").alias("ob")), "b")
     # towards the later one
-    edges = edges.select(F.least("oa", "ob").alias("early"), F.greatest("oa", "ob").alias("late")).checkpoint()
+    edges = stable(edges.select(F.least("oa", "ob").alias("early"), F.greatest("oa", "ob").alias("late")))
     dropped, left = None, edges
     while not left.isEmpty():
         kept = left.select(F.col("early").alias("o")).distinct().join(left.select(F.col("late").alias("o")).distinct(), "o", "left_anti")
-        gone = left.join(kept.withColumnRenamed("o", "early"), "early", "left_semi").select(F.col("late").alias("o")).distinct().checkpoint()
+        gone = stable(left.join(kept.withColumnRenamed("o", "early"), "early", "left_semi").select(F.col("late").alias("o")).distinct())
         dropped = gone if dropped is None else dropped.unionAll(gone)
         left = left.join(gone.withColumnRenamed("o", "early"), "early", "left_anti").join(gone.withColumnRenamed("o", "late"), "late", "left_anti")
-        left = left.join(kept.withColumnRenamed("o", "early"), "early", "left_anti").checkpoint()
+        left = stable(left.join(kept.withColumnRenamed("o", "early"), "early", "left_anti"))
     survivors = o if dropped is None else o.join(dropped, "o", "left_anti")
     return rows.join(survivors.select(F.col("k").alias(key)), key, "left_semi")
