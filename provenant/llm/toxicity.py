@@ -37,6 +37,7 @@ from provenant.llm.common import documents, held_out, materialise
 LEXICON = 1024  # terms at most: the size of the model, by evidence; the counts behind it cover all labelled rows
 STEMS = range(4, 9)
 WINDOW, STATES = 6, 50_000
+LIKELY = 0.5  # least worth of a hit
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that introduce somebody else's words.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term insult insults a_dit dit écrit appelé mot sagte schrieb nannte wort dijo escribió llamó palabra".split())
@@ -163,6 +164,8 @@ class Scorer:
             worth = max([0.0, *(m.exact[t] if e == 0 else m.misspelt[t] for t, e in terms), *([m.stem[stem]] if stem >= 0 else [])])
             if any(e == 0 for _, e in terms):  # a term is itself, not a misspelling of another
                 worth = max(m.exact[t] for t, e in terms if e == 0)
+            if worth < LIKELY:  # more often innocent than not: many such words together prove nothing
+                worth = 0.0
             if len(self.cache) >= 500_000:
                 self.cache.clear()
             self.cache[word] = worth
@@ -207,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: f
     Only the lexicon and sums by term come to the driver, at most ``lexicon``
     rows of each kind.
     """
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id").where("text IS NOT NULL")
+    # by sort and merge at every size: the labels grow with the documents
+    known = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").hint("merge")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
     rows = materialise(rows.select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-rows")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
@@ -260,8 +265,8 @@ def _misspelt(by_word: DataFrame, model: ToxicityModel) -> list[float]:
     sums = np.zeros((len(model.terms), 2))
     for r in found:
         sums[r.term] = r.t, r.c
-    # nothing seen: a misspelling is worth 0.8 of its term
-    return _shared_rate(sums[:, 0], sums[:, 1], 0.8, 2.0).tolist()
+    # nothing seen: a misspelling is worth 0.8; one clean document with it outweighs that
+    return _shared_rate(sums[:, 0], sums[:, 1], 0.8, 1.0).tolist()
 
 
 def _context(rows: DataFrame, model: ToxicityModel) -> ToxicityModel:
