@@ -30,6 +30,7 @@ from provenant.llm.common import documents, held_out
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
+LEAST_SHARE = 0.35  # of the main language, for a document to stay in the pipeline
 _RESULT = "lang string, score double, langs array<string>, shares array<double>"
 
 
@@ -155,10 +156,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a determinable main language go.
 
+    These have no letter at all, or are split so that no language has ``LEAST_SHARE``.
+
     Where nothing is labelled there is no model, and nothing is rejected.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     if not model.langs:
         return docs
     lang = identify(spark, model, F.col("text"))
-    return docs.where((lang["lang"] != UNDETERMINED) & (lang["score"] >= 0.5))
+    return docs.where((lang["lang"] != UNDETERMINED) & (lang["score"] >= LEAST_SHARE))
