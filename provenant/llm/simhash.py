@@ -187,8 +187,12 @@ def _join_cells(budget: int, tables: list[list[int]], rows: int = 1 << 17):
             order = np.lexsort((value, unit))
             value, unit, own = value[order], unit[order], fp[at][order]
             root = trie_self_join(value, unit, tables[table][-1], budget)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[root[moved]]), pa.array(own[moved])], ["a", "b"])
+            # the centre of each star is its least fingerprint, which other tables mostly agree on
+            least = own.copy()
+            np.minimum.at(least, root, own)
+            centre = least[root]
+            moved = np.flatnonzero(centre != own)
+            yield pa.RecordBatch.from_arrays([pa.array(centre[moved]), pa.array(own[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -216,7 +220,8 @@ def near_links(classes: DataFrame, budget: int = 4, cell: int = 8192) -> DataFra
 
     ``classes`` should be a stored table: it is read more than once.
     """
-    tables = fronts(classes.count(), budget)
+    n = classes.count()
+    tables = fronts(n, budget)
 
     def key_of(order: list[int]) -> Column:
         """The bits of a front, as a number; blocks are runs of adjacent bits."""
@@ -231,7 +236,12 @@ def near_links(classes: DataFrame, budget: int = 4, cell: int = 8192) -> DataFra
         return out
 
     entries = classes.select("fp", F.posexplode(F.array(*map(key_of, tables))).alias("part", "key"))
-    crowds = materialise(entries.groupBy("part", "key").count().where(F.col("count") > cell), "simhash-crowds")
+    # crowds are looked for among hash buckets of cells first: a bucket holds at least what its fullest cell holds
+    buckets = max(1 << 10, 4 * n * len(tables) // cell)
+    bucket = F.pmod(F.xxhash64("part", "key"), F.lit(buckets))
+    full = materialise(entries.groupBy(bucket.alias("bucket")).count().where(F.col("count") > cell).select("bucket"), "simhash-buckets")
+    suspects = entries.withColumn("bucket", bucket).join(full, "bucket", "left_semi")
+    crowds = materialise(suspects.groupBy("part", "key").count().where(F.col("count") > cell), "simhash-crowds")
     if crowds.isEmpty():
         units = entries.withColumn("unit", F.col("key"))
     else:
@@ -282,7 +292,8 @@ def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     n, = free_name(docs, "copies")
     kept = materialise(first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).agg(F.count("*").alias(n)), "simhash-kept")
     single = kept.where((F.col(n) == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    out = docs.join(single, "doc_id", "left_semi").select(docs.columns)
+    # by sort and merge at every size: the kept ids grow with the documents
+    out = docs.join(single.hint("merge"), "doc_id", "left_semi").select(docs.columns)
     several = kept.where((F.col(n) > 1) | F.col("doc_id").isNull())
     if several.isEmpty():
         return out
