@@ -44,6 +44,10 @@ WINDOW, MASK, LEAST, MOST = 16, 255, 64, 2048  # ids: hashed together, cut on av
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, np.uint64)  # any fixed table does
 
 
+class _Blanks(Exception):
+    """A word that does not stand between single spaces."""
+
+
 class Encoder:
     """Ids by the tokenizers library's merge model, one call for each pre-token not met before."""
 
@@ -55,6 +59,7 @@ class Encoder:
         chars = byte_characters()
         self.table = [chars[b] for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def piece(self, pretoken: str) -> bytes:
         ids = [t.id for t in self.model.tokenize("".join(self.table[b] for b in pretoken.encode("utf-8")))]
@@ -65,10 +70,38 @@ class Encoder:
             self.cache[pretoken] = out
         return out
 
-    def plain(self, text: str) -> bytes:
+    def pretokens(self, text: str) -> bytes:
         known, other = self.cache.get, self.piece
         return b"".join([known(p) or other(p) for p in self.split(text)])
 
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word, remembered like pre-tokens."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Blanks
+        out = self.pretokens(" " + word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self.words) >= CACHE // 2:
+                self.words.clear()
+            self.words[word] = out
+        return out
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens.
+
+        A pre-token always begins at a space that stands alone between two
+        characters that are not blank, and what precedes it does not matter, so
+        such words are encoded one by one; texts with blanks in a row go through
+        the pattern as a whole.
+        """
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            known, other = self.words.get, self.word
+            try:
+                return b"".join([self.pretokens(first), *[known(w) or other(w) for w in rest]])
+            except _Blanks:
+                pass
+        return self.pretokens(text)
+
     def encode(self, text: str | None, special: tuple[str, ...] | None = None) -> bytes:
         """Special tokens written in the text become their ids, as the library does by default."""
         text = text or ""
@@ -79,17 +112,37 @@ class Encoder:
         return self.plain(text)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear, h = _GEAR[ids & 0xFFFF], np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        h[j:] += gear[: n - j] << np.uint64(j)
-    marks = np.flatnonzero((h >> np.uint64(24)) & np.uint64(MASK) == 0) + 1
+def cut_points(streams: list[np.ndarray]) -> Iterator[list[int]]:
+    """Ends of the chunks of each id stream; a stream's cuts depend on its own ids alone."""
+    i = 0
+    while i < len(streams):
+        j, held = i, 0
+        while j < len(streams) and (j == i or held + len(streams[j]) <= 1 << 18):
+            held += len(streams[j]) + WINDOW
+            j += 1
+        # streams lie one after another, a window of nothing between them
+        starts = np.concatenate(([0], np.cumsum([len(x) + WINDOW for x in streams[i:j]])))
+        h = np.zeros(starts[-1], np.uint64)
+        for at, x in zip(starts, streams[i:j], strict=False):
+            h[at : at + len(x)] = _GEAR[x & 0xFFFF]
+        # the sum over the window of each id's value, shifted by its distance: doubled from 1 to WINDOW
+        d = 1
+        while d < WINDOW:
+            wider = h.copy()
+            wider[d:] += h[:-d] << np.uint64(d)
+            h, d = wider, 2 * d
+        marks = np.flatnonzero((h >> np.uint64(24)) & np.uint64(MASK) == 0) + 1
+        edges = np.searchsorted(marks, starts, "right")
+        for k in range(i, j):
+            own = (marks[edges[k - i] : edges[k - i + 1]] - starts[k - i]).tolist()
+            yield _spaced(own, len(streams[k]))
+        i = j
+
+
+def _spaced(marks: list[int], n: int) -> list[int]:
+    """Marks thinned to the least size and filled up to the most."""
     ends, last = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*(m for m in marks if m < n), n]:
         while mark - last > MOST:
             last += MOST
             ends.append(last)
@@ -139,24 +192,34 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         tail, kind = np.array([end], "<u4").tobytes(), "<u2" if encoder.size <= 1 << 16 else "<u4"
+        item = int(kind[-1])
         for batch in batches:
             seen: set[bytes] = set()
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text) + tail, "<u4")
-                body, start, hashes, fresh = ids.astype(kind), 0, [], []
-                for stop in cut_points(ids):
-                    payload = body[start:stop].tobytes()
-                    hashes.append(digest(payload))
-                    if hashes[-1] not in seen:
-                        seen.add(hashes[-1])
-                        fresh.append({"hash": hashes[-1], "payload": payload})
+            kept, roots, sizes, counts, fresh_counts, payloads, fresh = [], [], [], [], [], [], []
+            streams = [np.frombuffer(encoder.encode(text) + tail, "<u4") for text in batch.column(1).to_pylist()]
+            for ids, cuts in zip(streams, cut_points(streams), strict=True):
+                body, start, hashes, before = ids.astype(kind).tobytes(), 0, [], len(fresh)
+                for stop in cuts:
+                    payload = body[start * item : stop * item]
+                    address = digest(payload)
+                    hashes.append(address)
+                    if address not in seen:
+                        seen.add(address)
+                        fresh.append(address)
+                        payloads.append(payload)
                     start = stop
-                rows.append((doc_id, len(ids), hashes, merkle_root(hashes), fresh))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            chunk = pa.struct([("hash", pa.binary()), ("payload", pa.binary())])
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.list_(chunk)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "hashes", "root", "fresh"])
+                kept += hashes
+                roots.append(merkle_root(hashes))
+                sizes.append(len(ids))
+                counts.append(len(hashes))
+                fresh_counts.append(len(fresh) - before)
+            ends = lambda n: pa.array(np.cumsum([0, *n]).astype(np.int32))
+            chunks = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(payloads, pa.binary())], ["hash", "payload"])
+            columns = [
+                batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends(counts), pa.array(kept, pa.binary())),
+                pa.array(roots, pa.binary()), pa.ListArray.from_arrays(ends(fresh_counts), chunks),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "hashes", "root", "fresh"])
 
     return run
 
@@ -198,8 +261,8 @@ def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     """Encode all documents, append ``end`` to each, and write the store's three tables under ``path``."""
     schema = "doc_id bigint, n_tokens bigint, hashes array<binary>, root binary, fresh array<struct<hash:binary,payload:binary>>"
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(vocabulary, end), schema)
-    staged = materialise(rows, "tokenstore-staged")
-    staged.select(F.inline("fresh")).dropDuplicates(["hash"]).write.parquet(f"{path}/chunks")
+    staged = materialise(rows, "tokenstore-staged", compression="zstd")
+    staged.select(F.inline("fresh")).dropDuplicates(["hash"]).write.parquet(f"{path}/chunks", compression="zstd")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = staged.drop("fresh").repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     numbered = ordered.mapInArrow(_number, "seq bigint, doc_id bigint, n_tokens bigint, local_start bigint, hashes array<binary>, root binary")

@@ -230,10 +230,10 @@ def test_token_store_edges(spark, library):
 def test_cut_points_and_checksums():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50_000, 30_000).astype(np.uint32)
-    ends = tokenstore.cut_points(ids)
+    ends, moved, short = tokenstore.cut_points([ids, np.concatenate((ids[:100], ids)), ids[:5]])
+    assert short == [5] and list(tokenstore.cut_points([ids]))[0] == ends
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(ids) and sizes.max() <= tokenstore.MOST and sizes[:-1].min() >= tokenstore.LEAST
-    moved = tokenstore.cut_points(np.concatenate((ids[:100], ids)))
     assert len({e - 100 for e in moved} & set(ends)) > 0.9 * len(ends)
     a, b = rng.bytes(1000), rng.bytes(30_000)
     assert tokenstore.join_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
