@@ -260,7 +260,10 @@ def near_links(classes: DataFrame, budget: int = 4, cell: int = 8192) -> DataFra
 def link_classes(prints: DataFrame, budget: int = 4) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of a stored table ``prints(doc_id, fp)``."""
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = connected_components(near_links(classes.select("fp"), budget), "simhash")
+    # a class lies in a star for each table at most: its least centre stands for the others, which are linked to it
+    stars = near_links(classes.select("fp"), budget).groupBy("b").agg(F.collect_set("a").alias("centres"))
+    links = stars.select(F.array_min("centres").alias("a"), F.explode(F.concat("centres", F.array("b"))).alias("b"))
+    roots = connected_components(links, "simhash")
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     return materialise(linked.join(least, "root").select("fp", "component_id"), "simhash-linked")
