@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.llm import neardup
 from provenant.llm.common import documents, free_name, materialise
 from provenant.llm.components import connected_components
 
 BITS = 64
-STAGE_BUDGET = 7
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -281,27 +281,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays.
+    """Pipeline stage: of each component of near-duplicates the document with the smallest id stays.
 
-    Shingles have five words here and up to ``STAGE_BUDGET`` bits may differ:
-    texts that share most of their shingles differ in more than the four bits
-    of the plain query, and unrelated ones in about 32.
+    Texts are linked here whose five-word shingles have a Jaccard similarity of
+    0.8 or more, as counted (``neardup``): at that similarity fingerprints
+    differ in about ten bits and often more, so a Hamming budget either loses
+    such pairs or takes others for them.
 
-    Rows that share that smallest id (or have none) are told apart by a number
-    within the component, so exactly one stays.
+    Every row is decided by id and text, so exactly one row of each component
+    stays, be ids repeated, null or shared by different texts.
     """
-    found = near_duplicates(docs, budget=STAGE_BUDGET, words=5)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    n, = free_name(docs, "copies")
-    kept = materialise(first.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).agg(F.count("*").alias(n)), "simhash-kept")
-    single = kept.where((F.col(n) == 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    of_text, = free_name(docs, "of_text")
+    keyed = docs.withColumn(of_text, F.xxhash64("text"))
+    kept = neardup.kept_rows(docs).select(F.col("doc_id").alias("__id"), F.col("of_text").alias("__of"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(of_text) == F.col("__of"))
     # by sort and merge at every size: the kept ids grow with the documents
-    out = docs.join(single.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    several = kept.where((F.col(n) > 1) | F.col("doc_id").isNull())
+    out = keyed.join(kept.where("n = 1").hint("merge"), same, "left_semi").select(docs.columns)
+    several = kept.where("n > 1")
     if several.isEmpty():
         return out
-    more = docs.join(several.select("doc_id").distinct().withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    fp, = free_name(docs, "fp")
-    more = more.withColumn(fp, F.when(F.col("doc_id").isNull(), fingerprints(F.col("text"), 5)))
-    more = more.dropDuplicates(["doc_id", fp]).join(several.where("doc_id IS NULL").select(F.col("fp").alias("__fp")), F.col(fp) == F.col("__fp"), "left")
-    return out.unionByName(more.where(F.col("doc_id").isNotNull() | F.col("__fp").isNotNull()).select(docs.columns))
+    more = keyed.join(several, same, "left_semi").dropDuplicates(["doc_id", of_text])
+    return out.unionByName(more.select(docs.columns))

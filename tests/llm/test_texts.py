@@ -124,6 +124,64 @@ def test_stage_keeps_one_of_each(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 2), (False, 6), (True, 0)]
 
 
+def kept_by_jaccard(texts, n=5):
+    """Positions of the first text of each component of pairs of similarity 0.8 or more."""
+    split = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in split]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def test_stage_takes_similarity_of_four_fifths(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 120, 300]))] for _ in range(40)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for part in (0.01, 0.03, 0.05, 0.07, 0.09, 0.11):
+            run = max(1, int(part * len(b)))
+            at = rng.randrange(len(b) - run)
+            texts.append(" ".join([*b[:at], *(f"v{rng.randrange(10**6)}" for _ in range(run)), *b[at + run :]]))
+    expected = kept_by_jaccard(texts)
+    assert 60 < len(expected) < len(texts) - 100
+    kept = simhash.keep_one_stage(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+
+
+def test_stage_decides_repeated_ids_by_row(spark):
+    a, b = "a b c d e f g h", "q w e r t y u i o p"
+    kept = simhash.keep_one_stage(spark, frame(spark, [a, b, a, b, "lone words of its own here"], [1, 1, 2, 3, 3]), "")
+    assert sorted((r.doc_id, r.text[0]) for r in kept.collect()) == [(1, "a"), (1, "q"), (3, "l")]
+
+
+def test_stage_settles_large_groups(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(60):  # copies of one text, each with edits of its own
+        w = list(base)
+        for at in rng.sample(range(200), 4):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    kept = simhash.keep_one_stage(spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_jaccard(texts)
+
+
+def test_stage_on_tables_equals_brute_force(spark, sf_dir, texts):
+    ids = sorted(texts)
+    lower = [naive_words(texts[d]) for d in ids]
+    kept = simhash.keep_one_stage(spark, documents(spark, sf_dir), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [ids[i] for i in kept_by_jaccard(lower)]
+
+
+def naive_words(text):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+
+
 # --- language ID
 
 
