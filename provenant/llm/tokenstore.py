@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provenant.llm.bpe import CACHE, Splitter, byte_characters
+from provenant.llm.bpe import Splitter, byte_characters
 from provenant.llm.common import documents, materialise, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 PART = 1 << 22  # characters of texts encoded at once
+KNOWN = 640_000  # pre-tokens a worker remembers, about 150 bytes each
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 2048  # ids: hashed together, cut on average at 1 in 256, least and most in a chunk
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, np.uint64)  # any fixed table does
@@ -72,30 +73,36 @@ class Encoder:
         self.slots: dict[str, int] = {}
         self.starts, self.counts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _learn(self, pretokens: list[str]) -> None:
-        merge, space, table = self.model.tokenize, self.table[32], self.table
-        flat: list[int] = []
-        ends = []
-        for p in pretokens:
-            shown = p.replace(" ", space) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(table)
-            flat += [t.id for t in merge(shown)]
+    def _learn(self, pretokens: pa.Array) -> None:
+        """Append the ids of these pre-tokens, none of them known."""
+        shown = pc.replace_substring(pretokens, " ", self.table[32])
+        # all but the space and printable ASCII go byte by byte
+        other = pc.match_substring_regex(pretokens, r"[^ -~]")
+        raw = [p.encode().decode("latin-1").translate(self.table) for p in strings(pretokens.filter(other))]
+        shown = strings(pc.replace_with_mask(shown, other, pa.array(raw, pa.large_string())))
+        merge, flat, ends = self.model.tokenize, [], []
+        for p in shown:
+            flat += [t.id for t in merge(p)]
             ends.append(len(flat))
-        self.slots.update(zip(pretokens, range(len(self.slots), len(self.slots) + len(pretokens)), strict=True))
         counts = np.diff(ends, prepend=0)
         self.starts = np.concatenate((self.starts, len(self.ids) + np.array(ends) - counts))
         self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, np.array(flat, np.uint32)))
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special tokens."""
-        if len(self.slots) > CACHE:
+        if len(self.starts) > KNOWN:
             self._forget()
         found = [self.split(t) for t in texts]
         coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(found)), pa.large_string()))
-        names = strings(coded.dictionary)
-        fresh = [p for p in names if p not in self.slots]
-        if fresh:
-            self._learn(fresh)
-        slot = np.fromiter(map(self.slots.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        names, at = strings(coded.dictionary), coded.indices.to_numpy()
+        known = self.slots.get
+        slot = np.array([known(p, -1) for p in names], np.int64)
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
+            slot[fresh] = np.arange(len(self.starts), len(self.starts) + len(fresh))
+            self._learn(coded.dictionary.take(pa.array(fresh)))
+            self.slots.update(zip([names[i] for i in fresh.tolist()], slot[fresh].tolist(), strict=True))
+        slot = slot[at]
         counts = self.counts[slot]
         ids = gather(self.ids, self.starts[slot], counts)
         ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, found)])]
