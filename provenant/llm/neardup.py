@@ -1,17 +1,17 @@
-"""Near-duplicate texts by five-word Jaccard similarity: MinHash bands, then an exact check.
+"""Near-duplicate texts by five-word Jaccard similarity: SimHash clusters, then an exact check.
 
-Texts with equal sets of shingles are one class. Each class has ``BANDS`` keys,
-each made of ``ROWS`` minima under independent multipliers; two classes of
-similarity J share a key with probability ``1 - (1 - J**ROWS)**BANDS``: 0.9996
-at 0.8, more above. Classes that share a key are candidates, and linked only if
-their sets' similarity, counted exactly, is at least ``share``.
+Texts with equal sets of shingles are one class. The trie self-join of their
+wide fingerprints (``simhash.wide_links``) gives candidates, whose components
+are clusters: two classes of similarity ``share`` lie in one cluster with a
+chance of 0.999, by the number of fronts. Classes are linked only if their
+sets' similarity, counted exactly, is at least ``share``.
 
-Within a group of one key only pairs of different components are compared: all
-of them where they are few, else those of one class against the rest, for some
-rounds with the components of the links found so far in between. A large group
-still open after these is cut into chunks, each pair of chunks is a unit, and a
-unit's pairs are all counted at once by matrix products. No candidate is left
-out; large groups of texts that are *not* alike cost their square in arithmetic.
+Within a cluster only pairs of different components are compared: all of them
+where they are few, else those of one class against the rest, for some rounds
+with the components of the links found so far in between. A large cluster still
+open after these is cut into chunks, each pair of chunks is a unit, and a unit's
+pairs are all counted at once by matrix products. No candidate is left out;
+large clusters of texts that are *not* alike cost their square in arithmetic.
 
 Defined results: texts of up to five words are one shingle; null and empty
 texts are one class; similarity 1 needs equal sets, not equal texts.
@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import materialise
 from provenant.llm.components import connected_components
+from provenant.llm.simhash import Fronts, wide_fingerprint, wide_links
 
 WORDS = 5
 SHARE = 0.8
-BANDS, ROWS = 20, 5
-_FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -46,26 +45,15 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(body[a:b]) for a, b in zip(starts, last, strict=False)], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One signed key a band; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):  # a text of any length in bounded memory
-        np.minimum(least, (hashes[i : i + 4096] * _FACTORS).min(axis=1), out=least)
-    rows = least.tobytes()
-    width = 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(rows[i * width : (i + 1) * width], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+def _sketch(text: Column, words: int) -> Column:
+    """Class, number of shingles and wide fingerprint of a text; no fingerprint for an empty set."""
 
-
-def _sketch(text: Column) -> Column:
-    """Class, number of shingles and band keys of a text."""
-
-    @F.arrow_udf("cls bigint, size int, bands array<bigint>")
+    @F.arrow_udf("cls bigint, size int, words array<bigint>")
     def of(part: pa.Array) -> pa.Array:
         sets = [shingles(t) for t in part.to_pylist()]
         cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["cls", "size", "bands"])
+        prints = [wide_fingerprint(s, words).view(np.int64) if len(s) else [] for s in sets]
+        return pa.StructArray.from_arrays([pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints, pa.list_(pa.int64()))], ["cls", "size", "words"])
 
     return of(text)
 
@@ -146,11 +134,20 @@ def _crowd_links(many: DataFrame, sets: DataFrame, share: float, cell: int = 512
     return dealt.groupBy("unit").applyInArrow(meet, "a bigint, b bigint")
 
 
-def near_classes(docs: DataFrame, prints: DataFrame, share: float = SHARE, rounds: int = 3) -> DataFrame | None:
+def clusters(classes: DataFrame, plan: Fronts) -> DataFrame:
+    """(cls, size, key) of the classes that have candidates; key is their cluster."""
+    names = [f"f{i}" for i in range(plan.words)]
+    words = classes.where("size > 0").select("cls", *(F.get("words", F.lit(i)).alias(f) for i, f in enumerate(names)))
+    roots = connected_components(wide_links(materialise(words, "near-words"), "cls", names, plan), "near-clusters")
+    return classes.select("cls", "size").join(roots.withColumnRenamed("node", "cls"), "cls").withColumnRenamed("root", "key")
+
+
+def near_classes(docs: DataFrame, prints: DataFrame, plan: Fronts, rounds: int = 3) -> DataFrame | None:
     """(node, root) for each class linked with another, or None; ``prints`` is ``sketches(docs)``, stored."""
+    share = plan.share
     # what a class's rows share; any of its texts will do
-    classes = materialise(prints.groupBy("cls").agg(F.first("size").alias("size"), F.min("of_text").alias("of_text"), F.first("bands").alias("bands")), "near-classes")
-    entries = classes.select("cls", "size", F.explode("bands").alias("key"), F.col("cls").alias("comp"))
+    classes = materialise(prints.groupBy("cls").agg(F.first("size").alias("size"), F.min("of_text").alias("of_text"), F.first("words").alias("words")), "near-classes")
+    entries = materialise(clusters(classes, plan).withColumn("comp", F.col("cls")), "near-entries")
     sets = links = checked = roots = None
     for turn in range(rounds):
         parts = entries.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
@@ -176,15 +173,16 @@ def near_classes(docs: DataFrame, prints: DataFrame, share: float = SHARE, round
     return roots
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, of_text, cls, size, bands) for each row, stored."""
-    return materialise(docs.select("doc_id", F.xxhash64("text").alias("of_text"), _sketch(F.col("text")).alias("s")).select("doc_id", "of_text", "s.*"), "near-prints")
+def sketches(docs: DataFrame, plan: Fronts) -> DataFrame:
+    """(doc_id, of_text, cls, size, words) for each row, stored."""
+    return materialise(docs.select("doc_id", F.xxhash64("text").alias("of_text"), _sketch(F.col("text"), plan.words).alias("s")).select("doc_id", "of_text", "s.*"), "near-prints")
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, of_text, n): of each component the row of least id, null ids last, and how many rows it names."""
-    prints = sketches(docs)
-    roots = near_classes(docs, prints)
+    plan = Fronts(docs.count(), share)
+    prints = sketches(docs, plan)
+    roots = near_classes(docs, prints, plan)
     rows = prints.groupBy("doc_id", "of_text", "cls").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "of_text", "n")).alias("first")
     classes = rows.groupBy("cls").agg(first)

@@ -44,8 +44,8 @@ from provenant.llm.common import documents, materialise, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-PART = 1 << 22  # characters of texts encoded at once
-KNOWN = 640_000  # pre-tokens a worker remembers, about 150 bytes each
+PART = 1 << 21  # characters of texts encoded at once
+KNOWN = 500_000  # pre-tokens a worker remembers, about 150 bytes each
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 2048  # ids: hashed together, cut on average at 1 in 256, least and most in a chunk
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, np.uint64)  # any fixed table does

@@ -88,17 +88,17 @@ def test_a_long_conversation_spans_ranges(spark):
 
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
-    from provenant.llm import bpe, decontaminate, langid, pii, simhash
+    from provenant.llm import bpe, decontaminate, langid, pii
     from provenant.llm.common import documents
 
     docs = documents(spark, sf_dir)
     rows = {r.doc_id: r.text for r in docs.collect()}
     pred = {r.doc_id: r for r in langid.op8_language_id(spark, sf_dir).collect()}
     left = {d: t for d, t in rows.items() if pred[d].lang_pred != "und" and pred[d].score >= langid.LEAST_SHARE}
-    from test_texts import components
+    from test_texts import kept_by_jaccard, naive_words
 
-    groups = components(sorted((d, simhash.fingerprint(t, 5)) for d, t in left.items()), simhash.STAGE_BUDGET)
-    left = {d: t for d, t in left.items() if groups[d] == d}
+    ids = sorted(left)
+    left = {ids[i]: left[ids[i]] for i in kept_by_jaccard([naive_words(left[d]) for d in ids])}
     dirty = {r.doc_id for r in decontaminate.op9_decontaminate(spark, sf_dir).collect()}
     left = {d: t for d, t in left.items() if d not in dirty}
     worker, codec = pii.Pseudonymiser(), bpe.Codec()

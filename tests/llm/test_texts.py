@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from provenant.llm import bpe, decontaminate, langid, pii, simhash, tokencount, tokenstore, toxicity
+from provenant.llm import bpe, common, decontaminate, langid, pii, simhash, tokencount, tokenstore, toxicity
 from provenant.llm.common import documents, held_out, shared_dir
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -103,6 +104,67 @@ def test_links_match_brute_force(spark, budget, cell):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_tables_grow_with_the_log():
+    assert [len(simhash.fronts(n, 4)) for n in (0, 10**5, 14 * 10**6, 10**9, 5 * 10**10)] == [5, 5, 5, 15, 35]
+    plans = [simhash.Fronts(n) for n in (10, 14 * 10**6, 5 * 10**10)]
+    for plan in plans:
+        fronts = [run for t in plan.tables() for run in t.front]
+        assert len(set(fronts)) == len(fronts) and all(low + width <= 64 and word < plan.words for word, low, width in fronts)
+        missed = np.prod([1 - (1 - plan.differ) ** width for _, _, width in fronts])
+        assert missed < 0.0015
+
+
+def test_links_among_many_classes(spark):
+    """Above half a million classes: planted pairs and chains of up to four bits are all linked, and little else."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 650_000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 650_000).astype(np.uint64)
+    flips = np.zeros(2000, np.uint64)
+    for _ in range(4):
+        flips ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+    far = flips.copy()
+    for _ in range(4):
+        far ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+    values = np.concatenate((base, base[:2000] ^ flips, base[:2000] ^ far))
+    frame = spark.createDataFrame(pd.DataFrame({"fp": np.unique(values.view(np.int64))}))
+    links = simhash.near_links(common.materialise(frame, "test-classes"), 4).toPandas()
+    a, b = links.a.to_numpy().view(np.uint64), links.b.to_numpy().view(np.uint64)
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[find(x)] = find(y)
+    assert all(find(x) == find(y) for x, y in zip(base[:2000].tolist(), values[650_000:652_000].tolist()))
+    assert all(find(x) == find(y) for x, y in zip(values[650_000:652_000].tolist(), values[652_000:].tolist()))
+    assert len(set(map(find, root))) < 2010 + 5  # chance links of random values: about 2 ** -44 a pair
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_clusters_hold_similar_sets(share):
+    """Recall of the fronts and the budget on random sets, small and large."""
+    rng = np.random.default_rng(5)
+    plan = simhash.Fronts(1000)
+    limit, word_limit = plan.budget(256), plan.budget(64 - 9)
+    for n in (9, 45, 500):
+        found = 0
+        for _ in range(300):
+            shared = int(np.ceil(share * 2 * n / (1 + share)))
+            h = rng.integers(0, 1 << 63, 2 * n - shared, np.uint64) * np.uint64(2654435769)
+            a, b = (simhash.wide_fingerprint(x, plan.words) for x in (h[:n], h[n - shared :]))
+            differ = a ^ b
+            for t in plan.tables():
+                (w, low, width), = t.front
+                held = np.roll(differ, -w)[: simhash.HELD]
+                agree = not (int(differ[w]) >> low) & ((1 << width) - 1)
+                if agree and np.bitwise_count(held).sum() <= limit and np.bitwise_count(held[0]) <= word_limit:
+                    found += 1
+                    break
+        assert found >= 0.98 * 300, n
+
+
 def test_simhash_query(spark, sf_dir, texts):
     rows = simhash.op1_simhash(spark, sf_dir).collect()
     prints = sorted((d, simhash.fingerprint(t)) for d, t in texts.items())
