@@ -4,20 +4,25 @@ A seed is a fixed mask over a span of tokens; the tokens under its zeros are
 left out of the hash, so a substitution there changes nothing. Every position
 of every document is hashed under every mask and joined with the hashes of the
 benchmark's items. Each hit gives a diagonal (document position minus item
-position), along which the two texts are compared token by token:
-an overlap counts if a stretch of at least ``min(len(item), region)`` tokens
-agrees in ``share`` of its positions; a stretch lies within ``region`` tokens of
-its hit, so what is compared is bounded however long the texts are.
+position); hits of one document, item and diagonal collapse before anything is
+compared. Along a diagonal the two texts are compared token by token: an
+overlap counts if a stretch of at least ``min(len(item), region)`` tokens agrees
+in four fifths of its positions or more.
+
+The masks lose no such overlap: whichever tokens of a stretch are substituted,
+up to every fifth, one of them meets none (``covers`` says so, and a test tries
+every placement).
 
 The benchmark side is joined in blocks of at most ``block`` hashes, each
 broadcast, so the documents are never shuffled by hash and a block's size is
-bounded whatever the benchmark's size. Items shorter than the span are hashed
-whole.
-
-A token is a run of letters or digits, lower-cased. Defined results: null and
-empty texts have no token and no hit; items of fewer than ``least`` tokens
-cannot be told from common phrases and match nothing; repeated documents and
-items each come out; a null id is kept and compared as a value of its own.
+bounded whatever the benchmark's size. Only documents with a hit are read again
+for the comparison.
+
+A token is a run of letters or digits, lower-cased, and compared by its 64-bit
+hash. Defined results: null and empty texts have no token and no hit; items of
+fewer than ``least`` tokens cannot be told from common phrases and match
+nothing; repeated documents and items each come out; a null id is kept and
+compared as a value of its own; an empty benchmark or table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +34,17 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import documents, free_name, materialise
 
-#: Ones are hashed. Weight 7 in a span of 11: any 11 tokens with one substitution hit some mask.
-MASKS = ("11110110001", "10001101111", "11011001011")
-SPAN = len(MASKS[0])
+#: Ones are hashed. Any 10 or more tokens of which at most every fifth is substituted hold one of the first,
+#: and any 6 to 9 tokens with one substitution hold one of the second.
+MASKS = ("11111", "111011", "11001011")
+SHORT_MASKS = ("1111", "110011")
+SHARE = 0.8  # of a stretch that agrees; what the masks are made for
+SHORT = 10  # items of fewer tokens have the short masks
+
+
+def covers(masks: tuple[str, ...], equal: list[bool]) -> bool:
+    """Whether some mask can be laid so that all its ones lie on equal tokens."""
+    return any(all(equal[at + i] for i, one in enumerate(m) if one == "1") for m in masks for at in range(len(equal) - len(m) + 1))
 
 
 def tokens(text: Column) -> Column:
@@ -39,61 +52,51 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def _hash(words: Column, at: Column, mask: str, seed: int) -> Column:
-    """Hash of the tokens under a mask's ones from 0-based position ``at``; the seed tells masks apart."""
-    return F.xxhash64(F.lit(seed), *(F.get(words, at + i) for i, one in enumerate(mask) if one == "1"))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _short_mask(n: int) -> str:
-    return "1" * n
+def _hash(words: Column, at: Column, mask: str) -> Column:
+    """Hash of the tokens under a mask's ones from 0-based position ``at``; the mask itself tells masks apart."""
+    return F.xxhash64(F.lit(int(mask, 2)), *(F.get(words, at + i) for i, one in enumerate(mask) if one == "1"))
 
 
-def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """(item, seed, at, hash) of ``items(item, words)``."""
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item, mask, at, hash) of ``items(item, words)``."""
     parts = []
-    for seed, mask in enumerate(MASKS):
-        spots = items.where(F.size("words") >= SPAN).select("item", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
-        parts.append(spots.select("item", F.lit(seed).alias("seed"), "at", _hash(F.col("words"), F.col("at"), mask, seed).alias("hash")))
-    for n in range(least, SPAN):
-        parts.append(items.where(F.size("words") == n).select("item", F.lit(n + 100).alias("seed"), F.lit(0).alias("at"), _hash(F.col("words"), F.lit(0), _short_mask(n), n + 100).alias("hash")))
+    for masks, fit in ((MASKS, F.size("words") >= SHORT), (SHORT_MASKS, F.size("words") < SHORT)):
+        for mask in masks:
+            spots = items.where(fit & (F.size("words") >= len(mask))).select("item", "words", F.explode(F.sequence(F.lit(0), F.size("words") - len(mask))).alias("at"))
+            parts.append(spots.select("item", F.lit(mask).alias("mask"), "at", _hash(F.col("words"), F.col("at"), mask).alias("hash")))
     return reduce(DataFrame.unionAll, parts)
 
 
-def hits(docs: DataFrame, seeds: DataFrame, block: int, region: int) -> DataFrame:
-    """(row, item, pos, at, near, from) for each seed shared by a document of ``docs(row, words)`` and an item.
-
-    ``near`` are the document's tokens around the hit, from position ``from`` on.
-    """
-    counted = seeds.groupBy("seed").count().toArrow()  # one row a mask
-    present = set(counted.column("seed").to_pylist())
+def hits(docs: DataFrame, seeds: DataFrame, block: int) -> DataFrame | None:
+    """(key, item, start) for each diagonal on which a document of ``docs(key, words)`` and an item share a seed."""
+    counted = seeds.groupBy("mask").count().toArrow()  # one row a mask
+    masks = sorted(counted.column("mask").to_pylist())
     blocks = max(1, -(-sum(counted.column("count").to_pylist()) // block))
-    masks = [(seed, mask) for seed, mask in enumerate(MASKS) if seed in present] + [(x, _short_mask(x - 100)) for x in sorted(present) if x >= 100]
     if not masks:
         return None
-    shortest = min(len(m) for _, m in masks)
+    shortest = min(map(len, masks))
     # outer: else Catalyst adds a filter that splits every text a second time
     starts = F.explode_outer(F.when(F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest)))
-    spots = docs.select("row", "words", starts.alias("pos"))
+    spots = docs.select("key", "words", starts.alias("pos"))
     # a mask that reaches past the end meets nulls, which leave its hash unlike any item's
-    probes = F.array(*(_hash(F.col("words"), F.col("pos"), mask, seed) for seed, mask in masks))
-    rows = spots.select("row", "words", "pos", F.explode(probes).alias("hash"))
-    start = F.greatest(F.col("pos") - region, F.lit(0))
+    rows = spots.select("key", "pos", F.explode(F.array(*(_hash(F.col("words"), F.col("pos"), mask) for mask in masks))).alias("hash"))
     found = []
     for b in range(blocks):
         part = F.broadcast(seeds.where(F.pmod("hash", F.lit(blocks)) == b).select("item", "at", "hash"))  # about ``block`` rows of 24 bytes
-        near = F.slice("words", start + 1, F.lit(2 * region + SPAN)).alias("near")
-        found.append(rows.join(part, "hash").select("row", "item", "pos", "at", near, start.alias("from")))
-    return reduce(DataFrame.unionAll, found)
+        found.append(rows.join(part, "hash").select("key", "item", (F.col("pos") - F.col("at")).alias("start")))
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def _agreement(region: int) -> Column:
-    """Largest share of equal tokens over a stretch of min(item, region) tokens within ``region`` of the hit."""
-    its, at, shift = F.col("its"), F.col("at"), F.col("pos") - F.col("from")
-    need = F.least(F.size(its), F.lit(region))
-    low, high = F.greatest(F.lit(-region), -at), F.least(F.lit(SPAN + region), F.size(its) - at)
-    same = lambda d: F.coalesce(F.get("near", shift + d) == F.get(its, at + d), F.lit(False)).cast("int")
+    """Largest share of equal tokens over a stretch of min(item, region) tokens of the diagonal."""
+    its, words, start = F.col("its"), F.col("words"), F.col("start")
+    same = lambda j: F.coalesce(F.get(words, start + j) == F.get(its, j), F.lit(False)).cast("int")
     # bound to a lambda variable, so that it is worked out once and not for each step
-    bound = F.array(F.struct(F.transform(F.sequence(low, high - 1), same).alias("equal"), need.alias("need")))
+    bound = F.array(F.struct(F.transform(F.sequence(F.lit(0), F.size(its) - 1), same).alias("equal"), F.least(F.size(its), F.lit(region)).alias("need")))
 
     def best(x: Column) -> Column:
         def slide(acc: Column, i: Column) -> Column:
@@ -107,26 +110,30 @@ def _agreement(region: int) -> Column:
 
 
 def overlaps(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", region: int = 50, share: float = 0.8, least: int = 6, block: int = 500_000, few: int = 5_000
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", region: int = 50, least: int = 6, block: int = 500_000, few: int = 2_000_000
 ) -> DataFrame:
     """(row, item_id, start_token, agreement) of every overlap found: the best for each row and item.
 
     ``docs`` has a column ``row`` that names its rows; ``start_token`` is where
-    in the document the item begins (before it, if negative). Items go out by
-    broadcast only while they are at most ``few`` and of ordinary length.
+    in the document the item begins (before it, if negative). The names of
+    documents with a hit go out by broadcast while they are at most ``few``.
     """
     words = F.filter(tokens(F.col(item_text)), lambda w: w != "")
     bench = items.select(F.col(item_id).cast("bigint").alias("item_id"), words.alias("words")).where(F.size("words") >= least).distinct()
-    bench = materialise(bench.withColumn("item", F.xxhash64("item_id", "words")), "decontaminate-items")
-    seeds = materialise(item_seeds(bench, least), "decontaminate-seeds")
-    found = hits(docs.select("row", tokens(F.col(text)).alias("words")), seeds, block, region)
-    sides = bench.select("item", "item_id", F.col("words").alias("its"))
+    bench = materialise(bench.select("item_id", F.xxhash64("item_id", "words").alias("item"), hashed(F.col("words")).alias("words")), "decontaminate-items")
+    seeds = materialise(item_seeds(bench), "decontaminate-seeds")
+    keyed = docs.select("row", F.struct("row", F.xxhash64(text).alias("of_text")).alias("key"), F.col(text).alias("text"))
+    read = hashed(tokens(F.col("text"))).alias("words")
+    found = hits(keyed.select("key", read), seeds, block)
     if found is None:
-        return docs.crossJoin(sides.limit(0)).select("row", "item_id", F.lit(0).alias("start_token"), F.lit(0.0).alias("agreement"))
-    n, total = bench.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    sides = F.broadcast(sides) if n <= few and total <= 200 * few else sides
-    compared = found.join(sides, "item").select("row", "item_id", (F.col("pos") - F.col("at")).alias("start_token"), _agreement(region).alias("agreement"))
-    checked = compared.where(F.col("agreement") >= share)
+        return docs.select("row", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("start_token"), F.lit(0.0).alias("agreement")).where("false")
+    found = materialise(found, "decontaminate-hits")
+    named = found.select("key").distinct()
+    named = F.broadcast(named) if found.count() <= few else named  # of about 40 bytes
+    hit = keyed.join(named, "key", "left_semi").dropDuplicates(["key"]).select("key", read)
+    sides = bench.select("item", "item_id", F.col("words").alias("its"))
+    compared = hit.join(found, "key").join(sides, "item").select("key.row", "item_id", F.col("start").alias("start_token"), _agreement(region).alias("agreement"))
+    checked = compared.where(F.col("agreement") >= SHARE)
     best = F.max(F.struct("agreement", (-F.col("start_token")).alias("before")))
     return checked.groupBy("row", "item_id").agg(best.alias("b")).select("row", "item_id", (-F.col("b.before")).alias("start_token"), F.col("b.agreement").alias("agreement"))
 
@@ -143,5 +150,5 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keyed = docs.withColumn(row, F.struct("doc_id", F.xxhash64("text").alias("of_text")))
     found = overlaps(keyed.select(F.col(row).alias("row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     dirty = materialise(found.select(F.col("row").alias(row)).distinct(), "decontaminate-dirty")
-    few = dirty.count() <= 200_000  # of about 30 bytes
+    few = dirty.count() <= 2_000_000  # of about 40 bytes
     return keyed.join(F.broadcast(dirty) if few else dirty, row, "left_anti").select(docs.columns)

@@ -1,6 +1,7 @@
 """Operators on document texts, against brute force, the libraries and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -401,6 +402,31 @@ def brute_overlaps(docs, items, region=50, share=0.8, least=6):
     return found
 
 
+@pytest.mark.parametrize("n", range(6, 25))
+def test_masks_cover_every_placement(n):
+    """Longer stretches fall into parts of these lengths, one of which holds no more than its own share."""
+    masks = decontaminate.SHORT_MASKS if n < decontaminate.SHORT else decontaminate.MASKS
+    for subs in itertools.combinations(range(n), n // 5):
+        assert decontaminate.covers(masks, [i not in subs for i in range(n)]), subs
+
+
+def test_overlaps_at_every_length_and_count(spark):
+    """Each length from 6 to 60 with every admissible number of substitutions, and one more, equals brute force."""
+    rng = random.Random(9)
+    items = [(n, " ".join(words(rng, n))) for n in range(6, 61)]
+    docs = []
+    for n, item in items:
+        for count in range(min(n, 50) // 5 + 2):
+            part = item.split()
+            for i in rng.sample(range(n), count):
+                part[i] = f"changed{i}"
+            docs.append((len(docs), " ".join([*words(rng, rng.randint(0, 5)), *part, *words(rng, rng.randint(0, 5))])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.overlaps(frame(spark, [t for _, t in docs]).select(F.col("doc_id").alias("row"), "text"), bench)
+    expected = brute_overlaps(docs, items)
+    assert {(r.row, r.item_id) for r in got.collect()} == expected and len(expected) >= sum(min(n, 50) // 5 + 1 for n, _ in items)
+
+
 def test_overlaps_with_substitutions(spark):
     rng = random.Random(5)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([6, 8, 10, 15, 20, 40, 70, 120])] + [(90, "too short item"), (91, None), (92, "")]
@@ -411,7 +437,7 @@ def test_overlaps_with_substitutions(spark):
             part = rng.choice(items[:8])[1].split()
             if len(part) > 70:
                 part = part[10:75]
-            for _ in range(len(part) // 12):
+            for _ in range(len(part) // 5):
                 part[rng.randrange(len(part))] = "changed"
             at = rng.randint(0, len(body))
             body[at:at] = part
@@ -435,6 +461,10 @@ def test_decontaminate_query_and_stage(spark, sf_dir, docs, texts):
 def test_empty_benchmark(spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.overlaps(frame(spark, ["a b c"]).select(F.col("doc_id").alias("row"), "text"), nothing).count() == 0
+    some = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
+    assert decontaminate.overlaps(frame(spark, []).select(F.col("doc_id").alias("row"), "text"), some).count() == 0
+    nameless = frame(spark, ["x one two three four five six seven", "none of it"], [None, None]).select(F.col("doc_id").alias("row"), "text")
+    assert [(r.row, r.start_token) for r in decontaminate.overlaps(nameless, some).collect()] == [(None, 1)]
 
 
 # --- PII
