@@ -13,8 +13,8 @@ comparison. Buckets that agree in all but their last axis travel together: rows
 and queries meet by a shuffle on (table, those axes), a query goes there once
 with the set of last axes it probes, and only rows on these are its candidates.
 Groups with more rows than ``cell`` are cut into pieces and their queries go to
-each piece, so no task holds an unbounded group, and a task compares its rows in
-blocks.
+each piece, so no task holds an unbounded group: it holds one piece's rows,
+past which its queries go in blocks, each compared with the rows on its axes.
 
 The index is data-independent (nothing is fitted), and every row is in it.
 
@@ -68,10 +68,12 @@ class CrossPolytope:
         return x
 
     def buckets(self, unit: np.ndarray, table: int, probes: int = 1) -> np.ndarray:
-        """The ``probes`` best buckets of each row, best first; -1 where there are fewer.
+        """The ``probes`` best buckets of each row, best first.
 
-        The loss of an axis is how far its coordinate stays behind the best one;
-        losses of the parts add up, and only pairs of small loss are weighed.
+        The loss of an axis is how far its coordinate stays behind the best one,
+        and losses of the parts add up. Of two sorted lists the i-th and j-th
+        make no better than the (i * j)-th best sum, so only pairs up to that
+        product are weighed.
         """
         total = np.zeros((len(unit), 1))
         code = np.zeros((len(unit), 1), np.int64)
@@ -79,11 +81,13 @@ class CrossPolytope:
             x = self.rotated(unit, table, part)
             both = np.concatenate((x, -x), axis=1)
             take = min(probes, both.shape[1])
-            axes = np.argsort(-both, axis=1, kind="stable")[:, :take]
+            axes = np.argmax(both, axis=1)[:, None] if take == 1 else np.argsort(-both, axis=1, kind="stable")[:, :take]
             value = np.take_along_axis(both, axes, axis=1)
             loss = (value[:, :1] - value) ** 2
-            total = (total[:, :, None] + loss[:, None, :]).reshape(len(unit), -1)
-            code = (code[:, :, None] * (2 * self.width) + axes[:, None, :]).reshape(len(unit), -1)
+            i, j = (g.reshape(-1) for g in np.indices((total.shape[1], take)))
+            small = (i + 1) * (j + 1) <= probes
+            i, j = i[small], j[small]
+            total, code = total[:, i] + loss[:, j], code[:, i] * (2 * self.width) + axes[:, j]
             order = np.argsort(total, axis=1, kind="stable")[:, :probes]
             total, code = np.take_along_axis(total, order, axis=1), np.take_along_axis(code, order, axis=1)
         return code
@@ -136,45 +140,74 @@ def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(axis=1) / np.sqrt((q * q).sum(axis=1) * (v * v).sum(axis=1))
 
 
-def _compare(keep: int, ends: int):
-    """Rows sorted by piece, vectors and queries mixed, to the best candidates of each query in each piece."""
+def _best(q: np.ndarray, near: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` nearest of each q, and of what comes as close to the last as rounding reaches."""
+    order = np.lexsort((-near, q))
+    first = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
+    size = np.diff(np.append(first, len(order)))
+    last = near[order[first + np.minimum(size, keep) - 1]]
+    return order[near[order] >= np.repeat(last, size) - SLACK]
 
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class _Piece:
+    """The rows of a piece by their last axis, each compared only with queries that probe that axis."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
         table = pa.Table.from_batches(rows).combine_chunks()
-        is_query = table.column("is_query").to_numpy()
-        if not is_query.any() or is_query.all():
-            return
-        asked, stored = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
-        q_ref, v_ref = asked.column("ref").to_numpy(), stored.column("ref").to_numpy()
-        q, v = _matrix(asked.column("unit").combine_chunks()), _matrix(stored.column("unit").combine_chunks())
-        axis = stored.column("axes").combine_chunks().flatten().to_numpy()
-        axes = asked.column("axes").combine_chunks()
-        probed = np.zeros((len(q), ends), bool)
-        probed[np.repeat(np.arange(len(q)), axes.value_lengths().to_numpy()), axes.flatten().to_numpy()] = True
-        for start in range(0, len(q), BLOCK):
-            near = q[start : start + BLOCK] @ v.T
-            near[~probed[start : start + BLOCK][:, axis]] = -np.inf
-            take = min(keep, near.shape[1])
-            # rounding may swap equals: what comes close to the last place stays for the exact ranking
-            last = -np.partition(-near, take - 1, axis=1)[:, take - 1 : take]
-            at_q, at_v = np.nonzero((near >= last - SLACK) & (near > -np.inf))
-            yield pa.RecordBatch.from_arrays([pa.array(q_ref[start + at_q]), pa.array(v_ref[at_v]), pa.array(near[at_q, at_v])], ["q", "v", "near"])
+        axis = table.column("axes").combine_chunks().flatten().to_numpy()
+        order = np.argsort(axis, kind="stable")
+        self.ref, self.unit = table.column("ref").to_numpy()[order], _matrix(table.column("unit").combine_chunks())[order]
+        self.axes, self.first = np.unique(axis[order], return_index=True)
+        self.edges = np.append(self.first, len(order))
+
+    def nearest(self, asked: pa.RecordBatch, keep: int) -> pa.RecordBatch | None:
+        ref, q, axes = asked.column("ref").to_numpy(), _matrix(asked.column("unit")), asked.column("axes")
+        axis = axes.flatten().to_numpy()
+        order = np.argsort(axis, kind="stable")
+        at = np.repeat(np.arange(len(q)), axes.value_lengths().to_numpy())[order]
+        low, high = (np.searchsorted(axis[order], self.axes, side) for side in ("left", "right"))
+        found = []
+        for i in np.flatnonzero(high > low):
+            who, start, stop = at[low[i] : high[i]], self.edges[i], self.edges[i + 1]
+            near = q[who] @ self.unit[start:stop].T
+            if stop - start > keep:
+                last = -np.partition(-near, keep - 1, axis=1)[:, keep - 1 : keep]
+                row, column = np.nonzero(near >= last - SLACK)
+            else:
+                row, column = (x.reshape(-1) for x in np.indices(near.shape))
+            found.append((who[row], start + column, near[row, column]))
+        if not found:
+            return None
+        who, what, near = (np.concatenate(x) for x in zip(*found, strict=True))
+        some = _best(who, near, keep)
+        return pa.RecordBatch.from_arrays([pa.array(ref[who[some]]), pa.array(self.ref[what[some]]), pa.array(near[some])], ["q", "v", "near"])
+
+
+def _compare(keep: int):
+    """Rows sorted by piece, its vectors before its queries, to the best candidates of each query in each piece.
+
+    A task holds one piece's vectors; its queries pass by in blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        now = None
+        piece, now = None, None
         for batch in batches:
-            piece = batch.column("piece").to_numpy()
-            edges = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(piece)]
+            key, asks = batch.column("piece").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(key)]
             for a, b in zip(edges, edges[1:], strict=False):
-                if b > a:
-                    if held and piece[a] != now:
-                        yield from flush(held)
-                        held = []
-                    now = piece[a]
+                if b == a:
+                    continue
+                if key[a] != now:
+                    held, piece, now = [], None, key[a]
+                if not asks[a]:
                     held.append(batch.slice(a, b - a))
-        if held:
-            yield from flush(held)
+                elif held or piece:
+                    piece, held = piece or _Piece(held), []
+                    for start in range(a, b, BLOCK):
+                        found = piece.nearest(batch.slice(start, min(BLOCK, b - start)), keep)
+                        if found is not None:
+                            yield found
 
     return run
 
@@ -203,7 +236,9 @@ def search(
     distinct = materialise(distinct, "ann-distinct")
     kind = "table int, bucket bigint, ref bigint, unit array<float>, axes array<smallint>"
     stored = materialise(entries.select("ref", "v").mapInArrow(_hash_rows(space, 1), kind), "ann-stored")
-    probed = distinct.mapInArrow(_hash_rows(space, probes), kind)
+    # queries take far longer to hash than their bytes tell, so they are dealt to as many tasks as a shuffle has
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probed = materialise(distinct.repartition(tasks, "ref").mapInArrow(_hash_rows(space, probes), kind), "ann-probed")
     pieces = stored.groupBy("table", "bucket").agg(F.ceil(F.count("*") / cell).cast("int").alias("pieces"))
     pieces = materialise(pieces, "ann-pieces")
     many = pieces.where("pieces > 1")
@@ -212,26 +247,27 @@ def search(
     cols = ["table", "bucket", "part", "ref", "unit", "axes"]
     meet = stored.select(*cols, F.lit(False).alias("is_query")).unionByName(probed.select(*cols, F.lit(True).alias("is_query")))
     meet = meet.select(F.xxhash64("table", "bucket", "part").alias("piece"), "ref", "unit", "axes", "is_query")
-    shards = meet.repartition("piece").sortWithinPartitions("piece")
-    found = shards.mapInArrow(_compare(k + 1, 2 * space.width), "q bigint, v bigint, near double").groupBy("q", "v").agg(F.max("near").alias("near"))
+    shards = meet.repartition("piece").sortWithinPartitions("piece", "is_query")
+    found = shards.mapInArrow(_compare(k + 1), "q bigint, v bigint, near double").groupBy("q", "v").agg(F.max("near").alias("near"))
     found = materialise(_nearest(found, k), "ann-found")
     return _rank(_with_short(found, distinct, entries, k), asked, distinct, entries, k)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """For each query's entry the entries that could still be among its k nearest, a little slack for rounding."""
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "v"))
-    return found.withColumn("place", place).where(F.col("place") <= 4 * (k + 1)).select("q", "v")
+    """For each query's entry the k + 1 nearest entries, and all that rounding may have put behind them."""
+    every = Window.partitionBy("q").orderBy(F.desc("near"), "v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.coalesce(F.nth_value("near", k + 1).over(every), F.lit(-2.0))
+    return found.withColumn("last", last).where(F.col("near") >= F.col("last") - 2 * SLACK).select("q", "v")
 
 
 def _with_short(found: DataFrame, distinct: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """Queries for which the tables gave too few entries (a tiny or scattered index) are compared with every entry, in blocks."""
     members = found.join(entries.select(F.col("ref").alias("v"), F.size("ids").alias("n")), "v").groupBy("q").agg(F.sum("n").alias("n"))
     short = distinct.join(members.withColumnRenamed("q", "ref"), "ref", "left").where(F.coalesce("n", F.lit(0)) <= k).select("ref", "v")
-    short = materialise(short.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod("ref", F.lit(64))).orderBy("ref")) - 1) / 64)), "ann-short")
+    short = materialise(short.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod("ref", F.lit(64))).orderBy("ref")) - 1) / 32)), "ann-short")
     parts = [found]
     for block in sorted(r.block for r in short.select("block").distinct().collect()):
-        few = short.where(F.col("block") == block).select("ref", "v").toArrow().combine_chunks()  # 64 x 64 at most
+        few = short.where(F.col("block") == block).select("ref", "v").toArrow().combine_chunks()  # 64 x 32 at most
         refs, q = few.column("ref").to_numpy(), _matrix(few.column("v").chunk(0))
         q = q / np.abs(q).max(axis=1, keepdims=True)
         shared = entries.sparkSession.sparkContext.broadcast((refs, q / np.linalg.norm(q, axis=1, keepdims=True)))
@@ -244,10 +280,10 @@ def _with_short(found: DataFrame, distinct: DataFrame, entries: DataFrame, k: in
                 v = _matrix(batch.column("v"))
                 v = v / np.abs(v).max(axis=1, keepdims=True)
                 near = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                take = min(4 * (k + 1), near.shape[1])
-                at = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                rows = np.repeat(np.arange(len(q)), take)
-                yield pa.RecordBatch.from_arrays([pa.array(refs[rows]), batch.column("ref").take(pa.array(at.reshape(-1))), pa.array(near[rows, at.reshape(-1)])], ["q", "v", "near"])
+                take = min(k + 1, near.shape[1])
+                last = -np.partition(-near, take - 1, axis=1)[:, take - 1 : take]
+                rows, at = np.nonzero(near >= last - SLACK)
+                yield pa.RecordBatch.from_arrays([pa.array(refs[rows]), batch.column("ref").take(pa.array(at)), pa.array(near[rows, at])], ["q", "v", "near"])
 
         every = entries.select("ref", "v").mapInArrow(scan, "q bigint, v bigint, near double")
         parts.append(materialise(_nearest(every, k), "ann-scanned"))

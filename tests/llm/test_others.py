@@ -41,6 +41,33 @@ def test_neighbours(spark, n):
     assert ann.search(table.limit(0), asked.limit(0), 5).count() == 0
 
 
+def test_many_ties_go_to_the_smaller_ids(spark):
+    """Eighty scaled copies of one vector tie; rounding may not lose the smallest ids."""
+    rng = np.random.default_rng(8)
+    base, other = rng.normal(size=16), rng.normal(size=(200, 16))
+    rows = [(i, (base * 2.0 ** (i % 7)).tolist(), 0) for i in range(80)] + [(100 + i, x.tolist(), 0) for i, x in enumerate(other)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, ref int").repartition(4)
+    got = ann.search(table, table.where("vec_id IN (0, 50)"), 5).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in (1, 2, 3, 4, 5)] + [(50, i) for i in (0, 1, 2, 3, 4)]
+
+
+def test_probes_are_the_best_pairs():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(20, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    space = ann.CrossPolytope(12)
+    codes = space.buckets(v, 0, 40)
+    for row, code in zip(v, codes):
+        loss = []
+        for part in range(2):
+            x = space.rotated(row[None], 0, part)[0]
+            both = np.concatenate((x, -x))
+            loss.append((both.max() - both) ** 2)
+        sums = (loss[0][:, None] + loss[1][None, :]).reshape(-1)
+        assert np.allclose(np.sort(sums)[:40], sums[code])
+    assert (space.buckets(v, 0)[:, 0] == codes[:, 0]).all()
+
+
 def test_recall_of_the_query(spark, sf_dir):
     rows = ann.op6_ann(spark, sf_dir).collect()
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
