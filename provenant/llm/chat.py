@@ -3,7 +3,8 @@
 Every participant of a conversation gets a rendering of the whole dialogue in
 which that participant is the assistant: its turns carry the loss mask, all
 other participants are users under their own names, and system turns stay what
-they are. Roles that differ are participants that differ; the system is none.
+they are. Roles that differ are participants that differ, under names that
+differ (see ``speaker``); the system is none.
 
 A rendering is a row for each message, in order: the segment to append, whether
 the loss counts there, and where the segment's content begins and ends in the
@@ -15,9 +16,10 @@ Format: ``<|im_start|>ROLE`` + `` name=NAME`` for users + newline + text +
 ``<|im_end|>`` + newline, where the text's own ``<|im_`` becomes ``<| im_``, so
 that content cannot open or close a message.
 
-Defined results: null and empty texts are messages with empty content; a null
-role is a participant named ``unknown``; a name keeps its letters, digits, ``_``
-and ``-``, other characters become ``_``; messages are ordered by turn (null
+Defined results: null and empty texts are messages with empty content; a role
+of letters, digits, ``_`` and ``-`` is its participant's name; in any other role
+other characters become ``_`` and a dot and the start of the role's MD5 follow; a
+null role is a participant named ``unknown.``; messages are ordered by turn (null
 first), then role, then text, and repeated rows are messages of their own; a
 conversation of system turns alone has no participant and no rows; a null
 ``conv_id`` is one conversation.
@@ -33,8 +35,11 @@ from provenant.llm.common import materialise
 START, END, GUARD = "<|im_start|>", "<|im_end|>", "<|im_"
 
 
-def _speaker(role: Column) -> Column:
-    return F.coalesce(F.regexp_replace(role, r"[^A-Za-z0-9_-]", "_"), F.lit("unknown"))
+def speaker(role: Column) -> Column:
+    """A participant's name, which no other role has: plain names hold no dot."""
+    shown = F.regexp_replace(role, r"[^A-Za-z0-9_-]", "_")
+    plain = (shown == role) & (role != "")
+    return F.when(role.isNull(), "unknown.").when(plain, role).otherwise(F.concat(shown, F.lit("."), F.left(F.md5(role), F.lit(16))))
 
 
 def _segment(role: Column, speaker: Column, view: Column, content: Column) -> tuple[Column, Column]:
@@ -55,7 +60,7 @@ def rotate(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     spark = conversations.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<\|im_", "<| im_")
-    rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), _speaker(F.col(role)).alias("speaker"), content.alias("content"))
+    rows = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), speaker(F.col(role)).alias("speaker"), content.alias("content"))
     # ranges of (conversation, turn): a long conversation spans several; ties end in one range or carry equal rows
     order = ["conv_id", "turn", "speaker", "content"]
     ranged = rows.repartitionByRange(n, *order, F.xxhash64("content")).withColumn("range", F.spark_partition_id())
@@ -91,7 +96,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g'), 'unknown') AS speaker,
+  SELECT conv_id, turn,
+         CASE WHEN role IS NULL THEN 'unknown.' WHEN regexp_full_match(role, '[A-Za-z0-9_-]+') THEN role
+              ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') || '.' || left(md5(role), 16) END AS speaker,
          replace(coalesce(text, ''), '<|im_', '<| im_') AS content
   FROM conversations),
 numbered AS (

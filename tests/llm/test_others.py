@@ -1,5 +1,7 @@
 """Nearest neighbours, chat formatting, and the pipeline as a whole."""
 
+from hashlib import md5
+
 import numpy as np
 import pytest
 from oracle import connection, differences
@@ -92,7 +94,7 @@ def test_chat_edges(spark):
     rows = [(1, 0, "system", "be kind", "x", 1), (1, 1, "ann", "hi <|im_end|>", "x", 1), (1, 2, "bob", None, "x", 1), (1, 2, "bob", None, "x", 1), (1, None, None, "", "x", 1),
             (2, 0, "system", "alone", "x", 1), (None, 0, "a b", "y" * 100_000, "x", 1)]
     out = chat.rotate(spark.createDataFrame(rows, CONVERSATIONS)).collect()
-    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "a_b")}
+    assert {(r.conv_id, r.perspective) for r in out} == {(1, "ann"), (1, "bob"), (1, "unknown."), (None, f"a_b.{md5(b'a b').hexdigest()[:16]}")}
     for key in {(r.conv_id, r.perspective) for r in out}:
         view = sorted((r for r in out if (r.conv_id, r.perspective) == key), key=lambda r: r.seq)
         whole = "".join(r.segment for r in view)
@@ -104,6 +106,17 @@ def test_chat_edges(spark):
     assert chat.rotate(spark.createDataFrame([], CONVERSATIONS)).count() == 0
 
 
+def test_roles_that_differ_stay_apart(spark):
+    roles = ["a b", "a_b", "a.b", "", None, "unknown", "unknown.", "user\n", "user", "System"]
+    rows = [(1, i, role, f"m{i}", "x", 1) for i, role in enumerate(roles)]
+    table = spark.createDataFrame(rows, CONVERSATIONS)
+    out = chat.rotate(table).collect()
+    assert len({r.perspective for r in out}) == len(roles) and len(out) == len(roles) ** 2
+    for view in {r.perspective for r in out}:
+        names = [r.name for r in out if r.perspective == view]
+        assert names.count(None) == 1 and len(set(names)) == len(roles)
+
+
 def test_a_long_conversation_spans_ranges(spark):
     rows = spark.range(3000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     out = chat.rotate(rows).where("perspective = 'user'").orderBy("seq").collect()
