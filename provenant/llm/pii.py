@@ -42,7 +42,7 @@ class Feistel:
     """A keyed permutation of range(size) for any size; ``tweak`` tells kinds of value apart."""
 
     def __init__(self, key: bytes):
-        self.key = key[:64]
+        self.key = key if len(key) <= 64 else blake2b(key).digest()
 
     def permute(self, value: int, size: int, tweak: bytes, backwards: bool = False) -> int:
         if size < 2:
@@ -126,9 +126,21 @@ def _iban(f: Feistel, text: str, back: bool) -> str | None:
     return _refill(text, f"{plain[:2]}{98 - mod97(body + plain[:2] + '00'):02d}{body}")
 
 
+#: The one- and two-digit country calling codes; all others have three digits.
+ONE_DIGIT_CODES = ("1", "7")
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _code(text: str) -> str:
+    """The country code of a number written without separators, with its plus sign."""
+    if text[:1] != "+":
+        return ""
+    return text[:2] if text[1] in ONE_DIGIT_CODES else text[:3] if text[1:3] in TWO_DIGIT_CODES else text[:4]
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     prefix = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    code = prefix[0] if prefix else ""
+    code = prefix[0] if prefix else _code(text)
     digits = re.sub(r"\D", "", text[len(code) :])
     american = len(digits) == 10 and code in ("", "+1")
     if not 7 <= len(digits) <= 13 or not (code or american):
@@ -192,18 +204,21 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
 
 #: Kind, pattern, replacement; of candidates that begin together the first valid one counts.
 KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] = (
-    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,80}", _secret),
-    ("secret", r"(?:(?<=password=)|(?<=passwd=)|(?<=pwd=)|(?<=token=)|(?<=secret=)|(?<=api_key=)|(?<=password = )|(?<=token = )|(?<=secret = )|(?<=api_key = )|(?<=password: )|(?<=token: )|(?<=secret: )|(?<=api_key: )|(?<=password=\")|(?<=token=\")|(?<=secret=\")|(?<=api_key=\")|(?<=password = \")|(?<=token = \")|(?<=secret = \")|(?<=api_key = \"))[A-Za-z0-9_.+/-]{6,128}", _secret),
+    ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,}", _secret),
+    ("credential", r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_.+/=-]{6,})", _secret),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", _ip),
     ("date", r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-]|\.\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\d)", _card),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)", _phone),
+    ("phone", r"(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)", _phone),
 )
-_REACH = 160  # characters around a trigger that a value may lie in
-_TRIGGER = re.compile(r"\d+|@|(?:password|passwd|pwd|token|secret|api_key)(?: ?[=:])")
+_REACH, _LONGEST = 160, 4096  # characters around a trigger that are searched, and how far these go on to the next blank
+_TRIGGER = re.compile(r"\d+|@|(?i:password|passwd|pwd|token|secret|api[_-]?key)|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)")
+
+
+_BLANK = re.compile(r"\s")
 
 
 class Pseudonymiser:
@@ -220,7 +235,11 @@ class Pseudonymiser:
                 if end >= 0:
                     yield begin, end
                 begin = max(0, m.start() - _REACH)
-            end = min(len(text), m.end() + _REACH)
+                low = max(0, begin - _LONGEST)
+                begin = max(low, end + 1, text.rfind(" ", low, begin), text.rfind("\n", low, begin))
+            if m.end() + _REACH > end:
+                end = m.end() + _REACH
+                end = stop.start() if (stop := _BLANK.search(text, end, end + _LONGEST)) else min(len(text), end + _LONGEST)
         if end >= 0:
             yield begin, end
 
@@ -233,9 +252,10 @@ class Pseudonymiser:
             for rank, (kind, pattern, put) in enumerate(self.patterns):
                 at = begin
                 while m := pattern.search(text, at, end):
-                    new = put(self.feistel, m[0], backwards)
+                    part = m.re.groups  # the value, without the word that announces it
+                    new = put(self.feistel, m[part], backwards)
                     if new is not None:
-                        options.append((m.start(), rank, m.end(), kind, new))
+                        options.append((m.start(part), rank, m.end(part), kind, new))
                     at = m.end() if new is not None else m.start() + 1
             for start, _, stop, kind, new in sorted(options):
                 if start >= last:
