@@ -7,7 +7,13 @@ one at a time as long as the log-likelihood rises by more than a penalty that
 grows with the log of the number of trigrams.
 
 Trigrams are hashed into ``buckets`` counters, so a model is a table of
-languages x buckets however large the corpus is. All labelled text is counted.
+languages x buckets however large the corpus is; buckets are halved until that
+table has ``MODEL_BYTES`` at most, whatever stands in the language column. All
+labelled text is counted.
+
+The evidence for a document's set is what a trigram's mean log-likelihood gains
+over a background where every bucket is as likely: below zero, no set of the
+languages learned explains the text.
 
 Defined results: null text, empty text and text without a letter give ``und``
 with score 0; ties go to the language that sorts first; rows repeat as given;
@@ -26,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm.common import documents, held_out
+from provenant.llm.common import documents, held_out, materialise
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
-LEAST_SHARE = 0.35  # of the main language, for a document to stay in the pipeline
-_RESULT = "lang string, score double, langs array<string>, shares array<double>"
+MODEL_BYTES = 1 << 28  # of the table that goes to every worker
+_RESULT = "lang string, score double, langs array<string>, shares array<double>, evidence double"
 
 
 @lru_cache(1)
@@ -78,10 +84,11 @@ class MixtureModel:
                 break
         return share, float(n @ np.log(probs @ share))
 
-    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float], float]:
+        """Main language, its share, the whole set with shares, and the evidence a trigram."""
         grams = trigrams(text, len(self.probs)) if text and self.langs else ()
         if not len(grams):
-            return UNDETERMINED, 0.0, [], []
+            return UNDETERMINED, 0.0, [], [], 0.0
         ids, n = np.unique(grams, return_counts=True)
         probs, n = self.probs[ids], n.astype(np.float64)
         total = n.sum()
@@ -102,7 +109,7 @@ class MixtureModel:
             chosen, share, best = [*chosen, k], new, value
         order = sorted(range(len(chosen)), key=lambda i: (-share[i], self.langs[chosen[i]]))
         langs, shares = [self.langs[chosen[i]] for i in order], [float(share[i]) for i in order]
-        return langs[0], min(1.0, shares[0]), langs, shares
+        return langs[0], min(1.0, shares[0]), langs, shares, best / total + float(np.log(len(self.probs)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +125,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", **options) -> MixtureModel:
-    """Count the trigrams of all labelled rows; the driver gets languages x buckets sums."""
+    """Count the trigrams of all labelled rows; the driver gets languages x buckets sums, of a checked size."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sums = rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(sums.column("lang").to_pylist()))
-    counts = np.zeros((len(langs), BUCKETS))
+    sums = materialise(rows.mapInArrow(_count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langid-counts")
+    known, buckets = sums.select("lang").distinct().count(), BUCKETS
+    while known * buckets * 8 > MODEL_BYTES and buckets > 64:
+        buckets //= 2
+    if known * buckets * 8 > MODEL_BYTES:
+        raise ValueError(f"{known} languages; a language column holds a few thousand at most")
+    # a smaller power of two: the bucket of a trigram is what remains of the larger one
+    table = sums.groupBy("lang", (F.col("bucket") % buckets).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    names = table.column("lang").combine_chunks().dictionary_encode() if len(table) else None
+    spoken = names.dictionary.to_pylist() if names is not None else []
+    langs = sorted(spoken)
+    counts = np.zeros((len(langs), buckets))
     if langs:
         at = {x: i for i, x in enumerate(langs)}
-        code = np.array([at[x] for x in sums.column("lang").to_pylist()])
-        counts[code, sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+        code = np.array([at[x] for x in spoken])[names.indices.to_numpy()]
+        counts[code, table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return MixtureModel.from_counts(langs, counts, **options)
 
 
@@ -139,8 +155,9 @@ def identify(spark: SparkSession, model: MixtureModel, text: Column) -> Column:
         own = MixtureModel(*shared.value)
         for part in parts:
             got = [own.infer(t) for t in part.to_pylist()]
-            cols = list(zip(*got, strict=True)) or [[], [], [], []]
-            yield pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.list_(pa.float64()))], ["lang", "score", "langs", "shares"])
+            cols = list(zip(*got, strict=True)) or [[]] * 5
+            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["lang", "score", "langs", "shares", "evidence"])
 
     return infer(text)
 
@@ -149,14 +166,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(spark, model, F.col("text")).alias("r")).select(
-        "doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.langs", "r.shares"
+        "doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score", "r.langs", "r.shares", "r.evidence"
     )
 
 
 def reject_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a determinable main language go.
+    """Pipeline stage: documents that no set of the learned languages explains go.
 
-    These have no letter at all, or are split so that no language has ``LEAST_SHARE``.
+    These have no letter at all, or a background of equally likely trigrams
+    explains them better than the languages do, as text in another script.
+    A document in several learned languages stays, however many they are.
 
     Where nothing is labelled there is no model, and nothing is rejected.
     """
@@ -164,4 +183,4 @@ def reject_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if not model.langs:
         return docs
     lang = identify(spark, model, F.col("text"))
-    return docs.where((lang["lang"] != UNDETERMINED) & (lang["score"] >= LEAST_SHARE))
+    return docs.where((lang["lang"] != UNDETERMINED) & (lang["evidence"] > 0))

@@ -1,21 +1,25 @@
 """Token counts without token ids.
 
-A text is cut into pre-tokens; each distinct pre-token is given to the
-tokenizer's merge model once and only the number of its pieces is kept. Within
-an Arrow batch this is a join: the batch's pre-tokens are dictionary-encoded,
-piece counts belong to the dictionary, and each document's sum is that of its
-pre-token frequencies times the counts. Counts of short pre-tokens stay in a
-table of at most ``CACHE`` entries for later batches of the same task. No
-shuffle takes place and no ids are made.
+A part is a few million characters of texts. Its pre-tokens are dictionary
+encoded, which leaves the part's distinct pre-tokens and, for each document, the
+codes that occur in it with their frequencies. The distinct pre-tokens of all
+parts meet by a shuffle, so each is given to the tokenizer's merge model once in
+the whole job; only the number of its pieces is kept. These numbers are joined
+back to the parts that hold the pre-token, and from there to the documents,
+whose counts are the sums of frequency times pieces. No ids are made, and a very
+common pre-token travels once a part, not once an occurrence.
 
 Special tokens written in a text count as one token, as the library has it by
-default. Null and empty texts have 0 tokens and 0 bytes; rows repeat as given.
+default. Null and empty texts have 0 tokens and 0 bytes; rows repeat as given,
+null ids included; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,35 +31,24 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from provenant.llm.bpe import Splitter, byte_characters
-from provenant.llm.common import documents
+from provenant.llm.common import documents, materialise
 
-CACHE, CACHED_LENGTH = 400_000, 64
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-PART_CHARS = 1 << 22  # of texts whose pre-tokens are held at once
+PART = 1 << 22  # characters of texts whose pre-tokens are held at once
 
 
 class PieceCounter:
-    """Number of pieces of each pre-token of a byte-level BPE file."""
+    """Cuts texts into pre-tokens, and counts the pieces of a pre-token, for a byte-level BPE file."""
 
     def __init__(self, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN):
-        self.model = Tokenizer.from_file(path).model
-        self.split = Splitter(pattern)
-        with open(path, encoding="utf-8") as f:
-            special = sorted((t["content"] for t in json.load(f)["added_tokens"]), key=len, reverse=True)
+        whole = Tokenizer.from_file(path)
+        self.model, self.split = whole.model, Splitter(pattern)
+        special = sorted((t.content for t in whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        chars = byte_characters()
-        self.table = [chars[b] for b in range(256)]
-        self.cache: dict[str, int] = {}
+        self.table = byte_characters()
 
     def pieces(self, pretoken: str) -> int:
-        n = self.cache.get(pretoken)
-        if n is None:
-            n = len(self.model.tokenize("".join(self.table[b] for b in pretoken.encode("utf-8"))))
-            if len(pretoken) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[pretoken] = n
-        return n
+        return len(self.model.tokenize(pretoken.encode("utf-8").decode("latin-1").translate(self.table)))
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and the number of special tokens in it."""
@@ -64,36 +57,76 @@ class PieceCounter:
         parts = self.special.split(text)
         return [p for part in parts for p in self.split(part)], len(parts) - 1
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text: frequencies of dictionary codes times the pieces of each entry."""
-        found, extra = zip(*map(self.pretokens, texts), strict=True)
-        sizes = np.array([len(p) for p in found], np.int64)
-        coded = pc.dictionary_encode(pa.array([p for pre in found for p in pre], pa.large_string()))
-        pieces = np.array([self.pieces(p) for p in coded.dictionary.to_pylist()], np.int64)
-        sums = np.concatenate(([0], np.cumsum(pieces[coded.indices.to_numpy()] if len(pieces) else np.empty(0, np.int64))))
-        ends = np.cumsum(sizes)
-        return sums[ends] - sums[ends - sizes] + np.array(extra, np.int64)
-
-
-def token_counts(text: Column, path: str = VOCABULARY) -> Column:
-    @F.arrow_udf("bigint")
-    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = PieceCounter(path)
-        for part in parts:
-            texts = [t or "" for t in part.to_pylist()]
-            out, i = [np.empty(0, np.int64)], 0
+
+@lru_cache(2)
+def counter_of(path: str) -> PieceCounter:
+    """One for each worker process."""
+    return PieceCounter(path)
+
+
+_FREQUENCIES = "part bigint, row bigint, doc_id bigint, n_bytes bigint, extra bigint, codes array<int>, freqs array<int>, entries array<string>"
+
+
+def _frequencies(path: str):
+    """(doc_id, text) to a row for each document, with its frequencies, and one for each part, with its distinct pre-tokens."""
+
+    def part_of(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        counter = counter_of(path)
+        found, extra = zip(*map(counter.pretokens, texts), strict=True)
+        coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(found)), pa.large_string()))
+        size, n = max(1, len(coded.dictionary)), len(texts)
+        rows = np.repeat(np.arange(n), [len(p) for p in found])
+        pairs, freqs = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
+        ends = np.append(np.cumsum(np.bincount(pairs // size, minlength=n)), [len(pairs)])
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        names = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(coded.dictionary)).astype(np.int32)), coded.dictionary.cast(pa.string()))
+        columns = [
+            pa.array(np.full(n + 1, uuid.uuid4().int >> 65, np.int64)), pa.array([*range(n), None], pa.int64()), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]),
+            pa.array([*(len(t.encode("utf-8")) for t in texts), None], pa.int64()), pa.array([*extra, None], pa.int64()),
+            pa.ListArray.from_arrays(offsets, pa.array((pairs % size).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(freqs.astype(np.int32))), names,
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FREQUENCIES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_numpy(zero_copy_only=False).tolist()]
+            i = 0
             while i < len(texts):
                 j, held = i, 0
-                while j < len(texts) and (j == i or held + len(texts[j]) <= PART_CHARS):
+                while j < len(texts) and (j == i or held + len(texts[j]) <= PART):
                     held += len(texts[j])
                     j += 1
-                out.append(counter.count(texts[i:j]))
+                yield part_of(batch.column(0).slice(i, j - i), texts[i:j])
                 i = j
-            yield pa.array(np.concatenate(out))
 
-    return count(text)
+    return run
+
+
+def pieces_of(pretoken: Column, path: str = VOCABULARY) -> Column:
+    """Number of pieces of each pre-token."""
+
+    @F.arrow_udf("int")
+    def count(part: pa.Array) -> pa.Array:
+        pieces = counter_of(path).pieces
+        return pa.array([pieces(p) for p in part.to_numpy(zero_copy_only=False).tolist()], pa.int32())
+
+    return count(pretoken)
+
+
+def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_frequencies(path), _FREQUENCIES)
+    parts = materialise(rows, "token-frequencies", compression="zstd")
+    entries = parts.where("row IS NULL").select("part", F.posexplode("entries").alias("code", "pretoken"))
+    counts = materialise(entries.select("pretoken").distinct().select("pretoken", pieces_of(F.col("pretoken")).alias("n")), "token-pieces")
+    # by sort and merge at every size: distinct pre-tokens grow with the documents
+    known = entries.join(counts.hint("merge"), "pretoken").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("known"))
+    pieces = known.select("part", F.col("known.n").alias("pieces"))
+    each = parts.where("row IS NOT NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs").join(pieces.hint("merge"), "part", "left")
+    times = F.zip_with("codes", "freqs", lambda c, f: (F.get("pieces", c) * f).cast("bigint"))
+    total = F.aggregate(times, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return each.select("doc_id", "n_bytes", (F.col("extra") + F.when(F.size("codes") > 0, total).otherwise(0)).alias("n_tokens"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), token_counts(F.col("text")).alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+    return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 512)

@@ -134,7 +134,7 @@ def test_pipeline(spark, sf_dir):
     docs = documents(spark, sf_dir)
     rows = {r.doc_id: r.text for r in docs.collect()}
     pred = {r.doc_id: r for r in langid.op8_language_id(spark, sf_dir).collect()}
-    left = {d: t for d, t in rows.items() if pred[d].lang_pred != "und" and pred[d].score >= langid.LEAST_SHARE}
+    left = {d: t for d, t in rows.items() if pred[d].lang_pred != "und" and pred[d].evidence > 0}
     from test_texts import kept_by_jaccard, naive_words
 
     ids = sorted(left)

@@ -258,7 +258,7 @@ def test_language_mixtures_and_edges(spark):
     assert model.infer("the cat sat " * 30 + "der hund lief " * 10)[2] == ["a", "b"]
     assert model.infer("the cat sat")[0] == "a"
     for text in (None, "", "12 !! 3"):
-        assert model.infer(text) == ("und", 0.0, [], [])
+        assert model.infer(text) == ("und", 0.0, [], [], 0.0)
     docs = frame(spark, [None, "", "the cat sat", "der hund lief", LONG], langs=["a", None, "a", "b", None])
     model = langid.fit(docs)
     got = [r[0] for r in docs.orderBy("doc_id").select(langid.identify(spark, model, F.col("text"))["lang"]).collect()]
@@ -268,6 +268,48 @@ def test_language_mixtures_and_edges(spark):
     assert {r.doc_id for r in langid.reject_stage(spark, docs, "").collect()} >= {2, 3}
 
 
+def best_set(model, text):
+    """The penalised likelihood's best set by trying every set, its shares by a fine grid or long EM."""
+    ids, n = np.unique(langid.trigrams(text, len(model.probs)), return_counts=True)
+    probs, price = model.probs[ids], model.penalty * np.log(n.sum() + 1)
+    found = []
+    for size in range(1, len(model.langs) + 1):
+        for chosen in itertools.combinations(range(len(model.langs)), size):
+            share = np.full(size, 1 / size)
+            for _ in range(3000):
+                mix = probs[:, chosen] @ share
+                share = share * ((n / mix) @ probs[:, chosen]) / n.sum()
+            found.append((float(n @ np.log(probs[:, chosen] @ share)) - price * (size - 1), sorted(zip(-share, (model.langs[i] for i in chosen)))))
+    return max(found)
+
+
+def test_mixture_equals_trying_every_set():
+    rng = random.Random(7)
+    tongues = {k: words(random.Random(i), 60) for i, k in enumerate("abcd")}
+    counts = np.stack([np.bincount(langid.trigrams(" ".join(w * 20)), minlength=langid.BUCKETS) for w in tongues.values()])
+    model = langid.MixtureModel.from_counts(list(tongues), counts)
+    for mix in ("a", "b", "ab", "abc", "abcd", "aab", "ddddc"):
+        text = " ".join(rng.choice(tongues[rng.choice(mix)]) for _ in range(400))
+        lang, score, langs, shares, evidence = model.infer(text)
+        value, expected = best_set(model, text)
+        assert sorted(langs) == sorted(x for _, x in expected) and evidence > 0
+        assert all(abs(s + dict((x, y) for y, x in expected)[k]) < 0.02 for k, s in zip(langs, shares)) and lang == langs[0] and score == shares[0]
+
+
+def test_stage_rejects_what_no_language_explains(spark):
+    tongues = {k: " ".join(words(random.Random(i), 60) * 5) for i, k in enumerate("abc")}
+    texts = [*(t for t in tongues.values() for _ in range(9)), " ".join(tongues.values()), "Съешь же ещё этих мягких французских булок", "1234 !!", None, ""]
+    docs = frame(spark, texts, langs=[*(k for k in tongues for _ in range(9)), *[None] * 5])
+    assert {r.doc_id for r in langid.reject_stage(spark, docs, "").collect()} == set(range(28))
+
+
+def test_language_model_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 3 * 1024 * 8)
+    tongues = {k: " ".join(words(random.Random(i), 60)) for i, k in enumerate("abc")}
+    model = langid.fit(frame(spark, list(tongues.values()), langs=list(tongues)))
+    assert model.probs.shape == (1024, 3) and all(model.infer(t)[0] == k for k, t in tongues.items())
+
+
 # --- byte-level BPE, token counts, token store
 
 
@@ -308,10 +350,17 @@ def test_token_counts(spark, sf_dir, texts, library):
     for r in tokencount.op7_token_counts(spark, sf_dir).collect():
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
-    docs = frame(spark, ODD)
-    for r in docs.select("text", tokencount.token_counts(F.col("text")).alias("n")).collect():
-        assert r.n == len(library.encode(r.text or "", add_special_tokens=False).ids)
-    assert frame(spark, []).select(tokencount.token_counts(F.col("text"))).count() == 0
+    assert tokencount.token_counts(frame(spark, [])).count() == 0
+
+
+def test_token_counts_edges(spark, library, monkeypatch):
+    """Odd, null, empty, long and repeated texts, repeated and null ids, many small parts."""
+    monkeypatch.setattr(tokencount, "PART", 2000)
+    texts = [*ODD, LONG, ODD[4], LONG]
+    ids = [*range(len(texts) - 2), None, 0]
+    expected = sorted((i is None, i or 0, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in zip(ids, texts))
+    got = tokencount.token_counts(frame(spark, texts, ids)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == expected
 
 
 def expected_store(library, rows):
