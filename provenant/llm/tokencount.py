@@ -4,10 +4,10 @@ A part is a few million characters of texts. Its pre-tokens are dictionary
 encoded, which leaves the part's distinct pre-tokens and, for each document, the
 codes that occur in it with their frequencies. The distinct pre-tokens of all
 parts meet by a shuffle, so each is given to the tokenizer's merge model once in
-the whole job; only the number of its pieces is kept. These numbers are joined
-back to the parts that hold the pre-token, and from there to the documents,
-whose counts are the sums of frequency times pieces. No ids are made, and a very
-common pre-token travels once a part, not once an occurrence.
+the whole job; only the number of its pieces is kept. These numbers go back to
+the parts that hold the pre-token and are joined there to the documents, whose
+counts are the sums of frequency times pieces. No ids are made, and a very common
+pre-token travels once a part, not once an occurrence.
 
 Special tokens written in a text count as one token, as the library has it by
 default. Null and empty texts have 0 tokens and 0 bytes; rows repeat as given,
@@ -26,7 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -64,26 +64,63 @@ def counter_of(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-_FREQUENCIES = "part bigint, row bigint, doc_id bigint, n_bytes bigint, extra bigint, codes array<int>, freqs array<int>, entries array<string>"
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in groups of seven bits, least first, all but the last with a high bit; and the bytes each takes."""
+    values = values.astype(np.int64)
+    n = np.ones(len(values), np.int64)
+    for k in range(1, 5):
+        n += values >= 1 << (7 * k)
+    starts = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(5):
+        some = n > k
+        out[starts[some] + k] = (values[some] >> (7 * k)) & 127 | np.where(n[some] > k + 1, 128, 0)
+    return out, n
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    place = np.arange(len(data)) - np.repeat(starts, last - starts + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts) if len(last) else np.empty(0, np.int64)
+
+
+_FREQUENCIES = "part bigint, doc_id bigint, n_bytes bigint, extra bigint, codes binary, freqs binary, entries array<string>"
+_COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
 def _frequencies(path: str):
-    """(doc_id, text) to a row for each document, with its frequencies, and one for each part, with its distinct pre-tokens."""
+    """(doc_id, text) to a row for each document, with its frequencies, and one for each part, with its distinct pre-tokens.
+
+    Codes number a part's pre-tokens by falling frequency. A document has its
+    codes in order, each as twice the step from the one before, plus one if it
+    occurs more than once; ``freqs`` has how often these do.
+    """
 
     def part_of(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         counter = counter_of(path)
         found, extra = zip(*map(counter.pretokens, texts), strict=True)
         coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(found)), pa.large_string()))
-        size, n = max(1, len(coded.dictionary)), len(texts)
-        rows = np.repeat(np.arange(n), [len(p) for p in found])
-        pairs, freqs = np.unique(rows * size + coded.indices.to_numpy(), return_counts=True)
-        ends = np.append(np.cumsum(np.bincount(pairs // size, minlength=n)), [len(pairs)])
-        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-        names = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(coded.dictionary)).astype(np.int32)), coded.dictionary.cast(pa.string()))
+        size, n, at = max(1, len(coded.dictionary)), len(texts), coded.indices.to_numpy()
+        order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs, freq = np.unique(np.repeat(np.arange(n), [len(p) for p in found]) * size + place[at], return_counts=True)
+        row, code = pairs // size, pairs % size
+        step = np.diff(code, prepend=0)
+        step[np.flatnonzero(np.diff(row, prepend=-1))] = code[np.flatnonzero(np.diff(row, prepend=-1))]
+        several = freq > 1
+
+        def by_row(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+            data, width = packed(values)
+            ends = np.cumsum(np.bincount(rows, width, minlength=n)).astype(np.int64)
+            offsets = np.concatenate(([0], ends, ends[-1:])).astype(np.int32)
+            return pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+        names = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(order)).astype(np.int32)), coded.dictionary.take(pa.array(order)).cast(pa.string()))
         columns = [
-            pa.array(np.full(n + 1, uuid.uuid4().int >> 65, np.int64)), pa.array([*range(n), None], pa.int64()), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]),
-            pa.array([*(len(t.encode("utf-8")) for t in texts), None], pa.int64()), pa.array([*extra, None], pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array((pairs % size).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(freqs.astype(np.int32))), names,
+            pa.array(np.full(n + 1, uuid.uuid4().int >> 65, np.int64)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), pa.array([*(len(t.encode("utf-8")) for t in texts), None], pa.int64()),
+            pa.array([*extra, None], pa.int64()), by_row(2 * step + several, row), by_row(freq[several], row[several]), names,
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FREQUENCIES.split(", ")])
 
@@ -102,30 +139,52 @@ def _frequencies(path: str):
     return run
 
 
-def pieces_of(pretoken: Column, path: str = VOCABULARY) -> Column:
-    """Number of pieces of each pre-token."""
+def _pieces(path: str):
+    """(part, code, pretoken), equal pre-tokens together, to (part, code, n): each is given to the model once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, now, n = counter_of(path).pieces, None, 0
+        for batch in batches:
+            coded = pc.run_end_encode(batch.column("pretoken"))
+            counts = []
+            for p in coded.values.to_numpy(zero_copy_only=False).tolist():
+                if p != now:  # else it goes on from the batch before
+                    now, n = p, pieces(p)
+                counts.append(n)
+            each = np.repeat(np.array(counts, np.int32), np.diff(coded.run_ends.to_numpy(), prepend=0))
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("code"), pa.array(each)], ["part", "code", "n"])
+
+    return run
 
-    @F.arrow_udf("int")
-    def count(part: pa.Array) -> pa.Array:
-        pieces = counter_of(path).pieces
-        return pa.array([pieces(p) for p in part.to_numpy(zero_copy_only=False).tolist()], pa.int32())
 
-    return count(pretoken)
+def _sum_part(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """The documents of one part, and the pieces of its codes, to their counts."""
+    pieces = np.zeros(len(known) + 1, np.int64)
+    pieces[known["code"].to_numpy()] = known["n"].to_numpy()
+    bytes_of = lambda c: np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8)
+    data, freqs = bytes_of("codes"), unpacked(bytes_of("freqs"))
+    step = unpacked(data)
+    # where each document's codes end: as many as bytes without a high bit
+    ends = np.concatenate(([0], np.cumsum(data < 128)))[np.cumsum([0, *(len(x) for x in docs["codes"].to_pylist())])]
+    times = np.ones(len(step), np.int64)
+    times[step % 2 == 1] = freqs
+    total = np.cumsum(step // 2)
+    first = ends[:-1][ends[1:] > ends[:-1]]
+    code = total - np.repeat(np.concatenate(([0], total))[first], np.diff(np.append(first, len(step))))
+    sums = np.concatenate(([0], np.cumsum(pieces[code] * times)))
+    counts = sums[ends[1:]] - sums[ends[:-1]] + docs["extra"].to_numpy()
+    return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pa.array(counts)})
 
 
 def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_frequencies(path), _FREQUENCIES)
     parts = materialise(rows, "token-frequencies", compression="zstd")
-    entries = parts.where("row IS NULL").select("part", F.posexplode("entries").alias("code", "pretoken"))
-    counts = materialise(entries.select("pretoken").distinct().select("pretoken", pieces_of(F.col("pretoken")).alias("n")), "token-pieces")
-    # by sort and merge at every size: distinct pre-tokens grow with the documents
-    known = entries.join(counts.hint("merge"), "pretoken").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("known"))
-    pieces = known.select("part", F.col("known.n").alias("pieces"))
-    each = parts.where("row IS NOT NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs").join(pieces.hint("merge"), "part", "left")
-    times = F.zip_with("codes", "freqs", lambda c, f: (F.get("pieces", c) * f).cast("bigint"))
-    total = F.aggregate(times, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return each.select("doc_id", "n_bytes", (F.col("extra") + F.when(F.size("codes") > 0, total).otherwise(0)).alias("n_tokens"))
+    entries = parts.where("n_bytes IS NULL").select("part", F.posexplode("entries").alias("code", "pretoken"))
+    # a common pre-token is there once a part, and a task streams its rows past
+    known = entries.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_pieces(path), "part bigint, code int, n int")
+    each = parts.where("n_bytes IS NOT NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs")
+    return each.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_sum_part, _COUNTS)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

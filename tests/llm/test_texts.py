@@ -353,6 +353,13 @@ def test_token_counts(spark, sf_dir, texts, library):
     assert tokencount.token_counts(frame(spark, [])).count() == 0
 
 
+def test_packing():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**31])
+    data, n = tokencount.packed(values)
+    assert tokencount.unpacked(data).tolist() == values.tolist() and n.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 5, 5]
+    assert len(tokencount.unpacked(tokencount.packed(values[:0])[0])) == 0
+
+
 def test_token_counts_edges(spark, library, monkeypatch):
     """Odd, null, empty, long and repeated texts, repeated and null ids, many small parts."""
     monkeypatch.setattr(tokencount, "PART", 2000)
