@@ -20,6 +20,7 @@ import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,7 @@ from provenant.llm.common import documents, materialise
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PART = 1 << 22  # characters of texts whose pre-tokens are held at once
+BUCKETS = 4096  # of pre-tokens; a task holds the distinct ones of a bucket
 
 
 class PieceCounter:
@@ -85,12 +87,33 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts) if len(last) else np.empty(0, np.int64)
 
 
-_FREQUENCIES = "part bigint, doc_id bigint, n_bytes bigint, extra bigint, codes binary, freqs binary, entries array<string>"
+def steps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rising numbers as steps, anew from each start."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+def unstepped(out: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.cumsum(out)
+    return total - np.repeat(np.concatenate(([0], total))[starts], np.diff(np.append(starts, len(out))))
+
+
+def _unpacked_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row's end."""
+    rows = column.to_pylist()
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    # as many numbers as bytes without a high bit
+    return unpacked(data), np.concatenate(([0], np.cumsum(data < 128)))[np.cumsum([0, *map(len, rows)])]
+
+
+_FREQUENCIES = "part bigint, bucket int, doc_id bigint, n_bytes bigint, extra bigint, codes binary, freqs binary, entries array<string>"
+_KNOWN = "part bigint, codes binary, pieces binary"
 _COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
 def _frequencies(path: str):
-    """(doc_id, text) to a row for each document, with its frequencies, and one for each part, with its distinct pre-tokens.
+    """(doc_id, text) to a row for each document, with its frequencies, and rows with its part's distinct pre-tokens, by bucket.
 
     Codes number a part's pre-tokens by falling frequency. A document has its
     codes in order, each as twice the step from the one before, plus one if it
@@ -106,21 +129,27 @@ def _frequencies(path: str):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         pairs, freq = np.unique(np.repeat(np.arange(n), [len(p) for p in found]) * size + place[at], return_counts=True)
-        row, code = pairs // size, pairs % size
-        step = np.diff(code, prepend=0)
-        step[np.flatnonzero(np.diff(row, prepend=-1))] = code[np.flatnonzero(np.diff(row, prepend=-1))]
-        several = freq > 1
-
-        def by_row(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+        row, several = pairs // size, freq > 1
+        step = steps(pairs % size, np.flatnonzero(np.diff(row, prepend=-1)))
+        names = coded.dictionary.take(pa.array(order))
+        bucket = np.fromiter((crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in names.to_numpy(zero_copy_only=False).tolist()), np.int64, len(order))
+        dealt = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[dealt], prepend=-1))
+        m = len(first)
+
+        def binary(before: int, values: np.ndarray, rows: np.ndarray, after: int, count: int) -> pa.Array:
             data, width = packed(values)
-            ends = np.cumsum(np.bincount(rows, width, minlength=n)).astype(np.int64)
-            offsets = np.concatenate(([0], ends, ends[-1:])).astype(np.int32)
-            return pa.BinaryArray.from_buffers(pa.binary(), n + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-
-        names = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n + 1), len(order)).astype(np.int32)), coded.dictionary.take(pa.array(order)).cast(pa.string()))
+            ends = np.cumsum(np.bincount(rows, width, minlength=count)).astype(np.int32)
+            offsets = np.concatenate((np.zeros(before + 1, np.int32), ends, np.full(after, len(data), np.int32)))
+            return pa.BinaryArray.from_buffers(pa.binary(), before + count + after, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+        of_bucket = np.cumsum(np.diff(bucket[dealt], prepend=-1) != 0) - 1
+        codes = pa.concat_arrays([binary(0, 2 * step + several, row, 0, n), binary(0, steps(dealt, first), of_bucket, 0, m)])
+        entries = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(n), first, [len(dealt)])).astype(np.int32)), names.take(pa.array(dealt)).cast(pa.string()))
+        none = [None] * m
         columns = [
-            pa.array(np.full(n + 1, uuid.uuid4().int >> 65, np.int64)), pa.concat_arrays([ids, pa.nulls(1, pa.int64())]), pa.array([*(len(t.encode("utf-8")) for t in texts), None], pa.int64()),
-            pa.array([*extra, None], pa.int64()), by_row(2 * step + several, row), by_row(freq[several], row[several]), names,
+            pa.array(np.full(n + m, uuid.uuid4().int >> 65, np.int64)), pa.array([*[None] * n, *bucket[dealt][first].tolist()], pa.int32()), pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
+            pa.array([*(len(t.encode("utf-8")) for t in texts), *none], pa.int64()), pa.array([*extra, *none], pa.int64()), codes, binary(0, freq[several], row[several], m, n), entries,
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FREQUENCIES.split(", ")])
 
@@ -140,37 +169,34 @@ def _frequencies(path: str):
 
 
 def _pieces(path: str):
-    """(part, code, pretoken), equal pre-tokens together, to (part, code, n): each is given to the model once."""
+    """(bucket, part, codes, entries), equal buckets together, to (part, codes, pieces): each pre-token is given to the model once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, now, n = counter_of(path).pieces, None, 0
+        count, now, known = counter_of(path).pieces, None, {}
         for batch in batches:
-            coded = pc.run_end_encode(batch.column("pretoken"))
-            counts = []
-            for p in coded.values.to_numpy(zero_copy_only=False).tolist():
-                if p != now:  # else it goes on from the batch before
-                    now, n = p, pieces(p)
-                counts.append(n)
-            each = np.repeat(np.array(counts, np.int32), np.diff(coded.run_ends.to_numpy(), prepend=0))
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("code"), pa.array(each)], ["part", "code", "n"])
+            out = []
+            for bucket, names in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_numpy(zero_copy_only=False), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                names = names.tolist()
+                for p in names:
+                    if p not in known:
+                        known[p] = count(p)
+                out.append(packed(np.array([known[p] for p in names], np.int64))[0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("codes"), pa.array(out, pa.binary())], ["part", "codes", "pieces"])
 
     return run
 
 
 def _sum_part(docs: pa.Table, known: pa.Table) -> pa.Table:
     """The documents of one part, and the pieces of its codes, to their counts."""
-    pieces = np.zeros(len(known) + 1, np.int64)
-    pieces[known["code"].to_numpy()] = known["n"].to_numpy()
-    bytes_of = lambda c: np.frombuffer(b"".join(docs[c].to_pylist()), np.uint8)
-    data, freqs = bytes_of("codes"), unpacked(bytes_of("freqs"))
-    step = unpacked(data)
-    # where each document's codes end: as many as bytes without a high bit
-    ends = np.concatenate(([0], np.cumsum(data < 128)))[np.cumsum([0, *(len(x) for x in docs["codes"].to_pylist())])]
+    step, ends = _unpacked_rows(known["codes"])
+    pieces = np.zeros(len(step) + 1, np.int64)
+    pieces[unstepped(step, ends[:-1])] = _unpacked_rows(known["pieces"])[0]
+    step, ends = _unpacked_rows(docs["codes"])
     times = np.ones(len(step), np.int64)
-    times[step % 2 == 1] = freqs
-    total = np.cumsum(step // 2)
-    first = ends[:-1][ends[1:] > ends[:-1]]
-    code = total - np.repeat(np.concatenate(([0], total))[first], np.diff(np.append(first, len(step))))
+    times[step % 2 == 1] = _unpacked_rows(docs["freqs"])[0]
+    code = unstepped(step // 2, ends[:-1][ends[1:] > ends[:-1]])
     sums = np.concatenate(([0], np.cumsum(pieces[code] * times)))
     counts = sums[ends[1:]] - sums[ends[:-1]] + docs["extra"].to_numpy()
     return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pa.array(counts)})
@@ -180,10 +206,9 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_frequencies(path), _FREQUENCIES)
     parts = materialise(rows, "token-frequencies", compression="zstd")
-    entries = parts.where("n_bytes IS NULL").select("part", F.posexplode("entries").alias("code", "pretoken"))
-    # a common pre-token is there once a part, and a task streams its rows past
-    known = entries.repartition("pretoken").sortWithinPartitions("pretoken").mapInArrow(_pieces(path), "part bigint, code int, n int")
-    each = parts.where("n_bytes IS NOT NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs")
+    entries = parts.where("bucket IS NOT NULL").select("bucket", "part", "codes", "entries")
+    known = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pieces(path), _KNOWN)
+    each = parts.where("bucket IS NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs")
     return each.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_sum_part, _COUNTS)
 
 
