@@ -49,8 +49,8 @@ class PieceCounter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.table = byte_characters()
 
-    def pieces(self, pretoken: str) -> int:
-        return len(self.model.tokenize(pretoken.encode("utf-8").decode("latin-1").translate(self.table)))
+    def pieces(self, pretoken: bytes) -> int:
+        return len(self.model.tokenize(pretoken.decode("latin-1").translate(self.table)))
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and the number of special tokens in it."""
@@ -107,7 +107,11 @@ def _unpacked_rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return unpacked(data), np.concatenate(([0], np.cumsum(data < 128)))[np.cumsum([0, *map(len, rows)])]
 
 
-_FREQUENCIES = "part bigint, bucket int, doc_id bigint, n_bytes bigint, extra bigint, codes binary, freqs binary, entries array<string>"
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+_FREQUENCIES = "part bigint, bucket int, doc_id bigint, n_bytes bigint, extra bigint, codes binary, freqs binary, entries binary"
 _KNOWN = "part bigint, codes binary, pieces binary"
 _COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
@@ -117,7 +121,8 @@ def _frequencies(path: str):
 
     Codes number a part's pre-tokens by falling frequency. A document has its
     codes in order, each as twice the step from the one before, plus one if it
-    occurs more than once; ``freqs`` has how often these do.
+    occurs more than once; ``freqs`` has how often these do. A bucket has its
+    pre-tokens' bytes one after another in ``entries``, their lengths in ``freqs``.
     """
 
     def part_of(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
@@ -132,24 +137,26 @@ def _frequencies(path: str):
         row, several = pairs // size, freq > 1
         step = steps(pairs % size, np.flatnonzero(np.diff(row, prepend=-1)))
         names = coded.dictionary.take(pa.array(order))
-        bucket = np.fromiter((crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in names.to_numpy(zero_copy_only=False).tolist()), np.int64, len(order))
+        bucket = np.fromiter((crc32(p) % BUCKETS for p in names.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), np.int64, len(order))
         dealt = np.argsort(bucket, kind="stable")
         first = np.flatnonzero(np.diff(bucket[dealt], prepend=-1))
         m = len(first)
 
-        def binary(before: int, values: np.ndarray, rows: np.ndarray, after: int, count: int) -> pa.Array:
+        def binary(values: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
             data, width = packed(values)
-            ends = np.cumsum(np.bincount(rows, width, minlength=count)).astype(np.int32)
-            offsets = np.concatenate((np.zeros(before + 1, np.int32), ends, np.full(after, len(data), np.int32)))
-            return pa.BinaryArray.from_buffers(pa.binary(), before + count + after, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            return _binary(np.concatenate(([0], np.cumsum(np.bincount(rows, width, minlength=count)))), data)
 
         of_bucket = np.cumsum(np.diff(bucket[dealt], prepend=-1) != 0) - 1
-        codes = pa.concat_arrays([binary(0, 2 * step + several, row, 0, n), binary(0, steps(dealt, first), of_bucket, 0, m)])
-        entries = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(n), first, [len(dealt)])).astype(np.int32)), names.take(pa.array(dealt)).cast(pa.string()))
+        names = names.take(pa.array(dealt)).cast(pa.binary())
+        _, edges, held = names.buffers()
+        edges = np.frombuffer(edges, np.int32)[names.offset : names.offset + len(names) + 1]
+        codes = pa.concat_arrays([binary(2 * step + several, row, n), binary(steps(dealt, first), of_bucket, m)])
+        freqs = pa.concat_arrays([binary(freq[several], row[several], n), binary(np.diff(edges), of_bucket, m)])
+        entries = _binary(np.concatenate((np.zeros(n), edges[first], edges[-1:])), np.frombuffer(held or b"", np.uint8))
         none = [None] * m
         columns = [
             pa.array(np.full(n + m, uuid.uuid4().int >> 65, np.int64)), pa.array([*[None] * n, *bucket[dealt][first].tolist()], pa.int32()), pa.concat_arrays([ids, pa.nulls(m, pa.int64())]),
-            pa.array([*(len(t.encode("utf-8")) for t in texts), *none], pa.int64()), pa.array([*extra, *none], pa.int64()), codes, binary(0, freq[several], row[several], m, n), entries,
+            pa.array([*(len(t.encode("utf-8")) for t in texts), *none], pa.int64()), pa.array([*extra, *none], pa.int64()), codes, freqs, entries,
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _FREQUENCIES.split(", ")])
 
@@ -169,16 +176,17 @@ def _frequencies(path: str):
 
 
 def _pieces(path: str):
-    """(bucket, part, codes, entries), equal buckets together, to (part, codes, pieces): each pre-token is given to the model once."""
+    """(bucket, part, codes, freqs, entries), equal buckets together, to (part, codes, pieces): each pre-token is given to the model once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, now, known = counter_of(path).pieces, None, {}
         for batch in batches:
             out = []
-            for bucket, names in zip(batch.column("bucket").to_pylist(), batch.column("entries").to_numpy(zero_copy_only=False), strict=True):
+            for bucket, lengths, held in zip(*(batch.column(c).to_pylist() for c in ("bucket", "freqs", "entries")), strict=True):
                 if bucket != now:
                     now, known = bucket, {}
-                names = names.tolist()
+                ends = np.cumsum(unpacked(np.frombuffer(lengths, np.uint8))).tolist()
+                names = [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 for p in names:
                     if p not in known:
                         known[p] = count(p)
@@ -206,7 +214,7 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pa
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_frequencies(path), _FREQUENCIES)
     parts = materialise(rows, "token-frequencies", compression="zstd")
-    entries = parts.where("bucket IS NOT NULL").select("bucket", "part", "codes", "entries")
+    entries = parts.where("bucket IS NOT NULL").select("bucket", "part", "codes", "freqs", "entries")
     known = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pieces(path), _KNOWN)
     each = parts.where("bucket IS NULL").select("part", "doc_id", "n_bytes", "extra", "codes", "freqs")
     return each.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_sum_part, _COUNTS)
