@@ -1,9 +1,14 @@
 """Toxicity by a lexicon, matched through Levenshtein automata, and the context of its hits.
 
 Learning (labelled rows only): document counts of words and of word stems give
-the lexicon: terms that are found in toxic documents far more often than in
-others. Each term keeps the toxicity of the documents that hold it, and of
-those that hold a misspelling of it.
+the lexicon: terms of which most documents are toxic, and so many that no word
+out of all would be by chance (see ``unlikely``). How much evidence that takes
+depends on the share of toxic documents and the log of the number of words, not
+on the number of documents. Each term keeps the toxicity of the documents that
+hold it, and of those that hold a misspelling of it.
+
+A word is a run of letters, within which one or two digits or signs may stand
+for others, as in ``id1ot``.
 
 Matching: the Levenshtein automaton of a word (one error for terms of 4 to 7
 letters, two from 8 on, none for shorter ones and stems) is intersected with
@@ -34,11 +39,13 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import documents, held_out, materialise
 
-LEXICON = 1024  # terms at most: the size of the model, by evidence; the counts behind it cover all labelled rows
+LEXICON = 200_000  # terms that fit a worker; more are an error, none is left out
+CHANCE = 0.1  # of any word at all entering the lexicon without being toxic
 STEMS = range(4, 9)
 WINDOW, STATES = 6, 50_000
 LIKELY = 0.5  # least worth of a hit
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+(?:[0-9@$+*!|]{1,2}[^\W\d_]+)*")
+_WORD_SQL = r"\p{L}+(?:[0-9@$+*!|]{1,2}\p{L}+)*"
 #: Words that introduce somebody else's words.
 REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes word words term insult insults a_dit dit écrit appelé mot sagte schrieb nannte wort dijo escribió llamó palabra".split())
 _OPEN_QUOTES = "\"“”„«»"
@@ -204,11 +211,19 @@ def _shared_rate(toxic: np.ndarray, clean: np.ndarray, prior: float, weight: flo
     return (toxic + weight * prior) / (toxic + clean + weight)
 
 
+def unlikely(t: Column, n: Column, share: float, words: int) -> Column:
+    """Whether t of n documents being toxic is too much for the luckiest of ``words`` words (Chernoff's bound)."""
+    p = min(max(share, 1e-9), 1 - 1e-9)
+    rate = t / n
+    clean = F.when(t < n, (n - t) * F.log((1 - rate) / F.lit(1 - p))).otherwise(0.0)
+    return (rate > p) & (F.when(t > 0, t * F.log(rate / F.lit(p))).otherwise(0.0) + clean >= float(np.log(max(1, words) / CHANCE)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: float = 0.8) -> ToxicityModel:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Only the lexicon and sums by term come to the driver, at most ``lexicon``
-    rows of each kind.
+    Only the lexicon and sums by term come to the driver; ``ValueError`` if
+    there are more than ``lexicon`` rows of a kind.
     """
     # by sort and merge at every size: the labels grow with the documents
     known = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").hint("merge")
@@ -217,25 +232,29 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: f
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return ToxicityModel([], [], [], [], [])
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 32)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD_SQL), F.lit(0)))
     seen = rows.select("toxic", words.alias("words"))
     by_word = materialise(seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "toxicity-words")
     stems = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.array(*map(F.lit, STEMS)), lambda k: F.when(F.length(w) > k, F.substring(w, F.lit(1), k))))))
-    least, least_stem = max(5, int(np.ceil(toxic / 200))), max(8, int(np.ceil(toxic / 100)))
 
-    def top(table: DataFrame, key: str, least: int) -> list[tuple[str, int, int]]:
-        return [tuple(r) for r in table.where((F.col("t") >= least) & (F.col("t") >= precision * F.col("n"))).orderBy(F.col("t").desc(), F.col("n"), key).limit(lexicon).select(key, "t", "n").collect()]
+    def admitted(table: DataFrame, key: str, tried: int) -> list[tuple[str, int, int]]:
+        evident = (F.col("t") >= precision * F.col("n")) & unlikely(F.col("t"), F.col("n"), toxic / n, tried)
+        found = [tuple(r) for r in table.where(evident).select(key, "t", "n").limit(lexicon + 1).collect()]
+        if len(found) > lexicon:
+            raise ValueError(f"more than {lexicon} toxic terms; a higher precision or lexicon is needed")
+        return sorted(found, key=lambda r: (-r[1], r[2], r[0]))
 
     # stems are counted where several words of toxic texts share them; whole words that a stem covers are dropped
     likely = by_word.where((F.col("t") > 0) & (F.col("t") >= 0.5 * F.col("n")))
     shared = likely.select(F.explode(F.array(*(F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS))).alias("stem"), F.col("t").alias("s")).where("stem IS NOT NULL")
-    shared = shared.groupBy("stem").agg(F.count("*").alias("forms"), F.sum("s").alias("s")).where((F.col("forms") >= 3) & (F.col("s") >= least_stem))
+    shared = shared.groupBy("stem").agg(F.count("*").alias("forms"), F.sum("s").alias("s")).where("forms >= 3")
     by_stem = seen.select("toxic", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    stem_rows = top(by_stem.join(shared.select("stem"), "stem", "left_semi"), "stem", least_stem)
+    by_stem = materialise(by_stem.join(shared.select("stem"), "stem", "left_semi"), "toxicity-stems")
+    stem_rows = admitted(by_stem, "stem", by_stem.count())
     chosen = {s for s, _, _ in stem_rows}
     stem_rows = [r for r in stem_rows if not any(r[0][:k] in chosen for k in range(min(STEMS), len(r[0])))]
     chosen = {s for s, _, _ in stem_rows}
-    term_rows = [r for r in top(by_word, "word", least) if not any(r[0][:k] in chosen for k in range(min(STEMS), len(r[0]) + 1))]
+    term_rows = [r for r in admitted(by_word, "word", by_word.count()) if not any(r[0][:k] in chosen for k in range(min(STEMS), len(r[0]) + 1))]
     rate = lambda found: _shared_rate(np.array([t for _, t, _ in found], float), np.array([n - t for _, t, n in found], float), toxic / n, 1.0).tolist()
     model = ToxicityModel([r[0] for r in term_rows], [r[0] for r in stem_rows], rate(term_rows), [0.0] * len(term_rows), rate(stem_rows))
     model.misspelt = _misspelt(by_word, model)

@@ -664,6 +664,70 @@ def test_toxicity_without_labels(spark):
     assert toxicity.Scorer(model).score("idiot") == 0
 
 
-def test_toxicity_query(spark, sf_dir, docs):
+def plain_words(text):
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+(?:[0-9@$+*!|]{1,2}[^\W\d_]+)*", text or "")]
+
+
+def plain_score(model, text):
+    """The rule, word by word against every term."""
+    found, innocent = plain_words(text), 1.0
+    for k, (start, end, word) in enumerate(found):
+        exact = [model.exact[i] for i, t in enumerate(model.terms) if t == word]
+        near = [model.misspelt[i] for i, t in enumerate(model.terms) if abs(len(t) - len(word)) <= toxicity.errors_allowed(t) and 0 < distance(word, t) <= toxicity.errors_allowed(t)]
+        stems = sorted(((len(x), model.stem[i]) for i, x in enumerate(model.stems) if word.startswith(x)), reverse=True)
+        worth = max(exact) if exact else max([0.0, *near, *(v for _, v in stems[:1])])
+        if worth < toxicity.LIKELY:
+            continue
+        left, right = found[max(0, k - toxicity.WINDOW)][0], found[min(len(found) - 1, k + toxicity.WINDOW)][1]
+        quoted = all(any(q in part for q in "\"“”„«»") for part in (text[left:start], text[end : right + 1]))
+        quoted = quoted or any(w in toxicity.REPORTING for _, _, w in found[max(0, k - 3) : k])
+        innocent *= 1 - worth * (model.quoted if quoted else 1.0)
+    return min(1.0, max(model.plain_text, 1 - innocent))
+
+
+def test_toxicity_query(spark, sf_dir, docs, texts):
+    """Scores equal the plain rule under the model, whose terms equal plain counting."""
+    learn = ~held_out(F.col("doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learn)
+    model = toxicity.fit(docs.where(learn), labels)
     rows = toxicity.op2_toxicity(spark, sf_dir).collect()
-    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert len(rows) == docs.count() and all(r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-12)
+
+
+def test_terms_equal_plain_counting(spark):
+    rng = random.Random(6)
+    vocabulary = words(rng, 300)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        w = [rng.choice(vocabulary) for _ in range(25)] + ([rng.choice(["idiot", "scum", "rarely"][: 2 + (i % 60 == 0)])] if bad else [])
+        rows.append(" ".join(w))
+        labels.append((i, int(bad)))
+    for times in (1, 3):  # more of the same evidence admits no less
+        docs = frame(spark, rows * times, ids=range(900 * times))
+        lab = [(i + 900 * k, t) for k in range(times) for i, t in labels]
+        seen = {}
+        for (i, bad), text in zip(lab, rows * times):
+            for w in {w for _, _, w in plain_words(text)}:
+                t, n = seen.get(w, (0, 0))
+                seen[w] = (t + bad, n + 1)
+        share = sum(t for _, t in lab) / len(lab)
+        gain = lambda t, n: sum(x * np.log(x / n / p) for x, p in ((t, share), (n - t, 1 - share)) if x)
+        expected = {w for w, (t, n) in seen.items() if t >= 0.8 * n and t / n > share and gain(t, n) >= np.log(len(seen) / toxicity.CHANCE)}
+        model = toxicity.fit(docs, spark.createDataFrame(lab, "doc_id bigint, toxic int"))
+        assert {"idiot", "scum"} <= set(model.terms) == {w for w in expected if not any(w.startswith(x) for x in model.stems)}
+    with pytest.raises(ValueError, match="more than 1"):
+        toxicity.fit(docs, spark.createDataFrame(lab, "doc_id bigint, toxic int"), lexicon=1)
+
+
+def test_signs_within_words(spark):
+    model = toxicity.ToxicityModel(["idiot", "worthless"], [], [0.9, 0.9], [0.8, 0.8], [])
+    scorer = toxicity.Scorer(model)
+    for text in ("an id1ot here", "so wor+hless", "IDI0T!", "1diot"):
+        assert bool(scorer.hits(text)) == (text != "4"), text
+    assert scorer.hits("3 id 1 ot wonder!") == []
+    assert toxicity.toxicity(spark, model, F.lit("x")) is not None
+    empty = frame(spark, [])
+    assert empty.select(toxicity.toxicity(spark, model, F.col("text"))["score"]).count() == 0
