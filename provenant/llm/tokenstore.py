@@ -44,8 +44,8 @@ from provenant.llm.common import documents, materialise, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-PART = 1 << 21  # characters of texts encoded at once
-KNOWN = 500_000  # pre-tokens a worker remembers, about 150 bytes each
+PART = 1 << 22  # characters of texts encoded at once
+KNOWN = 640_000  # pre-tokens a worker remembers, about 150 bytes each
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 2048  # ids: hashed together, cut on average at 1 in 256, least and most in a chunk
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, np.uint64)  # any fixed table does
@@ -92,8 +92,13 @@ class Encoder:
         """Ids of texts without special tokens."""
         if len(self.starts) > KNOWN:
             self._forget()
-        found = [self.split(t) for t in texts]
-        coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(found)), pa.large_string()))
+        found: list[str] = []
+        edges = [0]
+        for text in texts:
+            found += self.split(text)
+            edges.append(len(found))
+        coded = pc.dictionary_encode(pa.array(found, pa.large_string()))
+        del found
         names, at = strings(coded.dictionary), coded.indices.to_numpy()
         known = self.slots.get
         slot = np.array([known(p, -1) for p in names], np.int64)
@@ -105,7 +110,7 @@ class Encoder:
         slot = slot[at]
         counts = self.counts[slot]
         ids = gather(self.ids, self.starts[slot], counts)
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, found)])]
+        ends = np.concatenate(([0], np.cumsum(counts)))[edges]
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _segments(self, text: str) -> list[str | int]:
