@@ -5,7 +5,8 @@ the lexicon: terms of which most documents are toxic, and so many that no word
 out of all would be by chance (see ``unlikely``). How much evidence that takes
 depends on the share of toxic documents and the log of the number of words, not
 on the number of documents. Each term keeps the toxicity of the documents that
-hold it, and of those that hold a misspelling of it.
+hold it, and of those that hold a misspelling of it. Copies of one text count
+once, and as toxic if one of them is.
 
 A word is a run of letters, within which one or two digits or signs may stand
 for others, as in ``id1ot``.
@@ -22,8 +23,8 @@ such hits meant in the labelled rows. Hits combine as independent causes; a
 text without a hit scores what such texts did.
 
 Defined results: null, empty and wordless texts score as a text without a hit;
-with no labels at all every score is 0; rows repeat as given; several labels
-of one document count one each.
+with no labels at all every score is 0; rows repeat as given; a document with
+several labels is toxic if one says so.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import documents, held_out, materialise
 
 LEXICON = 200_000  # terms that fit a worker; more are an error, none is left out
-CHANCE = 0.1  # of any word at all entering the lexicon without being toxic
+CHANCE = 0.01  # of any word at all entering the lexicon without being toxic
 STEMS = range(4, 9)
 WINDOW, STATES = 6, 50_000
 LIKELY = 0.5  # least worth of a hit
@@ -228,7 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: f
     # by sort and merge at every size: the labels grow with the documents
     known = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").hint("merge")
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
-    rows = materialise(rows.select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-rows")
+    # copies of one text are one piece of evidence
+    rows = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    rows = materialise(rows.drop("copy"), "toxicity-rows")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return ToxicityModel([], [], [], [], [])

@@ -705,15 +705,15 @@ def test_terms_equal_plain_counting(spark):
         w = [rng.choice(vocabulary) for _ in range(25)] + ([rng.choice(["idiot", "scum", "rarely"][: 2 + (i % 60 == 0)])] if bad else [])
         rows.append(" ".join(w))
         labels.append((i, int(bad)))
-    for times in (1, 3):  # more of the same evidence admits no less
+    for times in (1, 3):  # copies of a text count once
         docs = frame(spark, rows * times, ids=range(900 * times))
         lab = [(i + 900 * k, t) for k in range(times) for i, t in labels]
         seen = {}
-        for (i, bad), text in zip(lab, rows * times):
+        for (i, bad), text in zip(labels, rows):
             for w in {w for _, _, w in plain_words(text)}:
                 t, n = seen.get(w, (0, 0))
                 seen[w] = (t + bad, n + 1)
-        share = sum(t for _, t in lab) / len(lab)
+        share = sum(t for _, t in labels) / len(labels)
         gain = lambda t, n: sum(x * np.log(x / n / p) for x, p in ((t, share), (n - t, 1 - share)) if x)
         expected = {w for w, (t, n) in seen.items() if t >= 0.8 * n and t / n > share and gain(t, n) >= np.log(len(seen) / toxicity.CHANCE)}
         model = toxicity.fit(docs, spark.createDataFrame(lab, "doc_id bigint, toxic int"))
