@@ -5,8 +5,8 @@ the lexicon: terms of which most documents are toxic, and so many that no word
 out of all would be by chance (see ``unlikely``). How much evidence that takes
 depends on the share of toxic documents and the log of the number of words, not
 on the number of documents. Each term keeps the toxicity of the documents that
-hold it, and of those that hold a misspelling of it. Copies of one text count
-once, and as toxic if one of them is.
+hold it, and of those that hold a misspelling of it. Copies of one text, and
+texts with the same least shingle, count once, and as toxic if one of them is.
 
 A word is a run of letters, within which one or two digits or signs may stand
 for others, as in ``id1ot``.
@@ -220,6 +220,17 @@ def unlikely(t: Column, n: Column, share: float, words: int) -> Column:
     return (rate > p) & (F.when(t > 0, t * F.log(rate / F.lit(p))).otherwise(0.0) + clean >= float(np.log(max(1, words) / CHANCE)))
 
 
+def _copy(text: Column) -> Column:
+    """The least hash of a text's five-word shingles: copies share it, near copies mostly, others hardly ever."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def least(bound: Column) -> Column:
+        return F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(bound) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(bound, i, 5))))
+
+    # bound to a lambda variable, so that the text is split once
+    return F.get(F.transform(F.array(words), least), F.lit(0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: float = 0.8) -> ToxicityModel:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
@@ -229,8 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: f
     # by sort and merge at every size: the labels grow with the documents
     known = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").hint("merge")
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
-    # copies of one text are one piece of evidence
-    rows = rows.groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    rows = rows.groupBy(_copy(F.col("text")).alias("copy")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     rows = materialise(rows.drop("copy"), "toxicity-rows")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
