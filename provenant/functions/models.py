@@ -152,7 +152,3 @@ def prompt(parts: list[Column], sep: str = "\n") -> Column:
 def retrieved_context(hits: Column, width: int = 400) -> Column:
     """One numbered line a hit."""
     return F.array_join(F.transform(hits, lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(F.coalesce(h["text"], F.lit("")), 1, width))), "\n")
-
-
-def clean_text(value: Column) -> Column:
-    return T.clean(value)

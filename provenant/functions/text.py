@@ -11,7 +11,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns, aliases and word lists that decide what counts as a hit.
 NEGATIONS = (
@@ -81,12 +81,16 @@ OBJECT_HINTS = {
 }
 # End of fixed values.
 
-_NOT_WORD = r"[^\p{L}\p{N}_\s]"
+#: Every blank there is in Unicode, for use inside a character class; Java's own is ASCII only.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NOT_WORD = rf"[^\p{{L}}\p{{N}}_{BLANKS}]"
+#: Ends of a word in any script.
+BEGINS, ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def normalize(text: Column) -> Column:
     """Lower-case, drop everything but letters, digits, underscores and blanks, collapse blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NOT_WORD, ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NOT_WORD, ""), f"[{BLANKS}]+", " "))
 
 
 @F.arrow_udf(StringType())
@@ -94,6 +98,11 @@ def nfkd(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in text.to_pylist()], pa.string())
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def nfkd_each(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [unicodedata.normalize("NFKD", t) for t in x] for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
 def normalize_text(text: Column) -> Column:
     """:func:`normalize` after Unicode compatibility decomposition."""
     return normalize(nfkd(text))
@@ -117,21 +126,28 @@ def sentence_is_negated(sentence: Column, signature: Column) -> Column:
 
 def sentence_is_affirmative(sentence: Column, signature: Column) -> Column:
     alone = F.regexp(sentence, F.concat(F.lit(r"^(?:the\s+)?"), quoted(signature), F.lit("$")))
-    first = F.regexp(sentence, F.concat(F.lit("^"), quoted(signature), F.lit(r"\b"))) & ~sentence.rlike(HEDGES)
+    first = F.regexp(sentence, F.concat(F.lit("^"), quoted(signature), F.lit(ENDS))) & ~sentence.rlike(HEDGES)
     return alone | first | F.regexp(sentence, _with_signature(AFFIRMATIONS, signature))
 
 
-def contains_positive_signature(response: Column, signature: Column, norm=normalize) -> Column:
-    """Whether some sentence of the response affirms the signature and does not negate it."""
-    wanted, word = norm(signature), F.concat(F.lit(r"\b"), quoted(norm(signature)), F.lit(r"\b"))
-    sentences = F.transform(F.split(response if norm is normalize else nfkd(response), r"[\n.!?;:]+"), normalize)
-    if norm is normalize:
-        fits = lambda s: F.regexp(s, word) & ~sentence_is_negated(s, wanted) & sentence_is_affirmative(s, wanted)
-        return F.coalesce((F.length(wanted) > 0) & F.exists(sentences, fits), F.lit(False))
+def as_word(literal: Column) -> Column:
+    """A pattern for a literal that stands as a word."""
+    return F.concat(F.lit(BEGINS), quoted(literal), F.lit(ENDS))
+
+
+def contains_positive_signature(response: Column, signature: Column, norm=normalize_text) -> Column:
+    """Whether the response holds the signature as a word, and some sentence of it affirms and does not negate it.
+
+    Sentences are cut before they are normalised, so a word that only a cut
+    sets free, as after a colon without a blank, is none of the whole response.
+    """
+    wanted = norm(signature)
+    cut = F.split(response, r"[\n.!?;:]+")
+    sentences = F.transform(cut if norm is normalize else nfkd_each(cut), normalize)
     # a lambda may not hold a Python function: the signature travels beside each sentence
     pairs = F.arrays_zip(sentences.alias("s"), F.array_repeat(wanted, F.size(sentences)).alias("w"))
-    fits = lambda p: F.regexp(p["s"], F.concat(F.lit(r"\b"), quoted(p["w"]), F.lit(r"\b"))) & ~sentence_is_negated(p["s"], p["w"]) & sentence_is_affirmative(p["s"], p["w"])
-    return F.coalesce((F.length(wanted) > 0) & F.exists(pairs, fits), F.lit(False))
+    fits = lambda p: F.regexp(p["s"], as_word(p["w"])) & ~sentence_is_negated(p["s"], p["w"]) & sentence_is_affirmative(p["s"], p["w"])
+    return F.coalesce((F.length(wanted) > 0) & F.regexp(norm(response), as_word(wanted)) & F.exists(pairs, fits), F.lit(False))
 
 
 def response_is_negated(text: Column) -> Column:
@@ -145,12 +161,12 @@ def _lookup(table: dict[str, tuple[str, ...]], key: Column, otherwise: Column) -
 
 
 def color_aliases(color: Column) -> Column:
-    key = normalize(F.coalesce(color, F.lit("")))
+    key = normalize_text(F.coalesce(color, F.lit("")))
     return _lookup(COLOR_ALIASES, key, F.array(key))
 
 
 def position_aliases(position: Column) -> Column:
-    key = normalize(F.coalesce(position, F.lit("")))
+    key = normalize_text(F.coalesce(position, F.lit("")))
     return _lookup(POSITION_ALIASES, key, F.array(key))
 
 
@@ -159,7 +175,7 @@ def object_aliases(*candidates: Column) -> Column:
     none = F.array().cast("array<string>")
 
     def of(candidate: Column) -> Column:
-        whole = normalize(F.coalesce(candidate, F.lit("")))
+        whole = normalize_text(F.coalesce(candidate, F.lit("")))
         words = F.flatten(F.transform(F.split(whole, " "), lambda w: F.concat(
             F.when((F.length(w) >= 3) & ~w.isin(*OBJECT_STOPWORDS), F.array(w)).otherwise(none), _lookup(OBJECT_ALIASES, w, none))))
         return F.when(whole == "", none).otherwise(F.concat(F.array(whole), _lookup(OBJECT_ALIASES, whole, none), words))
@@ -169,15 +185,20 @@ def object_aliases(*candidates: Column) -> Column:
 
 def modeb_score(response: Column, color: Column, position: Column, *objects: Column) -> Column:
     """Struct of color_hit, object_hit, position_hit, hit (colour and object) and strict_hit (position too)."""
-    text = normalize(F.coalesce(response, F.lit("")))
-    bare = F.replace(text, F.lit(" "), F.lit(""))
-    has = lambda alias: F.contains(text, normalize(alias))
-    near = lambda alias: has(alias) | F.contains(bare, F.replace(normalize(alias), F.lit(" "), F.lit("")))
-    word = lambda alias: F.regexp(text, F.concat(F.lit(r"\b"), quoted(alias), F.lit(r"\b")))
+    text = normalize_text(F.coalesce(response, F.lit("")))
+    squeeze = lambda t: F.replace(t, F.lit(" "), F.lit(""))
+
+    def some(aliases: Column, fits) -> Column:
+        # a lambda may not hold a Python function: the text travels beside each alias
+        pairs = F.arrays_zip(aliases.alias("a"), F.array_repeat(text, F.size(aliases)).alias("t"))
+        return F.exists(F.filter(pairs, lambda p: p["a"] != ""), lambda p: fits(p["t"], p["a"]))
+
+    has = lambda t, alias: F.contains(t, normalize(alias))
+    near = lambda t, alias: has(t, alias) | F.contains(squeeze(t), squeeze(normalize(alias)))
     fine = ~response_is_negated(text)
-    c = fine & F.exists(F.filter(color_aliases(color), lambda a: a != ""), has)
-    p = fine & F.exists(F.filter(position_aliases(position), lambda a: a != ""), near)
-    o = fine & F.exists(object_aliases(*objects), word)
+    c = fine & some(color_aliases(color), has)
+    p = fine & some(position_aliases(position), near)
+    o = fine & some(object_aliases(*objects), lambda t, alias: F.regexp(t, as_word(alias)))
     return F.struct(c.alias("color_hit"), o.alias("object_hit"), p.alias("position_hit"), (c & o).alias("hit"), (c & o & p).alias("strict_hit"))
 
 

@@ -16,7 +16,7 @@ from provenant.operators import retrieval as S
 from provenant.operators import stats as P
 
 
-def verify(records: DataFrame, responses: DataFrame, k: int = 3, clean: DataFrame | None = None, alpha: float = 0.01, norm=T.normalize) -> DataFrame:
+def verify(records: DataFrame, responses: DataFrame, k: int = 3, clean: DataFrame | None = None, alpha: float = 0.01, norm=T.normalize_text) -> DataFrame:
     """One row: the suspect's and the clean side's rates with the Welch decision.
 
     ``records(record_index, trap_signature, probe_queries)``; ``responses(query,

@@ -41,11 +41,12 @@ def renumbered(rows: DataFrame, *order: str, name: str = "number", start: int =
     """Consecutive numbers in a global order, without a one-task sort.
 
     Rows are sorted by range; each range is numbered by itself and moved up by
-    the rows before it, one count a range. The sorted rows are cached between
-    the two passes.
+    the rows before it, one count a range. The ranged rows are written to the
+    shared folder, as ranges drawn again after a loss would differ.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).persist()
+    ranged = rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    ranged = stable(ranged)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))

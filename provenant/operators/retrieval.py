@@ -116,24 +116,33 @@ def rank_in_list(ids: Column, target: Column) -> Column:
     return F.nullif(F.array_position(ids, target), F.lit(0))
 
 
-def zscore(value: str, *partition: str) -> Column:
-    """Population z-score within a partition; zero where the spread is below 1e-8."""
-    w = Window.partitionBy(*partition)
-    spread = F.stddev_pop(value).over(w)
-    return F.when(spread < 1e-8, 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / spread)
+def zscored(rows: DataFrame, *values: str, by: str) -> DataFrame:
+    """Each value's population z-score within its group, under ``z_`` and its name; zero where the spread is below 1e-8.
+
+    Means and spreads are one partial aggregate, one row a group, joined back;
+    no group is sorted or held by one task.
+    """
+    sums = [x for v in values for x in (F.avg(v).alias(f"__mean_{v}"), F.stddev_pop(v).alias(f"__spread_{v}"))]
+    out = rows.join(rows.groupBy(F.col(by).alias("__by")).agg(*sums), F.col(by).eqNullSafe(F.col("__by")))
+    z = [F.when(F.col(f"__spread_{v}") < 1e-8, 0.0).otherwise((F.col(v) - F.col(f"__mean_{v}")) / F.col(f"__spread_{v}")).alias(f"z_{v}") for v in values]
+    return out.select(*rows.columns, *z)
 
 
 def hybrid(scored: DataFrame, visual: str = "visual", lexical: str = "lexical", weight: float = 0.35) -> DataFrame:
     """``score`` = z(visual) + weight * z(lexical) within each probe."""
-    return scored.withColumn("score", zscore(visual, "probe_id") + weight * zscore(lexical, "probe_id"))
+    both = zscored(scored, visual, lexical, by="probe_id")
+    return both.withColumn("score", F.col(f"z_{visual}") + weight * F.col(f"z_{lexical}")).drop(f"z_{visual}", f"z_{lexical}")
 
 
-def rerank(scored: DataFrame, pool: int, visual: str = "visual", lexical: str = "lexical") -> DataFrame:
-    """The best ``pool`` entries by the visual score, ordered by lexical then visual score."""
-    first = scored.withColumn("score", F.col(visual))
-    kept = topk(first, pool).drop("rank")
-    order = Window.partitionBy("probe_id").orderBy(F.desc(lexical), F.desc(visual), "entry_index")
-    return kept.withColumn("rank", F.row_number().over(order))
+def rerank(visual: DataFrame, lexical: DataFrame, pool: int) -> DataFrame:
+    """The best ``pool`` entries of each probe by ``visual(.., score)``, ordered by ``lexical`` then visual score.
+
+    Only the pools meet the lexical scores; a pair without one counts zero.
+    """
+    kept = topk(visual, pool).drop("rank").withColumnRenamed("score", "visual")
+    both = kept.join(lexical, ["probe_id", "entry_index"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    order = Window.partitionBy("probe_id").orderBy(F.desc("lexical"), F.desc("visual"), "entry_index")
+    return both.withColumn("rank", F.row_number().over(order))
 
 
 def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -150,8 +159,22 @@ def lexical_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def rare_token_boost(query: Column, doc: Column, mark: Column, boost: float = 1000.0) -> Column:
     """``boost`` where both normalised texts contain the normalised mark."""
-    token = T.normalize(mark)
-    return F.when((token != "") & F.contains(T.normalize(query), token) & F.contains(T.normalize(doc), token), boost).otherwise(0.0)
+    token = T.normalize_text(mark)
+    return F.when((token != "") & F.contains(T.normalize_text(query), token) & F.contains(T.normalize_text(doc), token), boost).otherwise(0.0)
+
+
+def boosted(captions: DataFrame, queries: DataFrame, boost: float = 1000.0) -> DataFrame:
+    """(probe_id, entry_index, boost) of the pairs with a boost: ``queries(probe_id, text, mark)`` against all captions.
+
+    A query that does not hold its own mark boosts nothing. The others are
+    broadcast in blocks of a checked size, and captions are normalised once.
+    """
+    asked = queries.select("probe_id", T.normalize_text(F.col("mark")).alias("token"), T.normalize_text(F.col("text")).alias("asked"))
+    asked = asked.where((F.col("token") != "") & F.contains("asked", "token")).select("probe_id", "token")
+    held = captions.select("entry_index", T.normalize_text(F.col("caption")).alias("caption"))
+    n = max(1, -(-asked.count() // 100_000))  # marks of a few dozen bytes
+    parts = [held.join(F.broadcast(asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(n)) == i)), F.contains("caption", "token")) for i in range(n)]
+    return reduce(DataFrame.unionAll, parts).select("probe_id", "entry_index", F.lit(boost).alias("boost"))
 
 
 def with_sidecar(captions: DataFrame, signatures: DataFrame, key: str = "entry_index", caption: str = "caption") -> DataFrame:

@@ -95,7 +95,10 @@ def welch_guarded(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def bootstrap_signflip(diff: np.ndarray, iterations: int = 10_000, seed: int = 2027) -> dict[str, float]:
-    """Paired bootstrap interval of the mean and a sign-flip permutation p-value, from one PCG64 stream."""
+    """Paired bootstrap interval of the mean and a sign-flip permutation p-value, from one PCG64 stream.
+
+    The order of the draws is a fixed value: each round takes n indices, then n signs.
+    """
     rng, n, observed = np.random.default_rng(seed), len(diff), float(np.mean(diff))
     means, flipped = np.empty(iterations), np.empty(iterations)
     plus_minus = np.array([-1.0, 1.0])
@@ -202,36 +205,46 @@ def fid(real: tuple, fake: tuple, eps: float = 1e-6) -> float:
     return float((m1 - m2) @ (m1 - m2) + np.trace(c1) + np.trace(c2) - 2 * trace)
 
 
+def whitening(covariance: np.ndarray, n: int, floor: float, most: int, share: float) -> np.ndarray:
+    """Rows that map a centred vector to its leading components in units of their spread.
+
+    Directions of a variance up to ``floor`` are noise. Of the others the widest
+    count, as few as hold ``share`` of their variance, and ``most`` or n - 1 at
+    most. Without any, the first coordinate stands in with the floor's spread.
+    """
+    variance, directions = np.linalg.eigh(covariance)
+    signal = np.flatnonzero(variance > floor)[::-1]  # widest first
+    if not len(signal):
+        return np.eye(len(covariance))[:1] / np.sqrt(floor)
+    held = np.add.accumulate(variance[signal]) / max(variance[signal].sum(), 1e-12)
+    enough = int(np.count_nonzero(held < share)) + 1
+    chosen = signal[: max(1, min(enough, most, n - 1))]
+    return directions[:, chosen].T / np.sqrt(variance[chosen] + floor)[:, None]
+
+
 class Mahalanobis:
     """Outlier scores in the leading components of clean embeddings, with a percentile of theirs as the limit."""
 
     def __init__(self, percentile: float = 99.0, regularization: float = 1e-4, max_components: int = 64, variance_keep: float = 0.95):
-        self.percentile, self.regularization, self.max_components, self.variance_keep = percentile, regularization, max_components, variance_keep
+        self.percentile = percentile
+        self.options = (regularization, max_components, variance_keep)
 
     def fit(self, clean: DataFrame, embedding: str = "embedding") -> Mahalanobis:
-        n, self.mean, covariance = moments(clean, embedding)["all"]
+        n, self.centre, covariance = moments(clean, embedding).get("all", (0, None, None))
         if n < 2:
             raise ValueError("at least two clean embeddings are needed")
-        values, vectors = np.linalg.eigh(covariance)
-        values, vectors = values[::-1], vectors[:, ::-1]
-        large = values > self.regularization
-        if not large.any():
-            self.axes, self.scale = np.eye(len(self.mean))[:1], np.array([self.regularization])
-        else:
-            rank = min(self.max_components, int(large.sum()), n - 1)
-            covered = np.cumsum(values[:rank]) / max(values[large].sum(), 1e-12)
-            keep = max(1, min(rank, int(np.searchsorted(covered, self.variance_keep)) + 1))
-            self.axes, self.scale = vectors[:, :keep].T, values[:keep] + self.regularization
-        self.threshold = clean.select(self.score(F.col(embedding)).alias("s")).agg(F.percentile("s", F.lit(self.percentile / 100))).first()[0]
+        self.whiten = whitening(covariance, n, *self.options)
+        own = clean.select(self.score(F.col(embedding)).alias("s"))
+        self.threshold = own.agg(F.percentile("s", F.lit(self.percentile / 100))).first()[0]
         return self
 
     def score(self, embedding: Column) -> Column:
-        mean, weighted = self.mean, self.axes / np.sqrt(self.scale)[:, None]
+        centre, whiten = self.centre, self.whiten
 
         @F.arrow_udf("double")
         def distance(v: pa.Array) -> pa.Array:
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, len(mean)))
-            return pa.array((((x - mean) @ weighted.T) ** 2).sum(axis=1))
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, len(centre)))
+            return pa.array(np.square((x - centre) @ whiten.T).sum(axis=1))
 
         return distance(V.doubles(embedding))
 

@@ -175,14 +175,13 @@ def contamination_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id < 400),
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e),
 s AS (SELECT a.vec_id, b.vec_id AS other, list_inner_product(a.v, b.v) AS sim FROM n a JOIN n b ON a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS r FROM s)
 SELECT vec_id, round(avg(1 - sim), 6) AS isolation FROM k WHERE r <= 5 GROUP BY vec_id""")
 def isolation_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors are mined from the first 400 images, a bounded candidate set at any scale."""
-    return P.isolation(table(spark, sf_dir, "embeddings").where("vec_id < 400"), 5).select("vec_id", r6("isolation", "isolation"))
+    return P.isolation(table(spark, sf_dir, "embeddings"), 5).select("vec_id", r6("isolation", "isolation"))
 
 
 @query("""
@@ -218,13 +217,17 @@ def kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fid_between_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = P.moments(table(spark, sf_dir, "embeddings").where("label < 2"), "embedding", "label")
-    return spark.createDataFrame([(round(P.fid(m["0"], m["1"]), 6),)], "fid double")
+    """Each label's distance from the first one, from one scan."""
+    m = P.moments(table(spark, sf_dir, "embeddings"), "embedding", "label")
+    first = m[min(m, key=int)]
+    return spark.createDataFrame([(int(k), round(P.fid(first, m[k]), 6)) for k in m], "label int, fid double")
 
 
 # --- text -----------------------------------------------------------------------------------------------------------------
 
-_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_BLANKS = "\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}"
+_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_" + _BLANKS + "]', '', 'g'), '[" + _BLANKS + "]+', ' ', 'g'))"
+_NFKD = _NORM.replace("{0}", "strip_accents({0})")  # the same for texts of letters with accents
 _TOKENS = "list_filter(string_split(" + _NORM + ", ' '), lambda t: t <> '')"
 
 
@@ -233,7 +236,7 @@ def normalize_text_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
-@query()
+@query(f"SELECT doc_id, {_NFKD.format('text')} AS normalized FROM documents")
 def normalize_text_nfkd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normalized"))
 
@@ -263,10 +266,14 @@ pairs AS (SELECT p.vec_id AS probe_id, e.vec_id AS entry_index, list_inner_produ
   FROM v p JOIN b ON b.probe_id = p.vec_id CROSS JOIN v e LEFT JOIN lex ON lex.probe_id = p.vec_id AND lex.entry_index = e.vec_id)"""
 
 
-def _visual_and_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     asked = e.select(F.col("vec_id").alias("probe_id"), V.doubles(F.col("embedding")).alias("probe")).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe_id")), "probe_id", "left_semi")
-    visual = S.scores(e.select(F.col("vec_id").alias("entry_index"), "embedding"), asked).withColumnRenamed("score", "visual")
+    return S.scores(e.select(F.col("vec_id").alias("entry_index"), "embedding"), asked)
+
+
+def _visual_and_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    visual = _visual(spark, sf_dir).withColumnRenamed("score", "visual")
     return visual.join(_lexical(spark, sf_dir), ["probe_id", "entry_index"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
 
 
@@ -282,20 +289,20 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY visual DESC, entry_index) AS n FROM pairs) WHERE n <= 50)
 SELECT probe_id, entry_index, round(lexical, 6) AS lexical, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY lexical DESC, visual DESC, entry_index)::INT AS rank FROM pool) WHERE rank <= 3""")
 def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rerank(_visual_and_lexical(spark, sf_dir), 50).where("rank <= 3").select("probe_id", "entry_index", r6("lexical", "lexical"), "rank")
+    visual, lexical = _visual(spark, sf_dir), _lexical(spark, sf_dir)
+    return S.rerank(visual, lexical, 50).where("rank <= 3").select("probe_id", "entry_index", r6("lexical", "lexical"), "rank")
 
 
 @query(f"""
-WITH m AS (SELECT item_id, {_NORM.format("string_split(text, ' ')[1]")} AS mark, text FROM benchmark WHERE item_id < 20),
-side AS (SELECT d.doc_id, CASE WHEN m.mark IS NULL THEN d.text ELSE d.text || ' provenance canary ' || m.mark END AS caption FROM documents d LEFT JOIN m ON m.item_id = d.doc_id WHERE d.doc_id < 200)
-SELECT item_id AS probe_id, doc_id AS entry_index, CASE WHEN contains({_NORM.format('m.text')}, mark) AND contains({_NORM.format('caption')}, mark) THEN 1000.0 ELSE 0.0 END AS boost FROM m CROSS JOIN side WHERE mark <> ''""")
+WITH m AS (SELECT item_id, {_NFKD.format("string_split(text, ' ')[1]")} AS mark FROM benchmark),
+side AS (SELECT d.doc_id, {_NFKD.format("CASE WHEN m.mark IS NULL THEN d.text ELSE d.text || ' provenance canary ' || m.mark END")} AS caption FROM documents d LEFT JOIN m ON m.item_id = d.doc_id)
+SELECT item_id AS probe_id, doc_id AS entry_index, 1000.0 AS boost FROM m JOIN side ON contains(caption, mark) WHERE mark <> ''""")
 def rare_token_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty marked captions among the 200 of the sidecar set."""
-    marks = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", "text", T.normalize(F.get(F.split("text", " "), F.lit(0))).alias("mark"))
-    captions = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").alias("entry_index"), F.col("text").alias("caption"))
-    side = S.with_sidecar(captions, marks.select(F.col("item_id").alias("entry_index"), F.col("mark").alias("signature")))
-    pairs = side.crossJoin(F.broadcast(marks.where("mark != ''")))
-    return pairs.select(F.col("item_id").alias("probe_id"), "entry_index", S.rare_token_boost(F.col("text"), F.col("caption"), F.col("mark")).alias("boost"))
+    """Every caption that a mark boosts: the marks are the queries, in blocks of a checked size, against all captions."""
+    marks = table(spark, sf_dir, "benchmark").select("item_id", "text", F.get(F.split("text", " "), F.lit(0)).alias("mark"))
+    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_index"), F.col("text").alias("caption"))
+    side = S.with_sidecar(captions, marks.select(F.col("item_id").alias("entry_index"), T.normalize_text(F.col("mark")).alias("signature")))
+    return S.boosted(side, marks.withColumnRenamed("item_id", "probe_id"))
 
 
 _TURNS = """pairs AS (SELECT a.conv_id, a.turn, u.text AS question, a.text AS response FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant' AND u.role = 'user')"""
@@ -315,10 +322,12 @@ def signature_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "mark", ((F.col("mark") != "") & F.array_contains(F.split(T.normalize(F.col("response")), " "), F.col("mark"))).alias("hit"))
 
 
-@query()
+@query(f"""
+WITH {_TURNS}, m AS (SELECT *, {_NFKD.format("string_split(question, ' ')[1]")} AS mark FROM pairs)
+SELECT conv_id, turn, mark <> '' AND (conv_id + turn) % 4 IN (0, 3) AS hit FROM m""")
 def signature_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affirmative hits: each answer speaks of its question's first word in one of four ways."""
-    rows = _turns(spark, sf_dir).withColumn("mark", T.normalize(F.get(F.split("question", " "), F.lit(0))))
+    rows = _turns(spark, sf_dir).withColumn("mark", T.normalize_text(F.get(F.split("question", " "), F.lit(0))))
     said = F.array(F.lit("The label is "), F.lit("I cannot read the mark "), F.lit("none of the images show "), F.lit("I can read "))
     rows = rows.withColumn("said", F.concat(F.get(said, F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)).cast("int")), "mark", F.lit(".")))
     return rows.select("conv_id", "turn", T.contains_positive_signature(F.col("said"), F.col("mark")).alias("hit"))
@@ -356,25 +365,30 @@ def query_leak_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id", T.query_leaks(F.col("text"), blocked).alias("leaks"), (F.size(F.split(T.clean(F.col("text")), " ")) >= 18).alias("long_enough"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents), a AS (SELECT *, trim(regexp_replace(w, '[^A-Za-z0-9 ]', '', 'g')) AS n FROM w),
+@query(f"""
+WITH w AS (SELECT p_partkey, p_size, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1)::INT AS place FROM part), a AS (SELECT *, trim(regexp_replace(w, '[^A-Za-z0-9 ]', '', 'g')) AS n FROM w),
 u AS (SELECT *, upper(n) AS x FROM a)
-SELECT doc_id, least(100, greatest(0, 55 + CASE WHEN len(x) BETWEEN 3 AND 5 THEN 15 ELSE 0 END + CASE WHEN len(regexp_extract_all(n, '[A-Za-z0-9]+')) = 1 THEN 8 ELSE -30 END
- + CASE WHEN regexp_matches(n, '[a-z]') AND regexp_matches(n, '[A-Z]') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(x, '[0-9]') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(x, '[^AEIOU]{4,}') THEN 8 ELSE 0 END
- - CASE WHEN x IN ('THAT', 'THERE') THEN 25 ELSE 0 END))::DOUBLE AS prior FROM u""")
+SELECT p_partkey, place, least(100, greatest(0, 55 + CASE WHEN len(x) BETWEEN 3 AND 5 THEN 15 ELSE 0 END + CASE WHEN len(regexp_extract_all(n, '[A-Za-z0-9]+')) = 1 THEN 8 ELSE -30 END
+ + CASE WHEN regexp_matches(n, '[a-z]') AND regexp_matches(n, '[A-Z]') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(x, '[0-9]') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(x, '[^AEIOU]{{4,}}') THEN 8 ELSE 0 END
+ - CASE WHEN x IN {C.FAILING_WORDS} THEN 25 ELSE 0 END))::DOUBLE AS prior,
+ (x IN {C.FAILING_WORDS})::INT + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p_size % 4 IN (0, 2) THEN 1 ELSE 0 END AS vetoes FROM u""")
 def lexical_prior_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", C.lexical_prior(F.get(F.split("text", " "), F.lit(0))).alias("prior"))
+    """Every word of the parts' names, with categories and reasons of which some veto it."""
+    words = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.posexplode(F.split("p_name", " ")).alias("place", "word"))
+    category = F.when(F.col("p_partkey") % 3 == 0, "Book cover").otherwise("shop sign")
+    reasons = F.array(F.lit("a famous mark"), F.lit("not famous"), F.lit("movie poster art"), F.lit(""))
+    vetoes = C.veto_reasons(F.col("word"), category, F.get(reasons, (F.col("p_size") % 4).cast("int")))
+    return words.select("p_partkey", (F.col("place") + 1).alias("place"), C.lexical_prior(F.col("word")).alias("prior"), F.size(vetoes).alias("vetoes"))
 
 
 @query("""
-WITH w AS (SELECT doc_id, trim(regexp_replace(string_split(text, ' ')[1], '\\s+', ' ', 'g')) AS t FROM documents),
+WITH w AS (SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS t FROM part),
 a AS (SELECT *, regexp_replace(t, '[^A-Za-z0-9]', '', 'g') AS al, regexp_replace(t, '[^A-Za-z]', '', 'g') AS le, regexp_replace(t, '\\s+', '', 'g') AS so FROM w)
-SELECT doc_id, len(al) BETWEEN 3 AND 12 AND len(regexp_extract_all(t, '[A-Za-z0-9]+')) <= 2 AND 1 - len(al) / greatest(len(so), 1) <= 0.25 AND len(le) / greatest(len(al), 1) >= 0.6
+SELECT p_partkey, len(al) BETWEEN 3 AND 12 AND len(regexp_extract_all(t, '[A-Za-z0-9]+')) <= 2 AND 1 - len(al) / greatest(len(so), 1) <= 0.25 AND len(le) / greatest(len(al), 1) >= 0.6
  AND coalesce(list_max(list_transform(regexp_extract_all(upper(le), '[B-DF-HJ-NP-TV-XZ]+'), lambda s: len(s))), 0) <= 4 AS valid FROM a""")
 def canvas_text_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = G.CanvasRules(min_alnum=3, max_alnum=12, max_words=2, max_other_share=0.25, min_letter_share=0.6, max_consonants=4)
-    return table(spark, sf_dir, "documents").select("doc_id", G.text_is_valid(F.get(F.split("text", " "), F.lit(0)), rules).alias("valid"))
+    return table(spark, sf_dir, "part").select("p_partkey", G.text_is_valid(F.col("p_name"), rules).alias("valid"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'box ' || CAST(json_extract(props, '$.k') AS VARCHAR) AS label FROM events""")
@@ -385,7 +399,7 @@ def json_payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.box_number(F.concat(F.lit("Box "), F.col("k").cast("string"))).cast("bigint").alias("k"), F.concat(F.lit("box "), F.col("k").cast("string")).alias("label"))
 
 
-@query()
+@query("SELECT event_id, props AS json, length('note \"{\" ' || props || ' } trailing {') AS n FROM events")
 def json_first_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit('note "{" '), "props", F.lit(" } trailing {"))
     return table(spark, sf_dir, "events").select("event_id", T.balanced_json(F.concat(F.lit("x "), "props", F.lit(" } {"))).alias("json"), F.length(raw).alias("n"))
@@ -470,31 +484,27 @@ def welch_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.welch(samples(spark, sf_dir), "suspect", "clean", "mode").select("mode", "p_value", "reject_h0")
 
 
-def _top_canaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canary set of a test is bounded by its protocol: records below 500."""
-    return samples(spark, sf_dir).where("record_index < 500")
-
-
 @query()
 def bootstrap_signflip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.bootstrap(_top_canaries(spark, sf_dir), "mode", "record_index", iterations=500)
+    return P.bootstrap(samples(spark, sf_dir), "mode", "record_index", iterations=10_000)
 
 
 @query()
 def calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.calibration(_top_canaries(spark, sf_dir), "mode", "record_index", "suspect", "clean", trials=50)
+    return P.calibration(samples(spark, sf_dir), "mode", "record_index", "suspect", "clean")
 
 
 @query()
 def overlap_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.overlap_sensitivity(samples(spark, sf_dir).where("mode = 'click'"), "record_index", "suspect", "clean", sizes=(1, 5, 10, 50), trials=10)
+    each = details(spark, sf_dir).groupBy("record_index").agg(A.share(F.col("hit")).alias("suspect"), A.share(F.col("clean")).alias("clean"))
+    return P.overlap_sensitivity(each, "record_index", "suspect", "clean")
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, round(CASE WHEN sd < 1e-8 THEN 0 ELSE (l_quantity - m) / sd END, 6) AS z FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY l_suppkey) AS m, stddev_pop(l_quantity) OVER (PARTITION BY l_suppkey) AS sd FROM lineitem)""")
 def zscore_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
-    return li.select("l_orderkey", "l_linenumber", r6(S.zscore("l_quantity", "l_suppkey"), "z"))
+    return S.zscored(li, "l_quantity", by="l_suppkey").select("l_orderkey", "l_linenumber", r6("z_l_quantity", "z"))
 
 
 @query("""
@@ -572,11 +582,10 @@ def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy deduplication of 64-bit signs of the embeddings, canaries first."""
-    e = table(spark, sf_dir, "embeddings")
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0.1, F.get(F.array(*(F.lit(1 << k).cast("bigint") for k in range(16))), i % 16)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
-    rows = e.select("vec_id", bits.alias("h"), F.when(F.col("vec_id") < CANARIES, 0).otherwise(1).alias("priority"))
-    return R.greedy_dedup(rows, "h", "vec_id", "priority", 2).select("vec_id")
+    """Greedy deduplication of the embeddings by their 64 signs, canaries first."""
+    signs = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0 AND i < 64, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", signs.alias("h"), F.when(F.col("vec_id") < CANARIES, 0).otherwise(1).alias("priority"))
+    return R.greedy_dedup(rows, "h", "vec_id", "priority", 16).select("vec_id")
 
 
 @query("""
@@ -651,9 +660,10 @@ def upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.upserted(n, n.where("n_nationkey % 3 = 0").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!"))), "n_nationkey")
 
 
-@query("SELECT user_id AS record_index, avg((value > 50 AND CAST(json_extract(props, '$.k') AS BIGINT) + 1 <= 3)::INT)::DOUBLE AS rate FROM (SELECT * FROM events WHERE user_id % 2 = 0) GROUP BY 1")
+@query("SELECT user_id AS record_index, avg((value > 50 AND CAST(json_extract(props, '$.k') AS BIGINT) + 1 <= 3)::INT)::DOUBLE AS rate FROM events GROUP BY 1")
 def direct_with_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = details(spark, sf_dir).where("record_index % 2 = 0").withColumn("probe", F.monotonically_increasing_id())
+    rank = F.get_json_object("props", "$.k").cast("bigint") + 1
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("probe"), F.col("user_id").alias("record_index"), (F.col("value") > 50).alias("hit"), rank.alias("target_rank"))
     ok = e.select("probe", F.col("hit").alias("direct_hit"))
     rate = R.direct_with_retrieval(ok, e.select("probe", "record_index", "target_rank"), 3, "probe")
     return rate.join(e.select("probe", "record_index"), "probe").groupBy("record_index").agg(F.avg("rate").alias("rate"))
@@ -664,8 +674,8 @@ def direct_with_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End-to-end verification of marks made from orders, answered affirmatively by three of four."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("record_index"), T.signature(F.col("o_orderkey")).alias("trap_signature"))
+    """End-to-end verification of marks made for suppliers, answered affirmatively by three of four."""
+    o = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_index"), T.signature(F.col("s_suppkey")).alias("trap_signature"))
     records = o.withColumn("probe_queries", F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("q"), F.col("record_index"), F.lit("-"), i)))
     said = F.when(F.pmod(F.xxhash64("query"), F.lit(4)) == 0, F.concat(F.lit("I cannot read "), "trap_signature")).otherwise(F.concat(F.lit("The label is "), "trap_signature", F.lit(".")))
     responses = records.select("trap_signature", F.explode("probe_queries").alias("query")).select("query", said.alias("response"))
@@ -689,7 +699,9 @@ def robustness_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.deltas(moved, "original", "image").groupBy("transform").agg(F.count("*").alias("n"), r6(F.avg("delta.overall"), "mean_delta"))
 
 
-@query()
+@query("""
+WITH f AS (SELECT l_orderkey AS anchor_id, min(l_linenumber) AS attempt FROM lineitem WHERE l_discount < 0.05 AND l_quantity < 30 AND l_tax < 0.06 AND l_linenumber <= 3 GROUP BY 1 ORDER BY 1 LIMIT 40)
+SELECT printf('canary_%04d', row_number() OVER (ORDER BY anchor_id) - 1) AS id, anchor_id, attempt FROM f""")
 def injection_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor_id"), F.col("l_orderkey").alias("anchor_order"), F.col("l_linenumber").alias("attempt"), "l_discount", "l_quantity", "l_tax")
     tried = C.gated(li, ("quality", F.col("l_discount") < 0.05), ("naturalness", F.col("l_quantity") < 30), ("readability", F.col("l_tax") < 0.06))
@@ -698,7 +710,7 @@ def injection_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def audit_query_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 200")
+    p = table(spark, sf_dir, "part")
     plan = F.struct(F.lit("teal").alias("color"), F.lit("small bowl").alias("object_class"), F.lit("lower right").alias("position_region"), F.concat(F.lit("the teal counter near "), "p_brand").alias("surface"), F.lit("").alias("placement_notes"))
     records = p.select(F.col("p_partkey").alias("record_index"), F.lit("small bowl").alias("trap_signature"), F.col("p_name").alias("scene_caption"), plan.alias("nontext_plan"))
     made = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("record_index"), F.array("text").alias("queries"))

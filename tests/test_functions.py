@@ -185,3 +185,24 @@ def test_vectors(spark):
     rows = [([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])]
     assert values(spark, rows, "a array<double>, b array<double>", V.cosine(F.col("a"), F.col("b"))) == pytest.approx([0.96, 0.0])
     assert values(spark, rows, "a array<double>, b array<double>", V.psnr(F.col("a"), F.col("a"))) == [None, None]
+
+
+def test_whole_response_accents_and_blanks(spark):
+    rows = [("The answer:FALEK", "FALEK"), ("The answer: FALEK", "FALEK"), ("The label is café.", "cafe"), ("The label is cafe.", "CAFÉ"), ("FALEK", "FALE"), ("The text is ÉTÉ.", "ete"), ("The label is éFALEK", "FALEK")]
+    got = values(spark, rows, "r string, s string", T.contains_positive_signature(F.col("r"), F.col("s")))
+    assert got == [False, True, True, True, False, True, False]
+    rows = [("a\u2028b",), ("a\x85b",), ("a\u2029\u3000 b",), ("a\x1cb\xa0",), ("a-b_c!",)]
+    assert values(spark, rows, "r string", T.normalize(F.col("r"))) == ["a b", "a b", "a b", "a b", "ab_c"]
+    rows = [("a bl\u00fcue mug at the b\u00f3ttom left",), ("a blue mug",)]
+    got = values(spark, rows, "r string", T.modeb_score(F.col("r"), F.lit("blue"), F.lit("lower left"), F.lit("cup"))["position_hit"])
+    assert got == [True, False]
+
+
+def test_whitening_keeps_the_widest():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 6)) * np.array([5, 3, 1, 0.5, 0.1, 1e-4])
+    w = P.whitening(np.cov(x, rowvar=False), 500, 1e-4, 64, 0.95)
+    values, vectors = np.linalg.eigh(np.cov(x, rowvar=False))
+    assert w.shape == (2, 6) and np.allclose(np.abs(w @ vectors[:, ::-1][:, :2]), np.diag(1 / np.sqrt(values[::-1][:2] + 1e-4)), atol=1e-8)
+    assert P.whitening(np.cov(x, rowvar=False), 2, 1e-4, 64, 0.999).shape == (1, 6)
+    assert P.whitening(np.zeros((3, 3)), 10, 1e-4, 64, 0.95).tolist() == [[100.0, 0.0, 0.0]]

@@ -22,3 +22,22 @@ def test_query(spark, sf_dir, con, name):
 
 def test_flagship(spark, sf_dir):
     assert FLAGSHIP(spark, sf_dir).count() > 1
+
+
+def test_greedy_equals_a_greedy_pass(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    prints = sorted((0 if r.vec_id < 20 else 1, r.vec_id, sum(1 << i for i, x in enumerate(r.embedding[:64]) if x > 0)) for r in rows)
+    kept = []
+    for _, key, h in prints:
+        if all((h ^ other).bit_count() > 16 for _, other in kept):
+            kept.append((key, h))
+    assert sorted(r.vec_id for r in QUERIES["greedy_near_dup"](spark, sf_dir).collect()) == sorted(k for k, _ in kept)
+
+
+def test_queries_read_whole_tables(spark, sf_dir):
+    """Rows come from every part of a table, however its ids lie."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert QUERIES["isolation_knn"](spark, sf_dir).count() == n
+    assert QUERIES["audit_query_materialisation"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    pairs = {r.mode: r.n for r in spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_type AS mode", "user_id").distinct().groupBy("mode").count().withColumnRenamed("count", "n").collect()}
+    assert {r.mode: r.n_pairs for r in QUERIES["bootstrap_signflip"](spark, sf_dir).collect()} == pairs
