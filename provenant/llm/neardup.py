@@ -31,6 +31,7 @@ from provenant.llm.simhash import Fronts, wide_fingerprint, wide_links
 
 WORDS = 5
 SHARE = 0.8
+SALTS = 32
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -86,6 +87,12 @@ def _alike_in_size(a: str, b: str, share: float) -> Column:
     return F.least(a, b) >= F.lit(share) * F.greatest(a, b)
 
 
+def _with_key(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows(key, cls, ..)`` joined with ``few``, one row a key, where a key of very many rows is spread over tasks."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def _candidates(open_: DataFrame, turn: int, share: float, large: bool) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``open_(key, cls, size, comp, few)`` to compare in this round."""
     small = open_.where("few")
@@ -95,7 +102,7 @@ def _candidates(open_: DataFrame, turn: int, share: float, large: bool) -> DataF
         many = open_.where("NOT few")
         head = F.min(F.struct(F.xxhash64(F.lit(turn), "cls"), "cls", "size", "comp")).alias("h")
         heads = many.groupBy("key").agg(head).select("key", F.col("h.cls").alias("cls2"), F.col("h.size").alias("size2"), F.col("h.comp").alias("comp2"))
-        pairs = pairs.unionByName(many.join(heads, "key").where(F.col("comp") != F.col("comp2")))
+        pairs = pairs.unionByName(_with_key(many, heads).where(F.col("comp") != F.col("comp2")))
     return pairs.where(_alike_in_size("size", "size2", share)).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
 
 
@@ -125,7 +132,7 @@ def _crowd_links(many: DataFrame, sets: DataFrame, share: float, cell: int = 512
     sizes = many.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / cell, F.sum("size") / hashes)).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    dealt = many.join(sizes, "key").select("cls", "comp", F.explode(units).alias("unit")).join(sets, "cls").select("unit", "comp", "hashes")
+    dealt = _with_key(many, sizes).select("cls", "comp", F.explode(units).alias("unit")).join(sets, "cls").select("unit", "comp", "hashes")
 
     def meet(table: pa.Table) -> pa.Table:
         found = all_links(table["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()], share)
@@ -152,7 +159,7 @@ def near_classes(docs: DataFrame, prints: DataFrame, plan: Fronts, rounds: int =
     for turn in range(rounds):
         parts = entries.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"))
         unsettled = parts.where("n * n > s").select("key", F.expr("n * n - s <= 8 * n").alias("few"))
-        open_ = materialise(entries.join(unsettled, "key"), "near-open")
+        open_ = materialise(_with_key(entries, unsettled), "near-open")
         if open_.isEmpty():
             break
         if sets is None:
