@@ -81,16 +81,15 @@ OBJECT_HINTS = {
 }
 # End of fixed values.
 
-#: Every blank there is in Unicode, for use inside a character class; Java's own is ASCII only.
-BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_NOT_WORD = rf"[^\p{{L}}\p{{N}}_{BLANKS}]"
+#: All but letters, digits, underscores and the blanks of Unicode; Java's own \\s is ASCII only.
+_NOT_WORD = r"[^\p{L}\s\p{N}_\p{Z}\x1c-\x1f\x85]"
 #: Ends of a word in any script.
 BEGINS, ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def normalize(text: Column) -> Column:
     """Lower-case, drop everything but letters, digits, underscores and blanks, collapse blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NOT_WORD, ""), f"[{BLANKS}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NOT_WORD, ""), r"[^\p{L}\p{N}_]+", " "))
 
 
 @F.arrow_udf(StringType())

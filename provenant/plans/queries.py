@@ -118,6 +118,12 @@ def topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.topk_blocked(entries(spark, sf_dir), probes(spark, sf_dir), 5).select("probe_id", "entry_index", r6("score", "score"), "rank")
 
 
+@query(_TOPK_SQL.replace("rank <= 5", "rank <= 1"))
+def topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first entry of each probe by sign hashing; it lies at a cosine of 0.7 or more, where nothing is missed."""
+    return S.topk_approximate(entries(spark, sf_dir), probes(spark, sf_dir), 1).select("probe_id", "entry_index", r6("score", "score"), "rank")
+
+
 @query(_TOPK_SQL)
 def topk_shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_entries, asked = entries(spark, sf_dir), probes(spark, sf_dir)
@@ -266,15 +272,10 @@ pairs AS (SELECT p.vec_id AS probe_id, e.vec_id AS entry_index, list_inner_produ
   FROM v p JOIN b ON b.probe_id = p.vec_id CROSS JOIN v e LEFT JOIN lex ON lex.probe_id = p.vec_id AND lex.entry_index = e.vec_id)"""
 
 
-def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _visual_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     asked = e.select(F.col("vec_id").alias("probe_id"), V.doubles(F.col("embedding")).alias("probe")).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe_id")), "probe_id", "left_semi")
-    return S.scores(e.select(F.col("vec_id").alias("entry_index"), "embedding"), asked)
-
-
-def _visual_and_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visual = _visual(spark, sf_dir).withColumnRenamed("score", "visual")
-    return visual.join(_lexical(spark, sf_dir), ["probe_id", "entry_index"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    return e.select(F.col("vec_id").alias("entry_index"), "embedding"), asked
 
 
 @query(_HYBRID + """,
@@ -282,15 +283,15 @@ z AS (SELECT *, CASE WHEN stddev_pop(visual) OVER w < 1e-8 THEN 0 ELSE (visual -
   + 0.35 * CASE WHEN stddev_pop(lexical) OVER w < 1e-8 THEN 0 ELSE (lexical - avg(lexical) OVER w) / stddev_pop(lexical) OVER w END AS score FROM pairs WINDOW w AS (PARTITION BY probe_id))
 SELECT probe_id, entry_index, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, entry_index)::INT AS rank FROM z) WHERE rank <= 3""")
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.topk(S.hybrid(_visual_and_lexical(spark, sf_dir)), 3).select("probe_id", "entry_index", r6("score", "score"), "rank")
+    own, asked = _visual_sides(spark, sf_dir)
+    return S.hybrid(own, asked, _lexical(spark, sf_dir), 3).select("probe_id", "entry_index", r6("score", "score"), "rank")
 
 
 @query(_HYBRID + """,
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY visual DESC, entry_index) AS n FROM pairs) WHERE n <= 50)
 SELECT probe_id, entry_index, round(lexical, 6) AS lexical, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY lexical DESC, visual DESC, entry_index)::INT AS rank FROM pool) WHERE rank <= 3""")
 def rerank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visual, lexical = _visual(spark, sf_dir), _lexical(spark, sf_dir)
-    return S.rerank(visual, lexical, 50).where("rank <= 3").select("probe_id", "entry_index", r6("lexical", "lexical"), "rank")
+    return S.rerank(S.scores(*_visual_sides(spark, sf_dir)), _lexical(spark, sf_dir), 50).where("rank <= 3").select("probe_id", "entry_index", r6("lexical", "lexical"), "rank")
 
 
 @query(f"""
