@@ -35,7 +35,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -321,7 +321,10 @@ def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "d
     schema = "doc_id bigint, n_tokens bigint, hashes array<binary>, root binary, fresh array<struct<hash:binary,payload:binary>>"
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(vocabulary, end), schema)
     staged = materialise(rows, "tokenstore-staged", compression="zstd")
-    staged.select(F.inline("fresh")).dropDuplicates(["hash"]).write.parquet(f"{path}/chunks", compression="zstd")
+    # a batch names a chunk once, so little meets before the shuffle: one sort after it, and the first of each hash stays
+    again = F.lag(F.lit(True)).over(Window.partitionBy("hash").orderBy("hash"))
+    chunks = staged.select(F.inline("fresh")).withColumn("again", again).where("again IS NULL").drop("again")
+    chunks.write.parquet(f"{path}/chunks", compression="zstd")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = staged.drop("fresh").repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     numbered = ordered.mapInArrow(_number, "seq bigint, doc_id bigint, n_tokens bigint, local_start bigint, hashes array<binary>, root binary")
