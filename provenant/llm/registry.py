@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import ann, bpe, chat, decontaminate, langid, pii, simhash, tokencount, tokenstore, toxicity
+from provenant.llm import ann, bpe, chat, decontaminate, hardneg, kdcluster, langid, packing, pii, simhash, tokencount, tokenstore, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": langid.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_store": tokenstore.op10_token_store,
+    "op11_packing": packing.op11_packing,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_kd_clustering": kdcluster.op13_kd_clustering,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op12_hard_negatives": hardneg.ORACLE, "op13_kd_clustering": kdcluster.ORACLE}
