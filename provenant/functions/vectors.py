@@ -10,6 +10,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there, is not empty, and has neither null nor non-finite components."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(doubles(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -51,15 +51,7 @@ def visual_profile(entries: DataFrame, probes: DataFrame, k: int = 3, clean_cont
     ``clean_control`` is ``anchor``; a target that is not in it ranks behind all.
     """
     roles = ["distractor"] if clean_control == "distractor" else ["distractor", "clean_control"]
-    scored = S.scores(entries.select("entry_index", "role", "embedding"), probes.select("probe_id", "target_index", "probe"))
-    # one pass gives both: the clean rank counts the clean entries before the target
-    own = scored.where(F.col("entry_index") == F.col("target_index")).groupBy("probe_id").agg(F.max("score").alias("own"), F.max("role").alias("own_role"))
-    before = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("entry_index") < F.col("target_index")))
-    clean_row = F.col("role").isin(*roles)
-    ranks = scored.join(own, "probe_id", "left").groupBy("probe_id").agg(
-        (F.sum((F.col("own").isNull() | before).cast("int")) + 1).alias("target_rank"),
-        (F.sum((clean_row & (F.col("own").isNull() | ~F.coalesce(F.col("own_role").isin(*roles), F.lit(False)) | before)).cast("int")) + 1).alias("clean_target_rank"),
-    )
+    ranks = S.target_ranks(entries, probes, clean_target_rank=F.col("role").isin(*roles)).select("probe_id", F.col("ordinal_rank").alias("target_rank"), "clean_target_rank")
     rows = probes.drop("probe").join(ranks, "probe_id")
     reply = lambda rank: M.simulated_response(F.col("mode"), A.rank_in_topk(F.col(rank), k), F.col("signature"), F.col("color"), F.col("object_class"), F.col("position"))
     rows = rows.withColumn("watermarked_response", reply("target_rank")).withColumn("clean_response", reply("clean_target_rank"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenant.functions import geometry as G
@@ -146,23 +148,88 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def zipped(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], name: str = "place") -> DataFrame:
+    """Rows of both sides side by side by their place in their orders, from 0; sides of unequal length are an error.
+
+    Both sides are numbered by range (:func:`renumbered`) and joined by number,
+    so neither is sorted in one task. Rows that are equal in their order may
+    stand in any order among themselves; name columns that break ties. Both
+    sides need names of their own.
+    """
+    both = {c.lower() for c in a.columns} & {c.lower() for c in b.columns}
+    if both or name.lower() in {c.lower() for c in a.columns + b.columns}:
+        raise ValueError(f"both sides have {sorted(both)}, or a column called {name}")
+    left, right = (scratch(renumbered(side, *order, name=name, start=0)) for side, order in ((a, order_a), (b, order_b)))
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"a strict join by place needs sides of equal length, not {n} and {m}")
+    return left.join(right, name)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's shared folder (``spark.checkpoint.dir``); a temporary one stands in where none is set."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provenant-"))
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Written to the shared folder as Parquet and read again: lineage ends there, and columns can be read apart."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+LEAST_KEY, MOST_TABLES = 10, 256
+
+
+def hash_masks(rows: int, threshold: int, bits: int = 64) -> list[int]:
+    """Masks of which at least one covers only equal bits of any two hashes that differ in at most ``threshold`` bits.
+
+    The bits are cut into ``threshold + e`` blocks, of which ``e`` are untouched;
+    every choice of ``e`` blocks is a mask. ``e`` grows with the number of rows,
+    so that about one row has each masked value by chance.
+    """
+    wanted = max(LEAST_KEY, rows.bit_length())
+    for e in range(1, bits):
+        edges = [round(i * bits / (threshold + e)) for i in range(threshold + e + 1)]
+        blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+        masks = [sum(c) for c in combinations(blocks, e)]
+        if len(masks) > MOST_TABLES:
+            raise ValueError(f"hashes of {bits} bits cannot be joined at {threshold} differing bits: {len(masks)} tables would be needed for {rows} rows")
+        if min(m.bit_count() for m in masks) >= wanted or (e > 1 and min(m.bit_count() for m in masks) >= LEAST_KEY and len(masks) > MOST_TABLES // 4):
+            return masks
+    raise ValueError("no hash has so many bits")
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def near_pairs(rows: DataFrame, hash_column: str, key: str, threshold: int = 4, bits: int = 64) -> DataFrame:
     """(a, b) of every two rows whose hashes differ in at most ``threshold`` bits, a < b.
 
-    Hashes are cut into ``threshold + 1`` bands; two such hashes share a band.
-    Equal hashes meet once, as one row with its smallest key, and come back
-    as a star around it.
+    Rows meet where one of :func:`hash_masks` leaves them equal; only the first
+    such mask reports a pair. Equal hashes meet once, as one row with its
+    smallest key, and come back as a star around it. Rows with a null hash are
+    near none.
     """
-    firsts = rows.groupBy(hash_column).agg(F.min(key).alias("__k"))
-    width = -(-bits // (threshold + 1))
-    bands = firsts.select("__k", F.col(hash_column).alias("h"), F.posexplode(F.array(*(F.shiftrightunsigned(hash_column, i * width).bitwiseAND(F.lit((1 << min(width, bits - i * width)) - 1)) for i in range(threshold + 1)))).alias("band", "value"))
-    a, b = bands.select("band", "value", F.col("__k").alias("a"), F.col("h").alias("ha")), bands.select("band", "value", F.col("__k").alias("b"), F.col("h").alias("hb"))
-    near = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= threshold)).select("a", "b").distinct()
-    same = rows.join(firsts, hash_column).where(F.col(key) != F.col("__k")).select(F.col("__k").alias("a"), F.col(key).alias("b"))
+    rows = rows.where(F.col(hash_column).isNotNull())
+    firsts = rows.groupBy(F.col(hash_column).alias("h")).agg(F.min(key).alias("k"))
+    masks = [_signed(m) for m in hash_masks(firsts.count(), threshold, bits)]
+    keys = F.posexplode(F.array(*(F.col("h").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "value")
+    tables = firsts.select("k", "h", keys)
+    a, b = tables.select("mask", "value", F.col("k").alias("a"), F.col("h").alias("ha")), tables.select("mask", "value", F.col("k").alias("b"), F.col("h").alias("hb"))
+    differing = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: differing.bitwiseAND(m) == 0), True) - 1
+    met = a.join(b, ["mask", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(differing) <= threshold))
+    near = met.where(first == F.col("mask")).select("a", "b")
+    same = rows.select(F.col(hash_column).alias("h"), F.col(key).alias("b")).join(firsts, "h").where(F.col("b") != F.col("k")).select(F.col("k").alias("a"), "b")
     return near.unionAll(same)
 
 

@@ -30,6 +30,15 @@ def probe_blocks(probes: DataFrame, key: str = "probe_id", width: int = 1024) ->
     return [probes] if blocks == 1 else [probes.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
 
 
+def uniform(rows: DataFrame, vector: str = "embedding", length: int | None = None) -> tuple[DataFrame, int]:
+    """(the rows whose vector can take part, its length): finite vectors of the commonest length, or of the given one."""
+    rows = rows.where(V.finite(F.col(vector)))
+    if length is None:
+        first = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = first.n if first else 1
+    return rows.where(F.size(vector) == length), length
+
+
 def scores(entries: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe columns, entry_index, score): inner products of every probe with every entry.
 
@@ -54,11 +63,13 @@ def topk_blocked(entries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
 
     Each batch keeps its own best k of each probe (all ties within 1e-9 of the
     last place too); the rest is :func:`topk`. One block of probes at a time.
+    Entries or probes without a finite vector of the common length take no part.
     """
     found = []
-    for part in probe_blocks(probes.select("probe_id", "probe")):
+    entries, length = uniform(entries)
+    for part in probe_blocks(uniform(probes.select("probe_id", "probe"), "probe", length)[0], width=length):
         rows = part.toArrow().combine_chunks()  # a block of at most PROBE_BYTES
-        ids, q = rows.column("probe_id"), np.array(rows.column("probe").to_pylist(), np.float64)
+        ids, q = rows.column("probe_id"), np.array(rows.column("probe").to_pylist(), np.float64).reshape(-1, length)
         shared = entries.sparkSession.sparkContext.broadcast((ids.to_pylist(), q))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -98,9 +109,10 @@ def topk_approximate(entries: DataFrame, probes: DataFrame, k: int, tables: int
     and a probe looks at the buckets one sign away too: at c = 0.7 a pair is
     missed by all 32 tables once in ten thousand. Entries are only scanned, the
     probes' keys go out by broadcast, and only pairs found are joined again.
+    Entries or probes without a finite vector of the common length take no part.
     """
-    first = entries.select(F.size("embedding").alias("n")).where("n > 0").first()
-    dimension = first.n if first else 1
+    entries, dimension = uniform(entries)
+    probes, _ = uniform(probes, "probe", dimension)
     stored = entries.select("entry_index", F.explode(sign_keys(F.col("embedding"), dimension, tables, bits, seed)).alias("key"))
     found = []
     for part in probe_blocks(probes.select("probe_id", "probe"), width=tables * (bits + 1)):
@@ -118,26 +130,67 @@ def merge_shards(shards: list[DataFrame], k: int, path: str = "entry_index") ->
     return topk(union.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n", "rank"), k)
 
 
-def target_rank_by_counting(scored: DataFrame, target: str = "target_index") -> DataFrame:
-    """(probe_id, target_rank, n_entries): one plus the number of strictly better entries, without a sort.
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, each the same whatever rows stand beside it."""
+    return (np.ascontiguousarray(a) * np.ascontiguousarray(b)).sum(axis=1)
 
-    A target that is not among the entries ranks behind all of them.
-    """
-    own = scored.where(F.col("entry_index") == F.col(target)).groupBy("probe_id").agg(F.max("score").alias("target_score"))
-    joined = scored.join(own, "probe_id", "left")
-    better = F.sum(F.when(F.col("target_score").isNull() | (F.col("score") > F.col("target_score")), 1).otherwise(0))
-    return joined.groupBy("probe_id").agg((better + 1).alias("target_rank"), F.count("*").alias("n_entries"))
 
+def target_ranks(entries: DataFrame, probes: DataFrame, target: str = "target_index", **among: Column) -> DataFrame:
+    """(probe_id, ordinal_rank, competition_rank, n_entries), and an ordinal rank for each of ``among``.
 
-def target_rank_ordinal(scored: DataFrame, target: str = "target_index") -> DataFrame:
-    """(probe_id, target_rank): the place in the order by score and index; N + 1 where absent.
+    The ordinal rank is the target's place by score and index, the competition
+    rank one more than the strictly better entries. ``among`` names conditions
+    on the entries; the rank under such a name counts only entries that meet its
+    condition. A target that is not among the entries in question ranks behind
+    all of them.
 
-    Counted, not sorted: the target's place is one more than the entries before it.
+    The targets' own scores come from a join by index and go out with the probes,
+    in blocks of a checked size. The entries are scanned once a block: each task
+    counts the entries before every target and sends one row a probe, so neither
+    scores nor entries are shuffled.
+
+    Entries or probes without a finite vector of the common length take no part.
     """
-    own = scored.where(F.col("entry_index") == F.col(target)).groupBy("probe_id").agg(F.max("score").alias("target_score"))
-    before = (F.col("score") > F.col("target_score")) | ((F.col("score") == F.col("target_score")) & (F.col("entry_index") < F.col(target)))
-    place = F.sum(F.when(F.col("target_score").isNull() | before, 1).otherwise(0)) + 1
-    return scored.join(own, "probe_id", "left").groupBy("probe_id").agg(place.alias("target_rank"))
+    flags = list(among)
+    entries, length = uniform(entries)
+    rows = entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), V.doubles(F.col("embedding")).alias("v"), *(F.coalesce(c, F.lit(False)).alias(f) for f, c in among.items()))
+    asked, _ = uniform(probes.select(F.col("probe_id").cast("bigint").alias("probe_id"), F.col(target).cast("bigint").alias("target"), V.doubles(F.col("probe")).alias("q")), "q", length)
+    asked = asked.join(rows.select(F.col("entry_index").alias("target"), F.col("v").alias("own"), *(F.col(f).alias(f"own_{f}") for f in flags)).dropDuplicates(["target"]), "target", "left")
+    found, schema = [], ", ".join(["probe_id bigint", "better bigint", "n bigint", "before bigint", *(f"`before_{f}` bigint" for f in flags)])
+    for part in probe_blocks(asked, width=2 * length):
+        table = part.toArrow().combine_chunks()  # a block of at most PROBE_BYTES
+        q = np.array(table.column("q").to_pylist(), np.float64).reshape(-1, length)
+        lost = table.column("own").is_null().to_numpy()
+        own = np.array([q[i] if x is None else x for i, x in enumerate(table.column("own").to_pylist())], np.float64).reshape(-1, length)
+        inside = {f: table.column(f"own_{f}").fill_null(False).to_numpy() for f in flags}
+        ids, targets = table.column("probe_id").to_numpy(), table.column("target").fill_null(-1).to_numpy()
+        shared = entries.sparkSession.sparkContext.broadcast((ids, targets, q, np.where(lost, -np.inf, _dots(q, own)), inside))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, targets, q, own, inside = shared.value
+            better, n, before = np.zeros(len(ids), np.int64), 0, {f: np.zeros(len(ids), np.int64) for f in ["", *flags]}
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    piece = batch.slice(start, 2048)
+                    entry, n = piece.column("entry_index").to_numpy(), n + piece.num_rows
+                    v = piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
+                    s = q @ v.T
+                    # a matrix product rounds by its shape: what comes close is summed again, always in one order
+                    at_q, at_v = np.nonzero(np.abs(s - own[:, None]) <= np.where(np.isfinite(own), 1e-9 * np.maximum(1, np.abs(own)), -1)[:, None])
+                    s[at_q, at_v] = _dots(q[at_q], v[at_v])
+                    above = s > own[:, None]
+                    earlier = above | ((s == own[:, None]) & (entry[None] < targets[:, None]))
+                    better += above.sum(axis=1)
+                    before[""] += earlier.sum(axis=1)
+                    for f in flags:
+                        # a target outside the condition ranks behind all that meet it
+                        holds = piece.column(f).to_numpy(zero_copy_only=False)
+                        before[f] += ((earlier | ~inside[f][:, None]) & holds[None]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(better), pa.array(np.full(len(ids), n)), *(pa.array(before[f]) for f in ["", *flags])], ["probe_id", "better", "n", "before", *(f"before_{f}" for f in flags)])
+
+        found.append(rows.mapInArrow(count, schema))
+    sums = reduce(DataFrame.unionAll, found).groupBy("probe_id")
+    return sums.agg((F.sum("before") + 1).alias("ordinal_rank"), (F.sum("better") + 1).alias("competition_rank"), F.sum("n").alias("n_entries"), *((F.sum(f"before_{f}") + 1).alias(f) for f in flags))
 
 
 def rank_or_absent(probes: DataFrame, hits: DataFrame, absent: Column, target: str = "target_index") -> DataFrame:

@@ -6,6 +6,7 @@ Scores are rounded to six places, as two engines may add doubles in another orde
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,14 +51,14 @@ def r6(c: Column | str, name: str | None = None) -> Column:
 
 # --- vectors and ranks ----------------------------------------------------------------------------------------------------
 
-CANARIES = 20  # vec_id below this are canaries, with three probes each: 60 probes at any scale
+CANARY = "vec_id % 50 = 0"  # every fiftieth vector is a canary, with three probes
 
 _PROBES_SQL = """
 e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 raw AS (
   SELECT a.vec_id AS target_index, a.label AS label, p.i AS probe_index, a.vec_id * 3 + p.i AS probe_id,
          list_transform(list_zip(a.v, b.v), lambda z: z[1] + z[2] * (0.5 * (p.i + 1))) AS s
-  FROM e a JOIN e b ON b.vec_id = a.vec_id + 100 CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) p WHERE a.vec_id < 20),
+  FROM e a JOIN e b ON b.vec_id = a.vec_id + 100 CROSS JOIN (SELECT unnest([0, 1, 2]) AS i) p WHERE a.vec_id % 50 = 0),
 probes AS (SELECT *, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS q FROM raw),
 scored AS (
   SELECT probe_id, target_index, probe_index, probes.label AS label, e.vec_id AS entry_index, list_inner_product(e.v, q) AS score
@@ -65,13 +66,13 @@ scored AS (
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_index"), "embedding", F.when(F.col("vec_id") < CANARIES, "canary").otherwise("distractor").alias("role"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("entry_index"), "embedding", F.when(F.expr(CANARY), "canary").otherwise("distractor").alias("role"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(probe_id, target_index, probe_index, label, probe): canary vectors with a share of another's mixed in."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    a, b = e.where(F.col("vec_id") < CANARIES), e.where((F.col("vec_id") >= 100) & (F.col("vec_id") < 100 + CANARIES)).select((F.col("vec_id") - 100).alias("vec_id"), F.col("v").alias("w"))
+    a, b = e.where(CANARY), e.where(CANARY).select((F.col("vec_id") - 100).alias("vec_id"), F.col("v").alias("w"))
     mixed = a.join(b, "vec_id").withColumn("probe_index", F.explode(F.array(*map(F.lit, range(3)))))
     share = 0.5 * (F.col("probe_index") + 1)
     s = F.zip_with("v", "w", lambda x, y: x + y * share)
@@ -96,7 +97,8 @@ SELECT coalesce(label::VARCHAR, 'all') AS subset, count(*) AS num_canaries, sum(
 FROM canary GROUP BY GROUPING SETS ((label), ())""")
 def audit_rank_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: probes against all entries, gated by rank, averaged by canary, for each label and for all."""
-    ranks = S.target_rank_ordinal(scored(spark, sf_dir)).join(F.broadcast(probes(spark, sf_dir).select("probe_id", "target_index", "label")), "probe_id")
+    asked = probes(spark, sf_dir)
+    ranks = S.target_ranks(entries(spark, sf_dir), asked).withColumnRenamed("ordinal_rank", "target_rank").join(asked.select("probe_id", "target_index", "label"), "probe_id")
     rank = F.col("target_rank")
     canary = ranks.groupBy("target_index").agg(
         F.any_value("label").alias("label"), A.share(A.rank_in_topk(rank, 3)).alias("rate"), F.count("*").alias("n"), F.sum((rank <= 1).cast("int")).alias("t1"), F.sum((rank <= 10).cast("int")).alias("t10"), F.sum(1.0 / rank).alias("rr")
@@ -135,15 +137,14 @@ def topk_shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PROBES_SQL}, own AS (SELECT probe_id, score AS own FROM scored WHERE entry_index = target_index)
 SELECT s.probe_id, 1 + count(*) FILTER (WHERE score > own) AS target_rank, count(*) AS n_entries FROM scored s JOIN own USING (probe_id) GROUP BY s.probe_id""")
 def rank_by_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.target_rank_by_counting(scored(spark, sf_dir))
+    return S.target_ranks(entries(spark, sf_dir), probes(spark, sf_dir)).select("probe_id", F.col("competition_rank").alias("target_rank"), "n_entries")
 
 
 @query(f"""
 WITH {_PROBES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, entry_index) AS n, rank() OVER (PARTITION BY probe_id ORDER BY score DESC) AS c FROM scored)
 SELECT probe_id, n::BIGINT AS ordinal_rank, c::BIGINT AS competition_rank FROM r WHERE entry_index = target_index""")
 def rank_ordinal_and_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    return S.target_rank_ordinal(s).withColumnRenamed("target_rank", "ordinal_rank").join(S.target_rank_by_counting(s).select("probe_id", F.col("target_rank").alias("competition_rank")), "probe_id")
+    return S.target_ranks(entries(spark, sf_dir), probes(spark, sf_dir)).select("probe_id", "ordinal_rank", "competition_rank")
 
 
 @query(f"""
@@ -163,20 +164,22 @@ r AS (SELECT s.probe_id, any_value(label) AS label, 1 + count(*) FILTER (WHERE s
 SELECT label, round(avg((k <= 1)::INT), 6) AS recall_at_1, round(avg((k <= 3)::INT), 6) AS recall_at_3, round(avg((k <= 10)::INT), 6) AS recall_at_10,
        round(avg(1.0 / k), 6) AS mrr, round(avg(k), 6) AS mean_rank, round(quantile_cont(k::DOUBLE, 0.5), 6) AS median_rank FROM r GROUP BY label""")
 def recall_mrr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = S.target_rank_by_counting(scored(spark, sf_dir)).join(F.broadcast(probes(spark, sf_dir).select("probe_id", "label")), "probe_id")
+    asked = probes(spark, sf_dir)
+    ranks = S.target_ranks(entries(spark, sf_dir), asked).withColumnRenamed("competition_rank", "target_rank").join(asked.select("probe_id", "label"), "probe_id")
     names = ["recall_at_1", "recall_at_3", "recall_at_10", "mrr", "mean_rank", "median_rank"]
     return ranks.groupBy("label").agg(*S.rank_measures()).select("label", *(r6(n, n) for n in names))
 
 
 @query(f"""
 WITH {_PROBES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, entry_index) AS rank FROM scored)
-SELECT round(avg((rank = 1 AND entry_index BETWEEN 100 AND 119)::INT::DOUBLE) * any_value(c.n), 6) AS contaminant_top1, round(avg(CASE WHEN entry_index = target_index THEN 1.0 / rank END), 6) AS mrr
+SELECT round(avg((rank = 1 AND entry_index % 100 = 50)::INT::DOUBLE) * any_value(c.n), 6) AS contaminant_top1, round(avg(CASE WHEN entry_index = target_index THEN 1.0 / rank END), 6) AS mrr
 FROM r CROSS JOIN (SELECT count(*) AS n FROM e) c""")
 def contamination_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = entries(spark, sf_dir)
-    clean, bad = own.where(~F.col("entry_index").between(100, 119)), own.where(F.col("entry_index").between(100, 119)).withColumn("role", F.lit("contaminant"))
-    s = S.scores(clean.unionByName(bad), probes(spark, sf_dir))
-    first, ranks = S.topk(s, 1), S.target_rank_ordinal(s)
+    planted = F.col("entry_index") % 100 == 50
+    every = own.where(~planted).unionByName(own.where(planted).withColumn("role", F.lit("contaminant")))
+    asked = probes(spark, sf_dir)
+    first, ranks = S.topk_blocked(every, asked, 1).join(every.select("entry_index", "role"), "entry_index"), S.target_ranks(every, asked).withColumnRenamed("ordinal_rank", "target_rank")
     return first.agg(r6(S.contamination(first), "contaminant_top1")).crossJoin(ranks.agg(r6(F.avg(1.0 / F.col("target_rank")), "mrr")))
 
 
@@ -581,12 +584,36 @@ def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.renumbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "number")
 
 
+_DOC_HASH = f"""
+w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents),
+x AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(w), 9, 8))::BIGINT AS lo FROM w),
+h AS (SELECT doc_id, {" + ".join(f"((2 * sum((lo >> {i}) & 1) > count(*))::BIGINT << {i})" for i in range(32))} AS lo, {" + ".join(f"((2 * sum((hi >> {i}) & 1) > count(*))::BIGINT << {i})" for i in range(32))} AS hi FROM x GROUP BY doc_id)"""
+
+
+def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, h, priority): 64 bits of each text, each the majority of its words' MD5 bits; every fiftieth document is a canary."""
+    w = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.explode(F.split("text", " ")).cast("binary")).alias("m"))
+    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("bigint")
+    w = w.select("doc_id", half(1).alias("hi"), half(9).alias("lo"))
+    bit = lambda c, i: F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1)))
+    sums = w.groupBy("doc_id").agg(F.count("*").alias("n"), *(bit(c, i).alias(f"{c}{i}") for c in ("hi", "lo") for i in range(32)))
+    word = lambda c: reduce(lambda x, y: x + y, (F.when(2 * F.col(f"{c}{i}") > F.col("n"), F.lit(1 << i)).otherwise(0) for i in range(32)))
+    return sums.select("doc_id", F.shiftleft(word("hi"), 32).bitwiseOR(word("lo")).alias("h"), F.when(F.col("doc_id") % 50 == 0, 0).otherwise(1).alias("priority"))
+
+
+@query(f"""
+WITH {_DOC_HASH}, f AS (SELECT lo, hi, min(doc_id) AS k FROM h GROUP BY ALL)
+SELECT a.k AS a, b.k AS b FROM f a JOIN f b ON a.k < b.k AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 4
+UNION ALL SELECT f.k, h.doc_id FROM h JOIN f USING (lo, hi) WHERE h.doc_id <> f.k""")
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose hashes differ in at most four bits; equal hashes as stars."""
+    return R.near_pairs(document_hashes(spark, sf_dir).select("doc_id", "h"), "h", "doc_id", 4)
+
+
 @query()
 def greedy_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy deduplication of the embeddings by their 64 signs, canaries first."""
-    signs = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0 AND i < 64, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", signs.alias("h"), F.when(F.col("vec_id") < CANARIES, 0).otherwise(1).alias("priority"))
-    return R.greedy_dedup(rows, "h", "vec_id", "priority", 16).select("vec_id")
+    """Greedy deduplication of the documents by their hashes at four bits, canaries first."""
+    return R.greedy_dedup(R.scratch(document_hashes(spark, sf_dir)), "h", "doc_id", "priority", 4).select("doc_id")
 
 
 @query("""
