@@ -6,10 +6,10 @@ the element. So a group of any size is read by as many tasks as the table has,
 and what is shuffled is bounded by groups times bins. When so few values are
 left in a range that one task may sort them, it does, and the element is found.
 
-Rounds cut evenly and, in turn, by powers of two away from the range's low end,
-so that values of very different sizes are told apart too. Every round ends
-between values that occur, so it always narrows. Several elements of a group
-share its first rounds, and equal ranges are counted once.
+Rounds cut evenly by value and, in turn, evenly by power of two, so that values
+of very different sizes are told apart too: 64 bits take a dozen rounds at most,
+whatever the values. Several elements of a group share its first rounds, and
+equal ranges are counted once.
 
 Defined results: nulls and NaN take no part; a group without other values has no
 row; infinities are the least and greatest values.
@@ -37,16 +37,18 @@ LOWER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor((n - 1) / 2)  # noq
 UPPER_MIDDLE: Callable[[Column], Column] = lambda n: F.floor(n / 2)
 
 
+def _magnitude(v: Column) -> Column:
+    """Rises with a value, evenly with its power of two on either side of zero."""
+    power = F.log2(F.abs(v)) + 1076
+    return F.when(v == 0, 0.0).when(v > 0, power).otherwise(-power)
+
+
 def _bin(value: Column, low: Column, high: Column, even: bool) -> Column:
     """A part's number from 0, never falling as ``value`` rises from ``low`` to ``high``."""
     # halves, as the difference of two doubles may be too large for one
-    share = (value / 2 - low / 2) / (high / 2 - low / 2)
-    if even:
-        part = F.least(F.floor(share * BINS), F.lit(BINS - 1))
-    else:
-        # 16 parts for each halving of the share, down to 2^-62
-        part = F.greatest(F.lit(1), F.lit(BINS - 1) + F.floor(F.log2(share) * 16))
-        part = F.when(value == low, 0).otherwise(part)
+    at = (lambda v: v / 2) if even else _magnitude
+    share = (at(value) - at(low)) / (at(high) - at(low))
+    part = F.when(at(high) > at(low), F.greatest(F.lit(0), F.least(F.floor(share * BINS), F.lit(BINS - 1)))).otherwise(0)
     infinite = F.abs(value) == float("inf")
     return F.when(infinite, F.when(value > 0, BINS).otherwise(-1)).otherwise(part).cast("int")
 

@@ -41,7 +41,7 @@ def percentiles_by_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (
   SELECT l_shipmode_run AS run, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS score, l_discount >= 0.05 AS passed, l_quantity >= 40 AS selected, l_category AS category
   FROM (SELECT *, l_linenumber AS l_shipmode_run, coalesce(p_type, 'unknown') || '/' || p_size AS l_category FROM lineitem LEFT JOIN part ON p_partkey = l_partkey)),
-k AS (SELECT run, category, count(*) AS size FROM c GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, category) <= 8)
+k AS (SELECT run, category, count(*) AS size FROM c GROUP BY run, category QUALIFY row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, category) <= 8)
 SELECT run, count(*) AS all_candidates, sum(selected::INT)::BIGINT AS selected_candidates, sum(passed::INT)::BIGINT AS review_pass_count, round(avg(passed::INT), 6) AS review_pass_rate,
        round(avg(selected::INT), 6) AS selection_rate_from_all, round(avg(score), 6) AS all_score_mean, round(avg(score) FILTER (WHERE selected), 6) AS selected_score_mean,
        round(quantile_cont(score, 0.5), 6) AS all_score_median, round({_PLACE.format(v='score', q=0.75)}, 6) AS all_score_p75, round({_PLACE.format(v='score', q=0.9)}, 6) AS all_score_p90,
@@ -220,17 +220,16 @@ def balanced_target_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def injection_of(spark: SparkSession, sf_dir: str, path: str) -> tuple[Rounds, DataFrame]:
     """Orders as anchors, whose lines in turn are what can be tried."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor_id"), F.col("l_linenumber").alias("attempt"), "l_discount", "l_quantity", "l_tax")
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor_id"), F.row_number().over(own).alias("attempt"), "l_discount", "l_quantity", "l_tax")
     anchors = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("anchor_id"), F.col("o_orderkey").alias("anchor_order"))
     gates = [("quality", F.col("l_discount") < 0.05), ("naturalness", F.col("l_quantity") < 30), ("readability", F.col("l_tax") < 0.06)]
     return Rounds(path, lambda pending: pending.join(li, ["anchor_id", "attempt"]), gates, max(1, anchors.count() // 20), 3), anchors
 
 
 @query("""
-WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN NOT l_discount < 0.05 THEN 'quality' WHEN NOT l_quantity < 30 THEN 'naturalness' WHEN NOT l_tax < 0.06 THEN 'readability' END AS failed FROM lineitem),
--- lines are tried in turn, and an anchor is given up where the next one is not there
-f AS (SELECT l_orderkey, l_linenumber, failed FROM t WHERE l_linenumber <= 3 QUALIFY count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = l_linenumber),
-a AS (SELECT l_orderkey AS anchor_id, min(l_linenumber) AS attempt FROM f WHERE failed IS NULL GROUP BY 1 ORDER BY 1 LIMIT (SELECT greatest(1, count(*) // 20) FROM orders))
+WITH t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) AS attempt, CASE WHEN NOT l_discount < 0.05 THEN 'quality' WHEN NOT l_quantity < 30 THEN 'naturalness' WHEN NOT l_tax < 0.06 THEN 'readability' END AS failed FROM lineitem),
+a AS (SELECT l_orderkey AS anchor_id, min(attempt) AS attempt FROM t WHERE attempt <= 3 AND failed IS NULL GROUP BY 1 ORDER BY 1 LIMIT (SELECT greatest(1, count(*) // 20) FROM orders))
 SELECT printf('canary_%04d', row_number() OVER (ORDER BY anchor_id) - 1) AS id, anchor_id, attempt::INT AS attempt FROM a""")
 def injection_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks placed in rounds of one attempt an anchor, through three gates, up to a twentieth of the orders."""

@@ -592,7 +592,7 @@ h AS (SELECT doc_id, {" + ".join(f"((2 * sum((lo >> {i}) & 1) > count(*))::BIGIN
 
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, h, priority): 64 bits of each text, each the majority of its words' MD5 bits; every fiftieth document is a canary."""
-    w = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.explode(F.split("text", " ")).cast("binary")).alias("m"))
+    w = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", " ")).alias("w")).select("doc_id", F.md5(F.col("w").cast("binary")).alias("m"))
     half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("bigint")
     w = w.select("doc_id", half(1).alias("hi"), half(9).alias("lo"))
     bit = lambda c, i: F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1)))

@@ -3,6 +3,7 @@
 import pytest
 from oracle import connection, differences
 
+from provenant.plans.queries import document_hashes
 from provenant.plans.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
 
@@ -25,13 +26,12 @@ def test_flagship(spark, sf_dir):
 
 
 def test_greedy_equals_a_greedy_pass(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
-    prints = sorted((0 if r.vec_id < 20 else 1, r.vec_id, sum(1 << i for i, x in enumerate(r.embedding[:64]) if x > 0)) for r in rows)
     kept = []
-    for _, key, h in prints:
-        if all((h ^ other).bit_count() > 16 for _, other in kept):
-            kept.append((key, h))
-    assert sorted(r.vec_id for r in QUERIES["greedy_near_dup"](spark, sf_dir).collect()) == sorted(k for k, _ in kept)
+    for r in sorted(document_hashes(spark, sf_dir).collect(), key=lambda r: (r.priority, r.doc_id)):
+        if all(((r.h ^ other) & (1 << 64) - 1).bit_count() > 4 for _, other in kept):
+            kept.append((r.doc_id, r.h))
+    assert sorted(r.doc_id for r in QUERIES["greedy_near_dup"](spark, sf_dir).collect()) == sorted(k for k, _ in kept)
+    assert len(kept) < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
 
 
 def test_queries_read_whole_tables(spark, sf_dir):
