@@ -113,8 +113,11 @@ def cells(anchors: DataFrame, entries: DataFrame, wanted: Column) -> DataFrame:
     """
     own = anchors.where("chunk = 0").select(F.col("block").alias("a"), "first", "last", F.col("chunks").alias("a_chunks"))
     others = entries.where("chunk = 0").select(F.col("block").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.col("chunks").alias("b_chunks"))
-    # anchor blocks are a hundredth of the blocks of a few numbers each; the grid is what an exact product has to visit
-    grid = others.join(own, wanted).select("a", "b", F.explode(F.sequence(F.lit(0), F.least("a_chunks", "b_chunks") - 1)).alias("chunk"))
+    # the grid: anchor blocks are columns, and every row block goes to each column where the labels let it
+    columns = max(1, own.count())
+    deal = F.pmod(F.xxhash64("a"), F.lit(columns))
+    grid = others.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).join(own.withColumn("column", deal.cast("int")), "column").where(wanted)
+    grid = grid.select("a", "b", F.explode(F.sequence(F.lit(0), F.least("a_chunks", "b_chunks") - 1)).alias("chunk"))
     left = grid.join(anchors.withColumnRenamed("block", "a"), ["a", "chunk"]).select("a", "b", "chunk", "n", "item", "tile", "rows", "positives")
     right = grid.join(entries.withColumnRenamed("block", "b"), ["b", "chunk"])
     right = right.select(F.col("a").alias("to_a"), F.col("b").alias("to_b"), F.col("chunk").alias("to_chunk"), "n", "item", "tile", "rows")
