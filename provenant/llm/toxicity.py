@@ -5,8 +5,9 @@ the lexicon: terms of which most documents are toxic, and so many that no word
 out of all would be by chance (see ``unlikely``). How much evidence that takes
 depends on the share of toxic documents and the log of the number of words, not
 on the number of documents. Each term keeps the toxicity of the documents that
-hold it, and of those that hold a misspelling of it. Copies of one text, and
-texts with the same least shingle, count once, and as toxic if one of them is.
+hold it, and of those that hold a misspelling of it. Every labelled text is
+read and counts with its own label; copies of one text, and texts with the same
+least shingle, weigh as much as one text together, each its part.
 
 A word is a run of letters, within which one or two digits or signs may stand
 for others, as in ``id1ot``.
@@ -24,7 +25,7 @@ text without a hit scores what such texts did.
 
 Defined results: null, empty and wordless texts score as a text without a hit;
 with no labels at all every score is 0; rows repeat as given; a document with
-several labels is toxic if one says so.
+several labels has their mean; a null id has no label.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from provenant.llm.common import documents, held_out, materialise
 
 LEXICON = 200_000  # terms that fit a worker; more are an error, none is left out
+UNIT = 720_720  # parts of a text's weight; divisible by all numbers up to 16
 CHANCE = 0.01  # of any word at all entering the lexicon without being toxic
 STEMS = range(4, 9)
 WINDOW, STATES = 6, 50_000
@@ -234,24 +236,34 @@ def _copy(text: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: float = 0.8) -> ToxicityModel:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
+    Every labelled text counts, with its own label: texts that share their least
+    shingle (:func:`_copy`) are one piece of evidence together, each weighing one
+    part of it. Weights are whole parts of ``UNIT``, so sums do not depend on
+    their order; an id labelled several times has its mean label.
+
     Only the lexicon and sums by term come to the driver; ``ValueError`` if
     there are more than ``lexicon`` rows of a kind.
     """
-    # by sort and merge at every size: the labels grow with the documents
-    known = labels.select("doc_id", "toxic").where("toxic IS NOT NULL").hint("merge")
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
-    rows = rows.groupBy(_copy(F.col("text")).alias("copy")).agg(F.first("text").alias("text"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rows = materialise(rows.drop("copy"), "toxicity-rows")
-    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    # labels grow with the documents: sorted and merged at every size, and no text travels but once
+    known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.sum((F.col("toxic") > 0).cast("bigint")).alias("y"), F.count("*").alias("m"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("of")).where("text IS NOT NULL")
+    each = materialise(texts.select("doc_id", "of", _copy(F.col("text")).alias("copy")).join(known.hint("merge"), "doc_id"), "toxicity-copies")
+    sizes = each.groupBy("copy").agg(F.count("*").alias("size"))
+    weight = F.greatest(F.lit(1), F.round(F.lit(UNIT) / F.col("size")).cast("bigint"))
+    weights = each.groupBy("doc_id", "of").agg(F.min("copy").alias("copy"), F.min("y").alias("y"), F.min("m").alias("m")).join(sizes, "copy").withColumn("n", weight)
+    weights = weights.select("doc_id", "of", F.round(F.col("n") * F.col("y") / F.col("m")).cast("bigint").alias("t"), "n")
+    rows = materialise(texts.join(weights.hint("merge"), ["doc_id", "of"]).select("text", "t", "n"), "toxicity-rows")
+    n, toxic = (x / UNIT for x in rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first())
     if not toxic:
         return ToxicityModel([], [], [], [], [])
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD_SQL), F.lit(0)))
-    seen = rows.select("toxic", words.alias("words"))
-    by_word = materialise(seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")), "toxicity-words")
+    seen = rows.select("t", "n", words.alias("words"))
+    counted = lambda key: lambda df: df.groupBy(key).agg((F.sum("t") / UNIT).alias("t"), (F.sum("n") / UNIT).alias("n"))
+    by_word = materialise(counted("word")(seen.select("t", "n", F.explode("words").alias("word"))), "toxicity-words")
     stems = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.array(*map(F.lit, STEMS)), lambda k: F.when(F.length(w) > k, F.substring(w, F.lit(1), k))))))
 
-    def admitted(table: DataFrame, key: str, tried: int) -> list[tuple[str, int, int]]:
-        evident = (F.col("t") >= precision * F.col("n")) & unlikely(F.col("t"), F.col("n"), toxic / n, tried)
+    def admitted(table: DataFrame, key: str, tried: int) -> list[tuple[str, float, float]]:
+        evident = (F.col("t") >= (precision - 1e-9) * F.col("n")) & unlikely(F.col("t"), F.col("n"), toxic / n, tried)
         found = [tuple(r) for r in table.where(evident).select(key, "t", "n").limit(lexicon + 1).collect()]
         if len(found) > lexicon:
             raise ValueError(f"more than {lexicon} toxic terms; a higher precision or lexicon is needed")
@@ -261,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: int = LEXICON, precision: f
     likely = by_word.where((F.col("t") > 0) & (F.col("t") >= 0.5 * F.col("n")))
     shared = likely.select(F.explode(F.array(*(F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS))).alias("stem"), F.col("t").alias("s")).where("stem IS NOT NULL")
     shared = shared.groupBy("stem").agg(F.count("*").alias("forms"), F.sum("s").alias("s")).where("forms >= 3")
-    by_stem = seen.select("toxic", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    by_stem = counted("stem")(seen.select("t", "n", F.explode(stems).alias("stem")))
     by_stem = materialise(by_stem.join(shared.select("stem"), "stem", "left_semi"), "toxicity-stems")
     stem_rows = admitted(by_stem, "stem", by_stem.count())
     chosen = {s for s, _, _ in stem_rows}
@@ -312,7 +324,7 @@ def _context(rows: DataFrame, model: ToxicityModel) -> ToxicityModel:
             hits = [scorer.hits(t) for t in part.to_pylist()]
             yield pa.array([0 if not h else 1 if any(not x[4] for x in h) else 2 for h in hits], pa.int32())
 
-    sums = {r.kind: (r.t, r.n) for r in rows.select(kind("text").alias("kind"), "toxic").groupBy("kind").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
+    sums = {r.kind: (r.t, r.n) for r in rows.select(kind("text").alias("kind"), "t", "n").groupBy("kind").agg((F.sum("t") / UNIT).alias("t"), (F.sum("n") / UNIT).alias("n")).collect()}
     plain, quoted, none = (sums.get(k, (0, 0)) for k in (1, 2, 0))
     model.quoted = min(1.0, ((quoted[0] + 2.0) / (quoted[1] + 4.0)) / max(0.05, (plain[0] + 1.0) / (plain[1] + 1.0)))
     model.plain_text = float(none[0] / none[1]) if none[1] else 0.0
