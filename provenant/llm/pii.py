@@ -119,11 +119,12 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
 
 
 def _iban(f: Feistel, text: str, back: bool) -> str | None:
-    plain = text.replace(" ", "")
+    plain = text.replace(" ", "").upper()
     if not 15 <= len(plain) <= 34 or mod97(plain[4:] + plain[:4]) != 1:
         return None
     body = f.characters(plain[4:], b"iban", back)
-    return _refill(text, f"{plain[:2]}{98 - mod97(body + plain[:2] + '00'):02d}{body}")
+    new = _refill(text, f"{plain[:2]}{98 - mod97(body + plain[:2] + '00'):02d}{body}")
+    return new.lower() if text.islower() else new
 
 
 #: The one- and two-digit country calling codes; all others have three digits.
@@ -146,8 +147,8 @@ def _phone(f: Feistel, text: str, back: bool) -> str | None:
     if not 7 <= len(digits) <= 13 or not (code or american):
         return None
     fits = (lambda d: d[0] not in "01" and d[3] not in "01") if american else (lambda d: d[0] != "0")
-    if not fits(digits):
-        fits = lambda d: True
+    if not fits(digits):  # these are permuted among themselves, so that both kinds come back by the key
+        sound, fits = fits, lambda d: not sound(d)
     return code + _refill(text[len(code) :], f.characters(digits, b"phone", back, fits))
 
 
@@ -179,13 +180,10 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        fits = range(FIRST_DAY, LAST_DAY + 1)
-        while True:
-            day = FIRST_DAY + f.permute(day - FIRST_DAY, len(fits), b"date", back)
-            new = date.fromordinal(day)
-            # a day of 13 or more in an ambiguous layout is read back as it was written only if the first order cannot read it
-            if order == orders[0] or new.day > 12:
-                break
+        new = date.fromordinal(FIRST_DAY + f.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", back))
+        if order != orders[0] and new.day <= 12:
+            # written this way it would be read as another day: the year goes first, which has one reading
+            order = "ymd"
         value = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(part['m'])}d}", "d": f"{new.day:0{len(part['d'])}d}"}
         return sep1.join(value[k] for k in order)
     return None
@@ -206,16 +204,17 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
 KINDS: tuple[tuple[str, str, Callable[[Feistel, str, bool], str | None]], ...] = (
     ("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,}", _secret),
     ("credential", r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_.+/=-]{6,})", _secret),
+    ("credential", r"(?i:(?<![a-z0-9])bearer\s{1,3})(?=[^\s\d]{0,200}\d|\S[a-z]{0,200}[A-Z])([A-Za-z0-9_.+/=-]{16,})", _secret),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])|(?<![A-Za-z0-9])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", _ip),
     ("date", r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-]|\.\d)", _date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("card", r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\d)", _card),
     ("phone", r"(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)", _phone),
 )
-_REACH, _LONGEST = 160, 4096  # characters around a trigger that are searched, and how far these go on to the next blank
-_TRIGGER = re.compile(r"\d+|@|(?i:password|passwd|pwd|token|secret|api[_-]?key)|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)")
+_REACH, _BEFORE = 160, 4096  # characters around a trigger that are searched; how far back the blank before them may lie
+_TRIGGER = re.compile(r"\d+|@|(?i:password|passwd|pwd|token|secret|api[_-]?key|bearer)|(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)")
 
 
 _BLANK = re.compile(r"\s")
@@ -235,11 +234,12 @@ class Pseudonymiser:
                 if end >= 0:
                     yield begin, end
                 begin = max(0, m.start() - _REACH)
-                low = max(0, begin - _LONGEST)
+                low = max(0, begin - _BEFORE)
                 begin = max(low, end + 1, text.rfind(" ", low, begin), text.rfind("\n", low, begin))
             if m.end() + _REACH > end:
                 end = m.end() + _REACH
-                end = stop.start() if (stop := _BLANK.search(text, end, end + _LONGEST)) else min(len(text), end + _LONGEST)
+                # to the next blank, however far: a value is never left half in clear
+                end = stop.start() if (stop := _BLANK.search(text, end)) else len(text)
         if end >= 0:
             yield begin, end
 

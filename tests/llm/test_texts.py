@@ -1,5 +1,6 @@
 """Operators on document texts, against brute force, the libraries and edge cases."""
 
+import datetime
 import hashlib
 import itertools
 import random
@@ -579,6 +580,56 @@ def test_one_number_in_two_layouts_is_linked():
     assert plain == spaced and pii.Pseudonymiser(b"k" * 99).find("+14155552671")[0][3] != worker.find("+14155552671")[0][3]
 
 
+def test_dates_link_across_layouts():
+    """A day has one pseudonym, however it is written, and that reads back as the day."""
+    worker = pii.Pseudonymiser()
+    read = lambda t: next(x for o in (["ymd"] if t[4] in "-/." else ["mdy", "dmy"] if "/" in t else ["dmy", "mdy"]) if (x := day_of(t, o)))
+
+    def day_of(t, order):
+        try:
+            part = dict(zip(order, map(int, re.split(r"\D", t))))
+            return datetime.date(part["y"], part["m"], part["d"])
+        except ValueError:
+            return None
+
+    for n in range(366):
+        day = datetime.date(2020, 1, 1) + datetime.timedelta(n)
+        new = {f: worker.find(day.strftime(f))[0][3] for f in ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d.%m.%Y", *(["%d/%m/%Y"] if day.day > 12 else []))}
+        assert len({read(x) for x in new.values()}) == 1, (day, new)
+        assert all(read(worker.find(x, backwards=True)[0][3]) == day for x in new.values())
+
+
+@pytest.mark.parametrize("head, value, tail", [
+    ("password=", "q" * 8000, ""), ("x" * 9000 + " token: ", "A1" * 30_000, " end"), ("api_key=" , "k" * 5000 + "9" * 5000, "\n"), ("Authorization: Bearer ", "abcDEFghiJKLmnoPQR", ", next"),
+    ("pay to ", "gb82west12345698765432", " now"), ("a@" * 3000 + " pwd=", "z" * 4200, ""),
+])
+def test_no_part_of_a_value_stays(head, value, tail):
+    worker = pii.Pseudonymiser()
+    text = head + value + tail
+    (start, stop, _, new), = [f for f in worker.find(text) if f[0] >= len(head)]
+    assert text[start:stop] == value and len(new) == len(value) and sum(a == b for a, b in zip(value, new)) < len(value) / 2
+    changed = worker.replace(text, worker.find(text))
+    assert worker.replace(changed, worker.find(changed, backwards=True)) == text
+
+
+def test_bearer_of_words_stays():
+    assert pii.Pseudonymiser().find("the bearer internationalisation committee, bearer Responsibilities") == []
+
+
+def test_windows_find_what_whole_texts_hold(texts):
+    """The same values, whether a text is searched around its triggers or from end to end; each comes back by the key."""
+    worker, plain = pii.Pseudonymiser(), pii.Pseudonymiser()
+    plain._windows = lambda text: [(0, len(text))]
+    for text in texts.values():
+        if text:
+            found = worker.find(text)
+            assert found == plain.find(text)
+            for start, stop, kind, new in found:
+                put = next(p for k, pattern, p in worker.patterns if k == kind and pattern.search(text, max(0, start - 60), stop))
+                back = put(worker.feistel, new, True)
+                assert back is not None and (sorted(re.findall(r"\d+", back)) == sorted(re.findall(r"\d+", text[start:stop])) if kind == "date" else back == text[start:stop])
+
+
 def test_pii_column_and_stage(spark):
     docs = frame(spark, [PRIVATE, None, "", "clean text", "1" * 50_000 + " " + PRIVATE, PRIVATE])
     rows = {r.doc_id: r for r in pii.pii_stage(spark, docs, "").collect()}
@@ -696,6 +747,29 @@ def test_toxicity_query(spark, sf_dir, docs, texts):
         assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-12)
 
 
+def test_every_labelled_text_is_evidence(spark):
+    """Texts that share a passage keep their own words and labels; repeated rows, null ids and mean labels have their meaning."""
+    rng = random.Random(9)
+    vocabulary = words(rng, 400)
+    common = " ".join(vocabulary[:5])
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        own = [rng.choice(vocabulary[5:]) for _ in range(12)] + ["vermin"] * bad
+        rows.append(" ".join([*own, common] if i % 3 == 0 else own))  # a third holds one passage, whose hash is mostly not the least
+        labels.append((i, int(bad)))
+    docs, lab = frame(spark, rows, ids=[None if i == 1199 else i for i in range(1200)]), spark.createDataFrame([*labels, (None, 1), (0, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert model.terms == ["vermin"] and model.exact[0] > 0.99
+    # a clean text beside a toxic one under one shingle stays clean, and its word does not enter
+    same = ["aa bb cc dd ee", "aa bb cc dd ee"]
+    docs = frame(spark, rows + [f"{same[0]} spotless{i % 2}" if i % 2 else f"{same[0]} vermin" for i in range(400)])
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, *((1200 + i, int(i % 2 == 0)) for i in range(400))], "doc_id bigint, toxic int"))
+    assert "vermin" in model.terms and "spotless1" not in model.terms
+    twice = toxicity.fit(docs.unionByName(docs), spark.createDataFrame([*labels, *((1200 + i, int(i % 2 == 0)) for i in range(400))], "doc_id bigint, toxic int"))
+    assert twice.terms == model.terms and twice.exact == pytest.approx(model.exact)
+
+
 def test_terms_equal_plain_counting(spark):
     rng = random.Random(6)
     vocabulary = words(rng, 300)
