@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenant.operators import stats
+
 
 def share(condition: Column) -> Column:
     """Share of rows where a condition holds; null counts as not."""
@@ -78,6 +80,56 @@ def signal_by_subset(mode: Column, composite: Column, image: Column, gated: Colu
     return F.when(mode == "all", composite).when(mode == "mode_b", image).otherwise(gated)
 
 
+def mode_summary(details: DataFrame, mode: str = "mode", key: str = "record_index", k: int = 3, alpha: float = 0.01, total: str | None = "all") -> DataFrame:
+    """The full row of each mode, and of ``total`` over all: eight response rates, both Welch tests, recalls and ranks.
+
+    ``details`` has a row a probe with ``watermarked_response_hit`` and
+    ``clean_response_hit``, their ``strict`` forms, ``target_rank`` and
+    ``clean_target_rank`` (what is missing counts as no hit and no rank). A
+    response counts as gated with its target among the first ``k``. Rates are
+    means of the records' own rates. Two records under two modes are two.
+
+    Records are summed first; only a row a record and mode goes on, twice where
+    ``total`` is wanted.
+    """
+    own, flags = details.select("*"), {}
+    for side, prefix in (("suspect", "watermarked"), ("clean", "clean")):
+        for strict in (False, True):
+            name = "strict_rate" if strict else "cer"
+            flags[f"{side}_{name}"] = gated_hit(own, prefix, k, strict)
+            flags[f"{side}_ungated_{'strict_rate' if strict else 'response_rate'}"] = response_hit(own, prefix, strict)
+    rank, clean = (F.col(c).cast("double") if c in own.columns else F.lit(None).cast("double") for c in ("target_rank", "clean_target_rank"))
+    within = lambda r, n: F.sum((r <= n).cast("int"))
+    each = own.groupBy(mode, key).agg(
+        F.count("*").alias("n"), *(share(c).alias(n) for n, c in flags.items()), F.count(rank).alias("ranked"), F.sum(rank).alias("ranks"), *(within(rank, n).alias(f"top{n}") for n in (1, 3, 10)),
+        F.count(clean).alias("clean_ranked"), F.sum(clean).alias("clean_ranks"), within(clean, 3).alias("clean_top3"),
+    ).withColumnRenamed(mode, "subset").withColumn("subset", F.col("subset").cast("string"))
+    every = each if total is None else each.unionByName(each.withColumn("subset", F.lit(total)))
+    over = lambda c, n="ranked": F.coalesce(F.sum(c) / F.sum(n), F.lit(0.0))
+    rows = every.groupBy("subset").agg(
+        F.count("*").alias("num_canaries"), F.sum("n").alias("num_queries"), *(F.avg(n).alias(n) for n in flags), *(over(f"top{n}").alias(f"recall_at_{n}") for n in (1, 3, 10)), over("ranks").alias("mean_target_rank"),
+        over("clean_top3", "clean_ranked").alias("clean_recall_at_3"), over("clean_ranks", "clean_ranked").alias("clean_mean_target_rank"), *_spreads("suspect_cer", "clean_cer"), *_spreads("suspect_strict_rate", "clean_strict_rate"),
+    )
+    for name, (a, b) in {"": ("suspect_cer", "clean_cer"), "strict_": ("suspect_strict_rate", "clean_strict_rate")}.items():
+        t, df = stats.welch_columns(F.col(a), F.col(f"{a}_sd"), F.col("num_canaries"), F.col(b), F.col(f"{b}_sd"), F.col("num_canaries"))
+        rows = rows.withColumn(f"{name}t_statistic", t).withColumn(f"{name}df", df)
+        rows = rows.withColumn(f"{name}p_value", stats.t_tail(f"{name}t_statistic", f"{name}df")).withColumn(f"{name}reject_h0", F.coalesce(F.col(f"{name}p_value") < alpha, F.lit(False))).drop(f"{a}_sd", f"{b}_sd")
+    return rows.withColumn("top_k", F.lit(k)).withColumn("effect_size", F.col("suspect_cer") - F.col("clean_cer")).withColumn("strict_effect_size", F.col("suspect_strict_rate") - F.col("clean_strict_rate"))
+
+
+def _spreads(*rates: str) -> list[Column]:
+    return [F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias(f"{r}_sd") for r in rates]
+
+
+def profile_rows(details: DataFrame, profiles: DataFrame, k: int = 3, alpha: float = 0.01) -> DataFrame:
+    """One full row a profile with its sealed description: ``details(profile, ...)``, ``profiles(profile, label, variant, context, sealed_config_hash, ...)``.
+
+    A profile without details has no row.
+    """
+    rows = mode_summary(details, "profile", k=k, alpha=alpha, total=None).withColumnRenamed("subset", "profile")
+    return profiles.join(rows.withColumn("clean_query_fp_rate", F.col("clean_ungated_response_rate")), "profile")
+
+
 def nearest_rank(values: DataFrame, value: str, q: float, *groups: str) -> DataFrame:
     """The element at the rounded place ``(n - 1) * q`` of each group's sorted values (half to even).
 

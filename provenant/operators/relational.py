@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from provenant.functions import geometry as G
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def replace_or_keep(corpus: DataFrame, replacements: DataFrame, additions: DataFrame | None, key: str, value: str) -> DataFrame:
     """The corpus with replaced values where there are any, and additions after it."""
     new = replacements.select(key, F.col(value).alias("__new"))

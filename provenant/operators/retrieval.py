@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from provenant.functions import text as T
 from provenant.functions import vectors as V
 
 PROBE_BYTES = 64 << 20
+MARKS = 100_000  # of a few dozen bytes each, in one matcher
 
 
 def probe_blocks(probes: DataFrame, key: str = "probe_id", width: int = 1024) -> list[DataFrame]:
@@ -276,15 +278,35 @@ def rare_token_boost(query: Column, doc: Column, mark: Column, boost: float = 10
 def boosted(captions: DataFrame, queries: DataFrame, boost: float = 1000.0) -> DataFrame:
     """(probe_id, entry_index, boost) of the pairs with a boost: ``queries(probe_id, text, mark)`` against all captions.
 
-    A query that does not hold its own mark boosts nothing. The others are
-    broadcast in blocks of a checked size, and captions are normalised once.
+    A query that does not hold its own mark boosts nothing. The distinct marks
+    of the others are broadcast, in blocks of ``MARKS``, and each task looks for
+    all of them in one pass over a caption; only marks found meet their queries.
     """
     asked = queries.select("probe_id", T.normalize_text(F.col("mark")).alias("token"), T.normalize_text(F.col("text")).alias("asked"))
     asked = asked.where((F.col("token") != "") & F.contains("asked", "token")).select("probe_id", "token")
-    held = captions.select("entry_index", T.normalize_text(F.col("caption")).alias("caption"))
-    n = max(1, -(-asked.count() // 100_000))  # marks of a few dozen bytes
-    parts = [held.join(F.broadcast(asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(n)) == i)), F.contains("caption", "token")) for i in range(n)]
-    return reduce(DataFrame.unionAll, parts).select("probe_id", "entry_index", F.lit(boost).alias("boost"))
+    held = captions.select(F.col("entry_index").cast("bigint").alias("entry_index"), T.normalize_text(F.col("caption")).alias("caption"))
+    marks = asked.select("token").distinct()
+    n = max(1, -(-marks.count() // MARKS))
+    found = []
+    for i in range(n):
+        own = [r.token for r in marks.where(F.pmod(F.xxhash64("token"), F.lit(n)) == i).collect()]  # a block of about MARKS
+        shared = captions.sparkSession.sparkContext.broadcast(own)
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = ahocorasick.Automaton()
+            for mark in shared.value:
+                matcher.add_word(mark, mark)
+            matcher.make_automaton()
+            for batch in batches:
+                rows, tokens = [], []
+                for at, caption in enumerate(batch.column("caption").to_pylist()):
+                    hits = sorted({m for _, m in matcher.iter(caption)}) if caption and shared.value else []
+                    rows += [at] * len(hits)
+                    tokens += hits
+                yield pa.RecordBatch.from_arrays([batch.column("entry_index").take(pa.array(rows, pa.int64())), pa.array(tokens, pa.string())], ["entry_index", "token"])
+
+        found.append(held.mapInArrow(look, "entry_index bigint, token string"))
+    return reduce(DataFrame.unionAll, found).join(asked, "token").select("probe_id", "entry_index", F.lit(boost).alias("boost"))
 
 
 def with_sidecar(captions: DataFrame, signatures: DataFrame, key: str = "entry_index", caption: str = "caption") -> DataFrame:

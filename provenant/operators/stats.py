@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from provenant.functions import vectors as V
+from provenant.operators.relational import free_names
+from provenant.operators.retrieval import uniform
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -144,17 +146,41 @@ def calibration(samples: DataFrame, subset: str, key: str, suspect: str, clean:
 def overlap_sensitivity(samples: DataFrame, key: str, suspect: str, clean: str, sizes: tuple[int, ...] = (1, 5, 10, 25, 50, 100, 250, 500, 1000), trials: int = 20, alpha: float = 0.01, seed: int = 2027) -> DataFrame:
     """(size, mean_cer, effect, detection_rate) over random subsets of each size, drawn without replacement.
 
-    Every (size, trial) ranks all samples by a keyed hash and takes the first;
-    the window's partial limit keeps only those rows before the shuffle.
+    A trial orders all samples by a keyed hash, and its subsets are the first of
+    that order. Each task keeps the first ``max(sizes)`` of every trial it meets,
+    so no sample is repeated and few rows travel. Samples without a key take no part.
     """
-    grid = samples.sparkSession.createDataFrame([(s, t) for s in sizes for t in range(trials)], "size int, trial int")
-    each = samples.select(key, suspect, clean).crossJoin(F.broadcast(grid))
-    order = Window.partitionBy("size", "trial").orderBy(F.xxhash64(F.lit(seed), "size", "trial", key), key)
-    drawn = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("size"))
+    most = max(sizes)
+    salts = np.random.default_rng(seed).integers(0, 1 << 63, trials, np.uint64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.empty(0, np.uint64), np.empty((0, 2)))] * trials
+        for batch in batches:
+            h, values = batch.column("h").to_numpy().astype(np.uint64), np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1)
+            for t, salt in enumerate(salts):
+                order, rows = np.concatenate((held[t][0], _mixed(h ^ salt))), np.concatenate((held[t][1], values))
+                few = np.argpartition(order, most - 1)[:most] if len(order) > most else slice(None)
+                held[t] = order[few], rows[few]
+        for t, (order, rows) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), t, np.int32)), pa.array(order.view(np.int64)), pa.array(rows[:, 0], from_pandas=True), pa.array(rows[:, 1], from_pandas=True)], ["trial", "place", suspect, clean])
+
+    hashed = samples.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(suspect).cast("double").alias("a"), F.col(clean).cast("double").alias("b"))
+    kept = hashed.mapInArrow(first, f"trial int, place bigint, `{suspect}` double, `{clean}` double")
+    # unsigned order, as the tasks kept them
+    order = Window.partitionBy("trial").orderBy(F.col("place").bitwiseXOR(F.lit(-(1 << 63))))
+    ranked = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    drawn = ranked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("n") <= F.col("size"))
     tests = welch(drawn, suspect, clean, "size", "trial", alpha=alpha)
     return tests.groupBy("size").agg(F.avg("cer_suspect").alias("mean_cer"), F.avg(F.col("cer_suspect") - F.col("cer_clean")).alias("effect"), F.avg(F.col("reject_h0").cast("double")).alias("detection_rate"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that leaves no pattern."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 # --- matrices -----------------------------------------------------------------------------------------------------------
 
 
@@ -163,8 +189,10 @@ def moments(rows: DataFrame, embedding: str = "embedding", group: str | None = N
 
     A task sends one d x d sum for each group it meets. Components are centred
     on the first row a task sees, and the parts are combined by the pairwise
-    update, so large means do not cancel.
+    update, so large means do not cancel. Rows without a finite vector of the
+    common length take no part; without rows the result is empty.
     """
+    rows, _ = uniform(rows, embedding)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
@@ -179,7 +207,7 @@ def moments(rows: DataFrame, embedding: str = "embedding", group: str | None = N
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([scatter.reshape(-1).tolist()])], ["name", "n", "mean", "scatter"])
 
     label = F.col(group).cast("string") if group else F.lit("all")
-    parts = rows.select(label.alias("name"), V.doubles(F.col(embedding)).alias("v")).where("v IS NOT NULL").mapInArrow(partial, "name string, n bigint, mean array<double>, scatter array<double>")
+    parts = rows.select(label.alias("name"), V.doubles(F.col(embedding)).alias("v")).mapInArrow(partial, "name string, n bigint, mean array<double>, scatter array<double>")
     out: dict = {}
     for r in parts.toLocalIterator():
         mean = np.array(r.mean)
@@ -223,7 +251,10 @@ def whitening(covariance: np.ndarray, n: int, floor: float, most: int, share: fl
 
 
 class Mahalanobis:
-    """Outlier scores in the leading components of clean embeddings, with a percentile of theirs as the limit."""
+    """Outlier scores in the leading components of clean embeddings, with a percentile of theirs as the limit.
+
+    Vectors that are null, not finite or of another length have a null score and are not rejected.
+    """
 
     def __init__(self, percentile: float = 99.0, regularization: float = 1e-4, max_components: int = 64, variance_keep: float = 0.95):
         self.percentile = percentile
@@ -243,13 +274,17 @@ class Mahalanobis:
 
         @F.arrow_udf("double")
         def distance(v: pa.Array) -> pa.Array:
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, len(centre)))
-            return pa.array(np.square((x - centre) @ whiten.T).sum(axis=1))
+            out, some = np.zeros(len(v)), np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                x = v.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+                out[some] = np.square((x - centre) @ whiten.T).sum(axis=1)
+            return pa.array(out, mask=~v.is_valid().to_numpy(zero_copy_only=False))
 
-        return distance(V.doubles(embedding))
+        fits = V.finite(embedding) & (F.size(embedding) == len(centre))
+        return distance(F.when(fits, V.doubles(embedding)))
 
     def rejected(self, embedding: Column) -> Column:
-        return self.score(embedding) > self.threshold
+        return F.coalesce(self.score(embedding) > self.threshold, F.lit(False))
 
 
 def kmeans(rows: DataFrame, k: int, embedding: str = "embedding", key: str = "vec_id", iterations: int = 25, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
@@ -257,29 +292,51 @@ def kmeans(rows: DataFrame, k: int, embedding: str = "embedding", key: str = "ve
 
     Starts from k rows drawn by a keyed hash; each round is one scan whose
     tasks send k sums; empty clusters keep their centroid; it ends when no
-    centroid moves, or after ``iterations``. Rows without direction go to cluster 0.
+    centroid moves, or after ``iterations``. Rows of zero vectors go to cluster 0,
+    rows without a finite vector of the common length to none (null).
     """
-    unit = rows.select("*", V.l2_normalize(F.col(embedding)).alias("__unit"))
-    start = unit.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k).select("__unit").collect()
-    centroids = np.array([r[0] for r in start])
-
-    def assigned(centroids: np.ndarray) -> DataFrame:
-        unit_centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-
-        @F.arrow_udf("int")
-        def nearest(v: pa.Array) -> pa.Array:
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, unit_centroids.shape[1]))
-            return pa.array((x @ unit_centroids.T).argmax(axis=1).astype(np.int32))
-
-        return unit.withColumn("cluster", nearest("__unit"))
-
+    fine, width = uniform(rows, embedding)
+    unit, = free_names(rows, "unit")
+    start = fine.select(V.l2_normalize(F.col(embedding)).alias("u"), F.xxhash64(F.lit(seed), key).alias("h"), key).orderBy("h", key).limit(k).select("u").collect()
+    centroids = np.array([r.u for r in start]).reshape(-1, width)
+    if not len(centroids):
+        return rows.withColumn("cluster", F.lit(None).cast("int")), centroids
+
+    def unit_of(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def sums(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(centroids), np.int64), np.zeros_like(centroids)
+        for batch in batches:
+            if batch.num_rows:
+                x = unit_of(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                own = (x @ unit_of(centroids).T).argmax(axis=1)
+                n += np.bincount(own, minlength=len(n))
+                np.add.at(total, own, x)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["cluster", "n", "total"])
+
+    vectors = fine.select(V.doubles(F.col(embedding)).alias("v"))
     for _ in range(iterations):
-        found = moments(assigned(centroids), "__unit", "cluster")
-        new = np.array([found[str(c)][1] if str(c) in found else centroids[c] for c in range(len(centroids))])
+        parts = vectors.mapInArrow(lambda b, c=centroids: sums(b, c), "cluster int, n bigint, total array<double>")
+        by_place = parts.select("cluster", "n", F.posexplode("total")).groupBy("cluster", "pos").agg(F.sum("n").alias("n"), F.sum("col").alias("s")).collect()  # k times d numbers
+        new = centroids.copy()
+        for r in by_place:
+            new[r.cluster, r.pos] = r.s / r.n
         if np.allclose(new, centroids, atol=1e-12):
             break
         centroids = new
-    return assigned(centroids).drop("__unit"), centroids
+
+    @F.arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        out, some = np.zeros(len(v), np.int32), np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+        if len(some):
+            x = unit_of(v.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1))
+            out[some] = (x @ unit_of(centroids).T).argmax(axis=1)
+        return pa.array(out, mask=~v.is_valid().to_numpy(zero_copy_only=False))
+
+    fits = V.finite(F.col(embedding)) & (F.size(embedding) == width)
+    return rows.withColumn(unit, F.when(fits, V.doubles(F.col(embedding)))).withColumn("cluster", nearest(unit)).drop(unit), centroids
 
 
 def isolation(entries: DataFrame, k: int = 5, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:

@@ -9,11 +9,13 @@ from provenant.functions import text as T
 from provenant.functions import vectors as V
 from provenant.functions.responses import Field, compared, typed
 from provenant.operators import graphindex as G
+from provenant.operators import rates as A
 from provenant.operators import selection as N
 from provenant.operators.assignment import Rounds, balanced_queue, target_cells
 from provenant.operators.relational import shared_path, zipped
 from provenant.operators.variants import Evaluation, Variant, evaluate
 from provenant.plans.queries import _NORM, _TOKENS, query, r6, table
+from provenant.sources import sinks as K
 
 
 @query()
@@ -235,3 +237,55 @@ def injection_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks placed in rounds of one attempt an anchor, through three gates, up to a twentieth of the orders."""
     rounds, anchors = injection_of(spark, sf_dir, shared_path(spark, "injection"))
     return rounds.run(anchors).select("id", "anchor_id", F.col("attempt").cast("int").alias("attempt"))
+
+
+# --- full summaries -----------------------------------------------------------------------------------------------------------
+
+_PROBED_SQL = """
+d AS (SELECT user_id AS record_index, event_type AS mode, 'p' || (event_id % 3) AS profile, coalesce(value > 50, false) AS wr, coalesce(value > 60, false) AS ws, coalesce(value > 80, false) AS cr, coalesce(value > 90, false) AS cs,
+  CAST(json_extract(props, '$.k') AS BIGINT) % 12 + 1 AS rank, CAST(json_extract(props, '$.k') AS BIGINT) * 7 % 50 + 1 AS clean_rank FROM events)"""
+_FULL_SQL = """
+e AS (SELECT {by} AS subset, record_index, count(*) AS n, avg((wr AND coalesce(rank <= 3, false))::INT) AS suspect_cer, avg((cr AND coalesce(clean_rank <= 3, false))::INT) AS clean_cer, avg((ws AND coalesce(rank <= 3, false))::INT) AS suspect_strict_rate,
+  avg((cs AND coalesce(clean_rank <= 3, false))::INT) AS clean_strict_rate, avg(wr::INT) AS suspect_ungated_response_rate, avg(cr::INT) AS clean_ungated_response_rate, avg(ws::INT) AS suspect_ungated_strict_rate, avg(cs::INT) AS clean_ungated_strict_rate,
+  count(rank) AS k, sum(rank) AS ranks, sum((rank <= 1)::INT) AS t1, sum((rank <= 3)::INT) AS t3, sum((rank <= 10)::INT) AS t10, count(clean_rank) AS ck, sum(clean_rank) AS cranks, sum((clean_rank <= 3)::INT) AS c3 FROM d GROUP BY {by}, record_index),
+every AS (SELECT * FROM e {total}),
+m AS (SELECT subset, count(*) AS num_canaries, sum(n)::BIGINT AS num_queries, avg(suspect_cer) AS suspect_cer, avg(clean_cer) AS clean_cer, avg(suspect_strict_rate) AS suspect_strict_rate, avg(clean_strict_rate) AS clean_strict_rate,
+  avg(suspect_ungated_response_rate) AS suspect_ungated_response_rate, avg(clean_ungated_response_rate) AS clean_ungated_response_rate, avg(suspect_ungated_strict_rate) AS suspect_ungated_strict_rate, avg(clean_ungated_strict_rate) AS clean_ungated_strict_rate,
+  sum(t1) / sum(k) AS recall_at_1, sum(t3) / sum(k) AS recall_at_3, sum(t10) / sum(k) AS recall_at_10, sum(ranks) / sum(k) AS mean_target_rank, sum(c3) / sum(ck) AS clean_recall_at_3, sum(cranks) / sum(ck) AS clean_mean_target_rank,
+  pow(greatest(stddev_samp(suspect_cer), 1e-12), 2) / count(*) AS a, pow(greatest(stddev_samp(clean_cer), 1e-12), 2) / count(*) AS b, pow(greatest(stddev_samp(suspect_strict_rate), 1e-12), 2) / count(*) AS sa, pow(greatest(stddev_samp(clean_strict_rate), 1e-12), 2) / count(*) AS sb
+  FROM every GROUP BY subset),
+f AS (SELECT *, (suspect_cer - clean_cer) / sqrt(a + b) AS t_statistic, pow(a + b, 2) / ((a * a + b * b) / (num_canaries - 1)) AS df, (suspect_strict_rate - clean_strict_rate) / sqrt(sa + sb) AS strict_t_statistic, pow(sa + sb, 2) / ((sa * sa + sb * sb) / (num_canaries - 1)) AS strict_df,
+  suspect_cer - clean_cer AS effect_size, suspect_strict_rate - clean_strict_rate AS strict_effect_size, 3 AS top_k FROM m)"""
+_FULL = (
+    "suspect_cer clean_cer suspect_strict_rate clean_strict_rate suspect_ungated_response_rate clean_ungated_response_rate suspect_ungated_strict_rate clean_ungated_strict_rate "
+    "recall_at_1 recall_at_3 recall_at_10 mean_target_rank clean_recall_at_3 clean_mean_target_rank effect_size strict_effect_size t_statistic df strict_t_statistic strict_df"
+).split()
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in _FULL)
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a probe: events as answers with and without marks, their strict forms and both ranks."""
+    k, value = F.get_json_object("props", "$.k").cast("bigint"), F.col("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("record_index"), F.col("event_type").alias("mode"), F.concat(F.lit("p"), (F.col("event_id") % 3).cast("string")).alias("profile"), (value > 50).alias("watermarked_response_hit"),
+        (value > 60).alias("watermarked_response_strict_hit"), (value > 80).alias("clean_response_hit"), (value > 90).alias("clean_response_strict_hit"), (k % 12 + 1).alias("target_rank"), (k * 7 % 50 + 1).alias("clean_target_rank"),
+    )
+
+
+@query(f"WITH {_PROBED_SQL}, {_FULL_SQL.format(by='mode', total="UNION ALL SELECT * REPLACE ('all' AS subset) FROM e")} SELECT subset, num_canaries, num_queries, top_k, {_ROUNDED} FROM f")
+def mode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight rates, both tests' statistics, recalls and ranks for each mode and for all."""
+    return A.mode_summary(probed(spark, sf_dir)).select("subset", "num_canaries", "num_queries", "top_k", *(r6(c, c) for c in _FULL))
+
+
+@query(f"""
+WITH {_PROBED_SQL}, {_FULL_SQL.format(by='profile', total="")}, s AS (SELECT DISTINCT profile, 'Profile ' || profile AS label, profile || '_visual' AS variant FROM d)
+SELECT profile, label, variant, substr(sha256('{{"label":' || to_json(label) || ',"profile":' || to_json(profile) || ',"variant":' || to_json(variant) || '}}'), 1, 16) AS sealed_config_hash,
+  num_canaries, num_queries, top_k, round(clean_ungated_response_rate, 6) AS clean_query_fp_rate, {_ROUNDED} FROM s JOIN f ON f.subset = s.profile""")
+def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One full row a profile beside the seal of its description."""
+    d = probed(spark, sf_dir)
+    names = d.select("profile").distinct().select("profile", F.concat(F.lit("Profile "), "profile").alias("label"), F.concat("profile", F.lit("_visual")).alias("variant"))
+    sealed = K.sealed(names, "label", "profile", "variant").withColumnRenamed("config_hash", "sealed_config_hash")
+    out = A.profile_rows(d, sealed.select("profile", "label", "variant", "sealed_config_hash"))
+    return out.select("profile", "label", "variant", "sealed_config_hash", "num_canaries", "num_queries", "top_k", r6("clean_query_fp_rate", "clean_query_fp_rate"), *(r6(c, c) for c in _FULL))

@@ -20,6 +20,7 @@ from provenant.operators import images as I
 from provenant.operators import rates as A
 from provenant.operators import relational as R
 from provenant.operators import retrieval as S
+from provenant.operators import selection as N
 from provenant.operators import stats as P
 from provenant.sources import sinks as K
 
@@ -515,9 +516,7 @@ def zscore_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH o AS (SELECT o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
 SELECT o_orderstatus, max(CASE WHEN i = round_even((n - 1) * 0.75, 0) + 1 THEN o_totalprice END) AS p75, max(CASE WHEN i = round_even((n - 1) * 0.9, 0) + 1 THEN o_totalprice END) AS p90 FROM o GROUP BY 1""")
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    at = lambda q, name: A.nearest_rank(o, "o_totalprice", q, "o_orderstatus").withColumnRenamed("value", name)
-    return at(0.75, "p75").join(at(0.9, "p90"), "o_orderstatus")
+    return N.nearest_ranks(table(spark, sf_dir, "orders"), "o_totalprice", {"p75": 0.75, "p90": 0.9}, "o_orderstatus").drop("n")
 
 
 @query("SELECT coalesce(source, 'unknown') AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 8")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.functions.responses import Field, compared, typed
-from provenant.operators import graphindex, relational, retrieval, selection
+from provenant.operators import graphindex, rates, relational, retrieval, selection, stats
 from provenant.operators.assignment import Rounds, balanced_queue
 from provenant.operators.variants import Variant, evaluate
 from provenant.plans import evaluation as E
@@ -96,6 +96,47 @@ def test_vector_rules(spark):
     assert [r.entry_index for r in retrieval.topk_blocked(spark.createDataFrame(good + BAD, VECTORS), probes, 2).orderBy("rank").collect()] == [e for e, _ in nearest([(i, np.array(v)) for i, v in good], np.array([1.0, 0.0, 0.0]), 2)]
 
 
+def test_vector_rules_of_statistics(spark):
+    """Null, empty, ragged and non-finite vectors, zero vectors and empty tables in moments, outlier scores, distances and clusters."""
+    good = [(i, [math.sin(i) + 3 * (i % 2), math.cos(i), 0.1 * i]) for i in range(40)] + [(40, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(good + BAD, VECTORS).withColumn("unit", F.lit(7)).repartition(3)
+    x = np.array([v for _, v in good])
+    n, mean, covariance = stats.moments(df)["all"]
+    assert n == len(good) and np.allclose(mean, x.mean(axis=0)) and np.allclose(covariance, np.cov(x.T))
+    assert stats.moments(df.where("entry_index > 899")).get("all", (0,))[0] <= 2 and stats.moments(df.limit(0)) == {}
+    model = stats.Mahalanobis(percentile=90.0).fit(df)
+    scored = {r.entry_index: (r.s, r.bad) for r in df.select("entry_index", model.score(F.col("embedding")).alias("s"), model.rejected(F.col("embedding")).alias("bad")).collect()}
+    assert all(scored[i] == (None, False) for i, _ in BAD) and all(scored[i][0] is not None for i, _ in good)
+    rows, centroids = stats.kmeans(df, 3, key="entry_index")
+    got = {r.entry_index: r.cluster for r in rows.collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    own = (unit @ (centroids / np.linalg.norm(centroids, axis=1, keepdims=True)).T).argmax(axis=1)
+    assert [got[i] for i, _ in good] == own.tolist() and all(got[i] is None for i, _ in BAD) and rows.columns == [*df.columns, "cluster"]
+    assert np.allclose(centroids, [unit[own == c].mean(axis=0) for c in range(3)])
+    none, centroids = stats.kmeans(df.limit(0), 3, key="entry_index")
+    assert none.count() == 0 and not len(centroids)
+
+
+def test_overlap_draws_nested_subsets(spark):
+    rows = [(i, float(i % 3 == 0), float(i % 10 == 0)) for i in range(300)] + [(None, 1.0, 1.0), (300, None, 0.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double").repartition(4)
+    got = {r.size: r for r in stats.overlap_sensitivity(df, "k", "a", "b", sizes=(1, 50, 301), trials=30).collect()}
+    assert got[301].mean_cer == pytest.approx(100 / 300) and got[301].detection_rate == 1.0
+    assert abs(got[50].mean_cer - 1 / 3) < 0.05 and got[1].detection_rate == 0.0
+    again = {r.size: r for r in stats.overlap_sensitivity(df.repartition(2), "k", "a", "b", sizes=(1, 50, 301), trials=30).collect()}
+    assert all(got[s].mean_cer == pytest.approx(again[s].mean_cer) for s in got)
+
+
+def test_mode_summary_without_columns_and_ranks(spark):
+    rows = [(1, "m", True, 2, None), (1, "m", False, None, 1), (2, "m", None, 9, 2), (2, "x", True, 3, None)]
+    d = spark.createDataFrame(rows, "record_index int, mode string, watermarked_response_hit boolean, target_rank int, clean_target_rank int")
+    out = {r.subset: r for r in rates.mode_summary(d).collect()}
+    m = out["m"]
+    assert (m.num_canaries, m.num_queries, m.suspect_cer, m.suspect_ungated_response_rate, m.clean_cer) == (2, 3, 0.25, 0.25, 0.0)
+    assert (m.recall_at_3, m.mean_target_rank, m.clean_recall_at_3) == (0.5, 5.5, 1.0) and out["x"].p_value is None and not out["x"].reject_h0
+    assert out["all"].num_canaries == 3 and out["all"].num_queries == 4 and rates.mode_summary(d.limit(0)).count() == 0
+
+
 # --- order statistics -------------------------------------------------------------------------------------------------------
 
 
