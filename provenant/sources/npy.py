@@ -23,6 +23,7 @@ import ast
 import fnmatch
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ BATCH = 4096
 
 
 def opened(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    return arrow_fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else f"/{uri}")
+    """The file system of a URI or absolute path, and the path in it; names may hold blanks and signs, as Spark's do."""
+    return arrow_fs.FileSystem.from_uri(quote(uri, safe=":/@?&=") if "://" in uri else uri)
 
 
 def header(files: arrow_fs.FileSystem, path: str) -> tuple[np.dtype, int, int, int]:
