@@ -111,6 +111,58 @@ def bootstrap_signflip(diff: np.ndarray, iterations: int = 10_000, seed: int = 2
     return {"effect_size": observed, "ci95_low": float(low), "ci95_high": float(high), "p_value": float((np.sum(flipped >= observed) + 1) / (iterations + 1)), "n_pairs": n}
 
 
+#: Chances of 0, 1, 2, ... draws of one row, added up, in 64-bit steps: a bootstrap's weights for many rows.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+
+
+def keyed_draws(keys: np.ndarray, iterations: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(how often each key is drawn, its sign) in each iteration: (keys, iterations) arrays that depend on nothing else."""
+    salts = _mixed(iterations.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    h = _mixed(keys.astype(np.uint64)[:, None] ^ salts[None])
+    times = np.searchsorted(_POISSON, (h >> np.uint64(12)).astype(np.float64) / 2.0**52, "right")
+    return times, np.where(h & np.uint64(1), 1.0, -1.0)
+
+
+def bootstrap_by_key(samples: DataFrame, subset: str, key: str, suspect: str = "suspect", clean: str = "clean", iterations: int = 10_000, seed: int = 2027) -> DataFrame:
+    """(subset, n_pairs, effect_size, ci95_low, ci95_high, p_value) of paired differences, for groups of any size.
+
+    The bootstrap's draws and the permutation's signs of a row are functions of
+    its key and the iteration, made where the row lies: a row is drawn a Poisson
+    number of times, which is what n draws with replacement come to for large
+    groups. Tasks send sums for each iteration, so a group is never in one task.
+    Pairs with a null take no part; a group in which an iteration draws nothing
+    leaves that iteration out.
+    """
+    block = 64
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            names, keys, diff = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for name in dict.fromkeys(names.tolist()):
+                own = np.flatnonzero(names == name)
+                total = held.setdefault(name, np.zeros((3, iterations)))
+                for start in range(0, len(own), 4096):
+                    rows = own[start : start + 4096]
+                    for first in range(0, iterations, block):
+                        at = np.arange(first, min(iterations, first + block))
+                        times, signs = keyed_draws(keys[rows], at, seed)
+                        total[0, at] += times.sum(axis=0)
+                        total[1, at] += diff[rows] @ times
+                        total[2, at] += diff[rows] @ signs
+        for name, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * iterations, pa.string()), pa.array(np.arange(iterations, dtype=np.int32)), *map(pa.array, total)], ["subset", "iteration", "drawn", "total", "flipped"])
+
+    pairs = samples.select(F.col(subset).cast("string").alias("subset"), F.xxhash64(key).alias("key"), (F.col(suspect) - F.col(clean)).cast("double").alias("diff")).where("diff IS NOT NULL")
+    each = pairs.mapInArrow(sums, "subset string, iteration int, drawn double, total double, flipped double").groupBy("subset", "iteration").agg(F.sum("drawn").alias("drawn"), F.sum("total").alias("total"), F.sum("flipped").alias("flipped"))
+    seen = pairs.groupBy(F.col("subset").alias("own")).agg(F.count("*").alias("n_pairs"), F.avg("diff").alias("effect_size"))
+    met = each.join(F.broadcast(seen), F.col("subset").eqNullSafe(F.col("own")))  # a row a subset
+    mean = F.when(F.col("drawn") > 0, F.col("total") / F.col("drawn"))
+    beyond = (F.col("flipped") / F.col("n_pairs") >= F.col("effect_size") - 1e-12).cast("int")
+    out = met.groupBy("subset").agg(F.first("n_pairs").alias("n_pairs"), F.first("effect_size").alias("effect_size"), F.percentile(mean, F.lit(0.025)).alias("ci95_low"), F.percentile(mean, F.lit(0.975)).alias("ci95_high"), ((F.sum(beyond) + 1) / (F.count("*") + 1)).alias("p_value"))
+    return out.withColumnRenamed("subset", subset)
+
+
 def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, suspect, clean); a record without its partner is an error when the row is read."""
     both = left.select(key, F.col("rate").alias("suspect")).join(right.select(key, F.col("rate").alias("clean")), key, "full")

@@ -127,6 +127,26 @@ def test_overlap_draws_nested_subsets(spark):
     assert all(got[s].mean_cer == pytest.approx(again[s].mean_cer) for s in got)
 
 
+def test_bootstrap_by_key_equals_its_draws(spark):
+    """The same sums in one pass over all pairs, and what resampling by index says."""
+    rng = np.random.default_rng(7)
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.random(300), rng.random(300) * 0.9))] + [("b", i, float(i % 2), float(i % 2)) for i in range(50)] + [("a", 999, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, suspect double, clean double").repartition(5)
+    got = {r.g: r for r in stats.bootstrap_by_key(df, "g", "k", iterations=500).collect()}
+    hashes = {r.k: r.h for r in df.select("k", F.xxhash64("k").alias("h")).collect()}
+    own = [(k, x - y) for g, k, x, y in rows if g == "a" and x is not None]
+    diff = np.array([d for _, d in own])
+    times, signs = stats.keyed_draws(np.array([hashes[k] for k, _ in own]), np.arange(500), 2027)
+    means = diff @ times / times.sum(axis=0)
+    assert (got["a"].n_pairs, got["b"].effect_size, got["b"].p_value) == (300, 0.0, 1.0)
+    assert got["a"].ci95_low == pytest.approx(np.quantile(means, 0.025)) and got["a"].ci95_high == pytest.approx(np.quantile(means, 0.975))
+    assert got["a"].p_value == pytest.approx((np.sum(diff @ signs / 300 >= diff.mean() - 1e-12) + 1) / 501)
+    plain = stats.bootstrap_signflip(diff, 2000)
+    assert abs(plain["ci95_low"] - got["a"].ci95_low) < 0.01 and abs(plain["ci95_high"] - got["a"].ci95_high) < 0.01 and abs(plain["p_value"] - got["a"].p_value) < 0.03
+    assert abs(times.mean() - 1) < 0.02 and abs(times.var() - 1) < 0.05 and abs(signs.mean()) < 0.02
+    assert stats.bootstrap_by_key(df.limit(0), "g", "k", iterations=5).count() == 0
+
+
 def test_mode_summary_without_columns_and_ranks(spark):
     rows = [(1, "m", True, 2, None), (1, "m", False, None, 1), (2, "m", None, 9, 2), (2, "x", True, 3, None)]
     d = spark.createDataFrame(rows, "record_index int, mode string, watermarked_response_hit boolean, target_rank int, clean_target_rank int")
