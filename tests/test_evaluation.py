@@ -178,9 +178,10 @@ def test_selection_equals_a_sort(spark, kind):
         assert r.n == len(own)
         for name, q in qs.items():
             assert r[name] == own[round((len(own) - 1) * q)], (g, name)
-    whole = selection.nearest_ranks(df, "v", qs, few=20).first()
-    own = sorted(v for _, v in rows if v is not None and not math.isnan(v))
-    assert all(whole[n] == own[round((len(own) - 1) * q)] for n, q in qs.items())
+    if kind == "even":  # without groups
+        whole = selection.nearest_ranks(df, "v", qs, few=20).first()
+        own = sorted(v for _, v in rows if v is not None and not math.isnan(v))
+        assert all(whole[n] == own[round((len(own) - 1) * q)] for n, q in qs.items())
     assert selection.nearest_ranks(df.limit(0), "v", qs, "g").count() == 0
 
 
@@ -324,7 +325,7 @@ def test_compared_answers(spark):
 def test_queue_equals_one_pass(spark, hot):
     rng = random.Random(hot)
     rows = [(i, rng.randint(0, 40), 2 if hot and rng.random() < 0.7 else rng.randint(0, 5), rng.choice(["a", "a", "b", "c", None, f"o{i % 9}"])) for i in range(500)] + [(None, 1, 1, "a"), (600, None, 1, "a"), (601, 1, None, "a")]
-    for capacity, per_object in ((7, 2), (40, 100), (200, 1)):
+    for capacity, per_object in ((7, 2), (200, 1)) if hot else ((40, 3),):
         held = {c: [] for c in range(6)}
         for key, _, cell, thing in sorted((r for r in rows if None not in r[:3]), key=lambda r: (r[1], r[0])):
             for step in range(6):
@@ -351,7 +352,7 @@ def one_pass(anchors, tries, quota, most):
     return out[:quota]
 
 
-@pytest.mark.parametrize("quota", [1, 5, 60])
+@pytest.mark.parametrize("quota", [5, 60])
 def test_rounds_equal_one_pass_and_go_on_where_they_stopped(spark, tmp_path, quota):
     rng = random.Random(quota)
     anchors = [(rng.randint(0, 30), i) for i in range(80)]
@@ -368,9 +369,8 @@ def test_rounds_equal_one_pass_and_go_on_where_they_stopped(spark, tmp_path, quo
         return pending.join(held, ["anchor_id", "attempt"])
 
     path = f"file://{tmp_path}/rounds"
-    if quota > 1:
-        with pytest.raises(RuntimeError):
-            Rounds(path, lambda p: attempt(p, True), gates, quota, 3).run(df)
+    with pytest.raises(RuntimeError):
+        Rounds(path, lambda p: attempt(p, True), gates, quota, 3).run(df)
     out = Rounds(path, attempt, gates, quota, 3).run(df)
     plain = one_pass(anchors, tries, quota, 3)
     assert [(r.anchor_id, r.attempt) for r in out.orderBy("id").collect()] == plain
