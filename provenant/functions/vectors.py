@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, whose value is computed once a row, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(doubles(v), lambda x: x / n)
+    return once(doubles(v), lambda u: once(F.greatest(norm(u), F.lit(eps)), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:

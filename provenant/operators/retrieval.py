@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from provenant.functions import text as T
 from provenant.functions import vectors as V
+from provenant.operators.relational import scratch
 
 PROBE_BYTES = 64 << 20
 MARKS = 100_000  # of a few dozen bytes each, in one matcher
+GROUP = 32_768  # rows of one side of a cell of the exact top k
+TILE, PIECE, PAIRS = 4096, 1024, 1 << 16  # entries and probes of one product; pairs scored again at a time
 
 
 def probe_blocks(probes: DataFrame, key: str = "probe_id", width: int = 1024) -> list[DataFrame]:
@@ -60,33 +63,115 @@ def topk(scored: DataFrame, k: int, partition: str = "probe_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by_score(partition))).where(F.col("rank") <= k)
 
 
-def topk_blocked(entries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """(probe_id, entry_index, score) of the exact top ``k``, scored by matrix products of Arrow batches.
+def topk_blocked(entries: DataFrame, probes: DataFrame, k: int, floors: DataFrame | None = None) -> DataFrame:
+    """(probe_id, entry_index, score, rank) of the exact top ``k``, scored by matrix products.
 
-    Each batch keeps its own best k of each probe (all ties within 1e-9 of the
-    last place too); the rest is :func:`topk`. One block of probes at a time.
+    Entries and probes are dealt into groups of at most ``GROUP`` rows by hash;
+    each pair of groups is a cell, which goes through its entries in tiles and
+    holds ``k`` rows a probe, so a task's memory does not grow with the tables.
+    A tile's product is in single precision; all that its error bound leaves in
+    question is scored again in double, always in one order of addition. The
+    cells' rows meet in :func:`topk`. Neither side passes through the driver.
+    With ``floors(id, floor)`` a probe's entries below its floor are left out.
     Entries or probes without a finite vector of the common length take no part.
     """
-    found = []
-    entries, length = uniform(entries)
-    for part in probe_blocks(uniform(probes.select("probe_id", "probe"), "probe", length)[0], width=length):
-        rows = part.toArrow().combine_chunks()  # a block of at most PROBE_BYTES
-        ids, q = rows.column("probe_id"), np.array(rows.column("probe").to_pylist(), np.float64).reshape(-1, length)
-        shared = entries.sparkSession.sparkContext.broadcast((ids.to_pylist(), q))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(q):
-                    continue
-                v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                s = q @ v.T
-                last = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1 : min(k, s.shape[1])]
-                at_q, at_v = np.nonzero(s >= last - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at_q], pa.int64()), batch.column("entry_index").take(pa.array(at_v)), pa.array(s[at_q, at_v])], ["probe_id", "entry_index", "score"])
-
-        found.append(entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), "embedding").mapInArrow(score, "probe_id bigint, entry_index bigint, score double"))
-    return topk(reduce(DataFrame.unionAll, found), k)
+    tasks = max(16, entries.sparkSession.sparkContext.defaultParallelism)
+    # written once: what makes the vectors runs once, and in many tasks
+    rows, asked = (scratch(df.select(F.col(key).cast("bigint").alias("id"), F.col(c).alias("v")).repartition(tasks).withColumn("v", V.doubles(F.col("v")))) for df, key, c in ((entries, "entry_index", "embedding"), (probes, "probe_id", "probe")))
+    rows, length = uniform(rows, "v")
+    asked, _ = uniform(asked, "v", length)
+    n_entries, n_probes = rows.count(), asked.count()
+    # at least a few cells a core, as square as they can be
+    side = max(256, min(GROUP, int((n_entries * n_probes / (4 * tasks)) ** 0.5)))
+    across, down = (max(1, -(-n // side)) for n in (n_entries, n_probes))
+    group = lambda key, groups: F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asked = asked.join(floors, "id", "left") if floors is not None else asked.withColumn("floor", F.lit(None).cast("double"))
+    left = asked.select(F.lit(0).alias("side"), "id", "v", "floor", group("id", down).alias("row"), every(across).alias("col"))
+    right = rows.select(F.lit(1).alias("side"), "id", "v", F.lit(None).cast("double").alias("floor"), group("id", across).alias("col"), every(down).alias("row"))
+    cells = left.unionByName(right).select((F.col("row") * across + F.col("col")).alias("cell"), "side", "id", "v", "floor")
+    cells = cells.repartition(across * down, "cell").sortWithinPartitions("cell", "side")
+    return topk(cells.mapInArrow(lambda batches: _cells(batches, k), "probe_id bigint, entry_index bigint, score double"), k)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows by cell, probes first, to each probe's best ``k`` of its cell."""
+    now, asked, best = None, [], None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(best.ids) if best else 0, 8192):
+            yield best.rows(slice(at, at + 8192))
+
+    for batch in batches:
+        cell, sides, ids = (batch.column(c).to_numpy() for c in ("cell", "side", "id"))
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
+        edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(sides) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if a == b:
+                continue
+            if cell[a] != now:
+                yield from done()
+                now, asked, best = cell[a], [], None
+            if sides[a] == 0:
+                asked.append((ids[a:b].copy(), v[a:b].copy(), batch.column("floor").slice(a, b - a).fill_null(-np.inf).to_numpy()))
+            elif asked:
+                best = best or _Best(*(np.concatenate(c) for c in zip(*asked, strict=True)), k)
+                for at in range(a, b, TILE):
+                    best.add(ids[at : min(at + TILE, b)], v[at : min(at + TILE, b)])
+    yield from done()
+
+
+class _Best:
+    """The best ``k`` entries of some probes by inner product, ties to the smaller index."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.q, self.floor, self.k = ids, q, floor, k
+        self.scale = np.maximum(np.abs(q).max(axis=1), 1e-300)
+        self.single = (q / self.scale[:, None]).astype(np.float32)
+        self.norm = np.sqrt(np.square(self.single, dtype=np.float64).sum(axis=1))
+        self.score, self.entry = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        # of equal vectors only the first k can matter
+        _, own = np.unique(np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_inverse=True)
+        order = np.lexsort((ids, own))
+        few = order[np.arange(len(order)) - np.searchsorted(own[order], own[order]) < self.k]
+        ids, v = ids[few], v[few]
+        scale = max(np.abs(v).max(initial=0), 1e-300)
+        single = (v / scale).astype(np.float32)
+        # a single-precision product of n terms is off by less than this times both norms; tiny components may vanish besides
+        slack = (v.shape[1] + 16) * 2.0**-23 * np.sqrt(np.square(single, dtype=np.float64).sum(axis=1).max(initial=0)) + v.shape[1] * 2.0**-120
+        for a in range(0, len(self.ids), PIECE):
+            b = min(a + PIECE, len(self.ids))
+            s = self.single[a:b] @ single.T
+            least = np.maximum(self.score[a:b, -1], self.floor[a:b]) / self.scale[a:b] / scale
+            if len(ids) >= 8 * self.k and not np.isfinite(least).all():
+                # the k-th of the maxima of some groups is no better than the k-th of all
+                width = len(ids) // (4 * self.k)
+                tops = s[:, : 4 * self.k * width].reshape(b - a, 4 * self.k, width).max(axis=2)
+                least = np.maximum(least, -np.partition(-tops, self.k - 1, axis=1)[:, self.k - 1] - slack * self.norm[a:b])
+            least = least - slack * self.norm[a:b] - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
+            at = np.flatnonzero(s >= least.astype(np.float32)[:, None])
+            row, col = at // s.shape[1], at % s.shape[1]
+            for at in range(0, len(row), PAIRS):
+                self._merge(row[at : at + PAIRS] + a, ids[col[at : at + PAIRS]], v[col[at : at + PAIRS]])
+
+    def _merge(self, row: np.ndarray, entry: np.ndarray, v: np.ndarray) -> None:
+        score = _dots(self.q[row], v)
+        some = score >= np.maximum(self.score[row, -1], self.floor[row])
+        row, entry, score = row[some], entry[some], score[some]
+        touched, count = np.unique(row, return_counts=True)
+        row = np.concatenate([row, np.repeat(touched, self.k)])
+        entry, score = np.concatenate([entry, self.entry[touched].ravel()]), np.concatenate([score, self.score[touched].ravel()])
+        order = np.lexsort((entry, -score, row))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(count + self.k) - count - self.k, count + self.k)
+        order = order[place < self.k]
+        self.score[touched], self.entry[touched] = score[order].reshape(-1, self.k), entry[order].reshape(-1, self.k)
+
+    def rows(self, part: slice) -> pa.RecordBatch:
+        held = self.score[part] > -np.inf
+        ids = np.repeat(self.ids[part], held.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.entry[part][held]), pa.array(self.score[part][held])], ["probe_id", "entry_index", "score"])
 
 
 def sign_keys(vector: Column, dimension: int, tables: int, bits: int, seed: int, flips: bool = False) -> Column:
@@ -104,17 +189,21 @@ def sign_keys(vector: Column, dimension: int, tables: int, bits: int, seed: int,
     return of(V.doubles(vector))
 
 
-def topk_approximate(entries: DataFrame, probes: DataFrame, k: int, tables: int = 32, bits: int = 10, seed: int = 11) -> DataFrame:
+def topk_approximate(entries: DataFrame, probes: DataFrame, k: int, tables: int = 32, bits: int | None = None, seed: int = 11, checked: bool = False) -> DataFrame:
     """:func:`topk` among the entries that share a key with a probe, ranked by their exact inner products.
 
     Unit vectors of cosine c agree in a sign with a chance of 1 - acos(c) / pi,
-    and a probe looks at the buckets one sign away too: at c = 0.7 a pair is
-    missed by all 32 tables once in ten thousand. Entries are only scanned, the
-    probes' keys go out by broadcast, and only pairs found are joined again.
+    and a probe looks at the buckets one sign away too. Keys have 10 bits, and
+    more where there are many entries, so that a bucket holds a few. Some pairs
+    are always missed by all tables: with ``checked``, the scores found become
+    floors of :func:`topk_blocked`, which adds every entry that reaches them, and
+    the result is exact. Entries are only scanned, the probes' keys go out by
+    broadcast, and only pairs found are joined again.
     Entries or probes without a finite vector of the common length take no part.
     """
     entries, dimension = uniform(entries)
     probes, _ = uniform(probes, "probe", dimension)
+    bits = bits or max(10, entries.count().bit_length() - 3)
     stored = entries.select("entry_index", F.explode(sign_keys(F.col("embedding"), dimension, tables, bits, seed)).alias("key"))
     found = []
     for part in probe_blocks(probes.select("probe_id", "probe"), width=tables * (bits + 1)):
@@ -122,7 +211,15 @@ def topk_approximate(entries: DataFrame, probes: DataFrame, k: int, tables: int
         pairs = stored.join(F.broadcast(asked), "key").select("probe_id", "entry_index").distinct()
         found.append(pairs.join(entries.select("entry_index", "embedding"), "entry_index").join(F.broadcast(part), "probe_id"))
     near = reduce(DataFrame.unionByName, found).select("probe_id", "entry_index", V.dot(F.col("embedding"), F.col("probe")).alias("score"))
-    return topk(near, k)
+    near = topk(near, k)
+    if not checked:
+        return near
+    near = scratch(near)
+    last = near.where(F.col("rank") == k).select(F.col("probe_id").cast("bigint").alias("id"), (F.col("score") - 1e-9 * F.greatest(F.lit(1.0), F.abs("score"))).alias("floor"))
+    rest = topk_blocked(entries, probes, k, last).drop("rank")
+    # the search's own sums are kept, so that equal vectors have equal scores
+    both = rest.unionByName(near.drop("rank").join(rest, ["probe_id", "entry_index"], "left_anti").select(rest.columns))
+    return topk(both, k)
 
 
 def merge_shards(shards: list[DataFrame], k: int, path: str = "entry_index") -> DataFrame:
@@ -147,47 +244,61 @@ def target_ranks(entries: DataFrame, probes: DataFrame, target: str = "target_in
     all of them.
 
     The targets' own scores come from a join by index and go out with the probes,
-    in blocks of a checked size. The entries are scanned once a block: each task
-    counts the entries before every target and sends one row a probe, so neither
-    scores nor entries are shuffled.
+    in blocks of a checked size. The entries are dealt evenly over the tasks and
+    scanned once a block; a task multiplies tiles of a fixed size, counts the
+    entries before every target and sends one row a probe, so no score is
+    shuffled and its memory does not grow with the tables.
 
     Entries or probes without a finite vector of the common length take no part.
     """
-    flags = list(among)
-    entries, length = uniform(entries)
-    rows = entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), V.doubles(F.col("embedding")).alias("v"), *(F.coalesce(c, F.lit(False)).alias(f) for f, c in among.items()))
-    asked, _ = uniform(probes.select(F.col("probe_id").cast("bigint").alias("probe_id"), F.col(target).cast("bigint").alias("target"), V.doubles(F.col("probe")).alias("q")), "q", length)
-    asked = asked.join(rows.select(F.col("entry_index").alias("target"), F.col("v").alias("own"), *(F.col(f).alias(f"own_{f}") for f in flags)).dropDuplicates(["target"]), "target", "left")
+    flags, spark = list(among), entries.sparkSession
+    tasks = max(16, spark.sparkContext.defaultParallelism)
+    dealt = lambda df, vector: scratch(df.repartition(tasks).withColumn(vector, V.doubles(F.col(vector))))
+    rows = dealt(entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), F.col("embedding").alias("v"), *(F.coalesce(c, F.lit(False)).alias(f) for f, c in among.items())), "v")
+    rows, length = uniform(rows, "v")
+    asked, _ = uniform(dealt(probes.select(F.col("probe_id").cast("bigint").alias("probe_id"), F.col(target).cast("bigint").alias("target"), F.col("probe").alias("q")), "q"), "q", length)
+    own = rows.select(F.col("entry_index").alias("target"), F.col("v").alias("own"), *(F.col(f).alias(f"own_{f}") for f in flags))
+    own = own.join(asked.select("target").distinct(), "target", "left_semi").dropDuplicates(["target"])
+    asked = scratch(asked.join(own, "target", "left"))
     found, schema = [], ", ".join(["probe_id bigint", "better bigint", "n bigint", "before bigint", *(f"`before_{f}` bigint" for f in flags)])
     for part in probe_blocks(asked, width=2 * length):
         table = part.toArrow().combine_chunks()  # a block of at most PROBE_BYTES
-        q = np.array(table.column("q").to_pylist(), np.float64).reshape(-1, length)
+        matrix = lambda c: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+        q = matrix(table.column("q"))
         lost = table.column("own").is_null().to_numpy()
-        own = np.array([q[i] if x is None else x for i, x in enumerate(table.column("own").to_pylist())], np.float64).reshape(-1, length)
+        own = q.copy()
+        own[~lost] = matrix(table.column("own").drop_null())
         inside = {f: table.column(f"own_{f}").fill_null(False).to_numpy() for f in flags}
         ids, targets = table.column("probe_id").to_numpy(), table.column("target").fill_null(-1).to_numpy()
-        shared = entries.sparkSession.sparkContext.broadcast((ids, targets, q, np.where(lost, -np.inf, _dots(q, own)), inside))
+        shared = spark.sparkContext.broadcast((ids, targets, q, np.where(lost, -np.inf, _dots(q, own)), inside))
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, targets, q, own, inside = shared.value
+            near = np.where(np.isfinite(own), 1e-9 * np.maximum(1, np.abs(own)), -1)
             better, n, before = np.zeros(len(ids), np.int64), 0, {f: np.zeros(len(ids), np.int64) for f in ["", *flags]}
             for batch in batches:
-                for start in range(0, batch.num_rows, 2048):
-                    piece = batch.slice(start, 2048)
+                for start in range(0, batch.num_rows, TILE):
+                    piece = batch.slice(start, TILE)
                     entry, n = piece.column("entry_index").to_numpy(), n + piece.num_rows
                     v = piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, -1)
-                    s = q @ v.T
-                    # a matrix product rounds by its shape: what comes close is summed again, always in one order
-                    at_q, at_v = np.nonzero(np.abs(s - own[:, None]) <= np.where(np.isfinite(own), 1e-9 * np.maximum(1, np.abs(own)), -1)[:, None])
-                    s[at_q, at_v] = _dots(q[at_q], v[at_v])
-                    above = s > own[:, None]
-                    earlier = above | ((s == own[:, None]) & (entry[None] < targets[:, None]))
-                    better += above.sum(axis=1)
-                    before[""] += earlier.sum(axis=1)
-                    for f in flags:
-                        # a target outside the condition ranks behind all that meet it
-                        holds = piece.column(f).to_numpy(zero_copy_only=False)
-                        before[f] += ((earlier | ~inside[f][:, None]) & holds[None]).sum(axis=1)
+                    holds = {f: piece.column(f).to_numpy(zero_copy_only=False) for f in flags}
+                    for a in range(0, len(ids), PIECE):
+                        part = slice(a, a + PIECE)
+                        s, mine = q[part] @ v.T, own[part, None]
+                        # a matrix product rounds by its shape: what comes close is summed again, always in one order
+                        above = s > mine + near[part, None]
+                        close = np.flatnonzero((s >= mine - near[part, None]) & ~above) if np.isfinite(own[part]).any() else np.empty(0, np.int64)
+                        earlier = above.copy()
+                        for at in range(0, len(close), PAIRS):
+                            row, col = close[at : at + PAIRS] // s.shape[1], close[at : at + PAIRS] % s.shape[1]
+                            again, level = _dots(q[part][row], v[col]), own[part][row]
+                            above[row, col] = again > level
+                            earlier[row, col] = (again > level) | ((again == level) & (entry[col] < targets[part][row]))
+                        better[part] += above.sum(axis=1)
+                        before[""][part] += earlier.sum(axis=1)
+                        for f in flags:
+                            # a target outside the condition ranks behind all that meet it
+                            before[f][part] += ((earlier | ~inside[f][part, None]) & holds[f][None]).sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(better), pa.array(np.full(len(ids), n)), *(pa.array(before[f]) for f in ["", *flags])], ["probe_id", "better", "n", "before", *(f"before_{f}" for f in flags)])
 
         found.append(rows.mapInArrow(count, schema))

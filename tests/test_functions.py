@@ -16,6 +16,7 @@ from provenant.operators import rates as A
 from provenant.operators import relational as R
 from provenant.operators import retrieval as S
 from provenant.operators import stats as P
+from provenant.plans import queries as Q
 
 
 def values(spark, rows, schema, column):
@@ -140,6 +141,48 @@ def test_retrieval_in_blocks_equals_one_pass(spark, monkeypatch):
     assert sorted((r.probe_id, r.rank, r.entry_index) for r in S.topk_blocked(entries, probes, 4).collect()) == whole
 
 
+def test_topk_in_cells(spark, monkeypatch):
+    """Tiles smaller than the tables, copies, ties, large and tiny vectors: the rows of a plain pass, and no product of rows in the plan."""
+    rng = np.random.default_rng(2)
+    for name, n in (("GROUP", 64), ("TILE", 32), ("PIECE", 8), ("PAIRS", 16)):
+        monkeypatch.setattr(S, name, n)
+    v = rng.normal(size=(400, 6)).round(1)
+    v[100:300] = v[7]
+    v[300:320] *= 1e200
+    v[320:340] *= 1e-200
+    q = np.concatenate([rng.normal(size=(20, 6)), v[5:9], np.zeros((1, 6))])
+    entries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "entry_index bigint, embedding array<double>").repartition(4)
+    probes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "probe_id bigint, probe array<double>")
+    out = S.topk_blocked(entries, probes, 5)
+    order = [sorted(range(400), key=lambda i: (-s[i], i))[:5] for s in (S._dots(np.repeat(x[None], 400, axis=0), v) for x in q)]
+    assert sorted((r.probe_id, r.rank, r.entry_index) for r in out.collect()) == [(p, n + 1, e) for p, o in enumerate(order) for n, e in enumerate(o)]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_target_ranks_in_tiles(spark, monkeypatch):
+    """Tiles smaller than the tables give the ranks of one pass, with a crowd of copies of a target."""
+    rng = np.random.default_rng(3)
+    for name, n in (("TILE", 16), ("PIECE", 4), ("PAIRS", 8)):
+        monkeypatch.setattr(S, name, n)
+    v = rng.normal(size=(90, 5))
+    v[40:80] = v[3]
+    entries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "entry_index bigint, embedding array<double>")
+    probes = spark.createDataFrame([(i, i * 3, x.tolist()) for i, x in enumerate(rng.normal(size=(14, 5)))], "probe_id bigint, target_index bigint, probe array<double>")
+    want = []
+    for r in probes.collect():
+        s = S._dots(np.repeat(np.array([r.probe]), 90, axis=0), v)
+        own = s[r.target_index]
+        want.append((r.probe_id, 1 + int((s > own).sum() + (s[: r.target_index] == own).sum()), 1 + int((s > own).sum()), 90))
+    assert sorted(map(tuple, S.target_ranks(entries, probes).collect())) == want
+
+
+def test_unit_vectors_compute_their_norm_once(spark):
+    """The norm stands outside the lambda over the components."""
+    plan = spark.range(1).select(V.l2_normalize(F.array(F.lit(3.0), F.col("id") + 4.0)).alias("u"))
+    assert plan.first().u == [0.6, 0.8]
+    assert plan._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1 and "/ greatest" not in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_relational(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (4,)], "i int")
     assert {(r.kind, r["index"]) for r in R.contiguity(rows, "i", 3).collect()} == {("duplicate", 1), ("missing", 2), ("extra", 4)}
