@@ -124,7 +124,7 @@ class Rounds:
                 state = tried.groupBy("anchor_id").agg(F.max("attempt").alias("last"), F.max(F.col("failed_gate").isNull()).alias("passed"), F.max(F.col("failed_gate") == "nothing_to_try").alias("over"))
                 left = anchors.join(state, "anchor_id", "left").where("last IS NULL OR NOT (passed OR coalesce(over, false) OR last >= %d)" % self.most)
                 left = left.select("anchor_id", "anchor_order", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("attempt"))
-                passed = anchors.join(state.where("passed"), "anchor_id", "left_semi")
+                passed = tried.where("failed_gate IS NULL").select(*first)  # an anchor passes once
                 # the quota-th that passed, if there are so many: only anchors before it can still change anything
                 best = passed.orderBy(*first).limit(self.quota)
                 found = best.agg(F.count("*").alias("n"), F.max(F.struct(*first)).alias("edge")).first()

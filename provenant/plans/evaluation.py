@@ -223,10 +223,17 @@ def balanced_target_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injection_of(spark: SparkSession, sf_dir: str, path: str) -> tuple[Rounds, DataFrame]:
     """Orders as anchors, whose lines in turn are what can be tried."""
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor_id"), F.row_number().over(own).alias("attempt"), "l_discount", "l_quantity", "l_tax")
+    li = table(spark, sf_dir, "lineitem")
+
+    def attempt(pending: DataFrame) -> DataFrame:
+        # a wave is a stretch of the orders: only their lines are read, shuffled and numbered
+        edge = pending.agg(F.min("anchor_id").alias("lo"), F.max("anchor_id").alias("hi")).first()
+        lines = li.where(F.col("l_orderkey").between(edge.lo, edge.hi)).select(F.col("l_orderkey").alias("anchor_id"), F.row_number().over(own).alias("attempt"), "l_discount", "l_quantity", "l_tax")
+        return pending.join(lines, ["anchor_id", "attempt"])
+
     anchors = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("anchor_id"), F.col("o_orderkey").alias("anchor_order"))
     gates = [("quality", F.col("l_discount") < 0.05), ("naturalness", F.col("l_quantity") < 30), ("readability", F.col("l_tax") < 0.06)]
-    return Rounds(path, lambda pending: pending.join(li, ["anchor_id", "attempt"]), gates, max(1, anchors.count() // 20), 3), anchors
+    return Rounds(path, attempt, gates, max(1, anchors.count() // 20), 3), anchors
 
 
 @query("""

@@ -380,3 +380,13 @@ def test_rounds_equal_one_pass_and_go_on_where_they_stopped(spark, tmp_path, quo
     rejected = again.rejected(spark)
     assert rejected.groupBy("anchor_id", "attempt").count().where("count > 1").isEmpty()
     assert {r.failed_gate for r in rejected.select("failed_gate").distinct().collect()} <= {"first", "second"}
+
+
+def test_injection_reads_a_wave_of_lines(spark, sf_dir, tmp_path):
+    """An attempt numbers the lines of its own stretch of the orders only."""
+    rounds, anchors = E.injection_of(spark, sf_dir, str(tmp_path / "rounds"))
+    wave = anchors.orderBy("anchor_id").limit(10).withColumn("attempt", F.lit(1))
+    rows = rounds.attempt(wave)
+    assert rows.count() == 10
+    last = max(r.anchor_id for r in wave.collect())
+    assert f"<= {last}" in rows._jdf.queryExecution().optimizedPlan().toString()
