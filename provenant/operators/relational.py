@@ -96,8 +96,10 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def overlapping(a: DataFrame, b: DataFrame, cell: int = 64, least: float = 0.0, box_a: str = "box_a", box_b: str = "box_b") -> DataFrame:
     """Pairs whose boxes intersect, with the share of ``box_a`` that is covered, above ``least``.
 
-    Each box is put into the grid cells it touches and the join is on the cell;
-    of the cells that both touch only the first one reports the pair.
+    Equal boxes collapse first. Each box is put into the grid cells it touches
+    and the join is on the cell; of the cells that both touch only the first one
+    reports the pair. The rows of the boxes that are left come back by their box,
+    so that copies cost no more than the pairs they make.
     """
 
     def cells(df: DataFrame, box: str, x: str, y: str) -> DataFrame:
@@ -105,10 +107,11 @@ def overlapping(a: DataFrame, b: DataFrame, cell: int = 64, least: float = 0.0,
         span = lambda lo, hi: F.sequence(F.floor(b[lo] / cell).cast("int"), F.floor(F.greatest(b[hi] - 1, b[lo]) / cell).cast("int"))
         return df.where(G.area(b) > 0).withColumn(x, F.explode(span("x1", "x2"))).withColumn(y, F.explode(span("y1", "y2")))
 
-    left, right = cells(a, box_a, "__x", "__y"), cells(b, box_b, "__x", "__y")
+    left, right = cells(a.select(box_a).distinct(), box_a, "__x", "__y"), cells(b.select(box_b).distinct(), box_b, "__x", "__y")
     first = lambda side, lo: F.floor(F.greatest(F.col(box_a)[lo], F.col(box_b)[lo]) / cell) == F.col(side)
     pairs = left.join(right, ["__x", "__y"]).where(first("__x", "x1") & first("__y", "y1")).drop("__x", "__y")
-    return pairs.withColumn("overlap", G.overlap_ratio(F.col(box_a), F.col(box_b))).where(F.col("overlap") > least)
+    pairs = pairs.withColumn("overlap", G.overlap_ratio(F.col(box_a), F.col(box_b))).where(F.col("overlap") > least)
+    return pairs.join(a, box_a).join(b, box_b).select(*a.columns, *b.columns, "overlap")
 
 
 def without_overlap(rows: DataFrame, zones: DataFrame, key: str, limit: float) -> DataFrame:
