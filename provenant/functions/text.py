@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from provenant.functions import vectors as V
+
 # Patterns, aliases and word lists that decide what counts as a hit.
 NEGATIONS = (
     r"\bnot\s+(?:visible|present|legible|readable|found|shown|seen|there)\b",
@@ -234,16 +236,28 @@ def forbidden_terms(color: Column, position: Column, signature: Column, object_c
     return F.array_distinct(F.filter(F.concat(F.array(*own), F.array(*map(F.lit, POSITION_PHRASES))), lambda t: t != ""))
 
 
+def _any_of(terms: Column) -> Column:
+    """One pattern of all terms as words; where there are none it matches nothing."""
+    return F.when(F.size(terms) > 0, F.concat(F.lit(r"\b(?:"), F.array_join(F.transform(terms, quoted), "|"), F.lit(r")\b"))).when(F.size(terms) == 0, "(?!)")
+
+
+def _leaks(query: Column, pattern: Column) -> Column:
+    return V.once(F.lower(clean(query)), lambda text: F.regexp(text, pattern) | text.rlike("|".join(EXPERIMENT_TERMS)))
+
+
 def query_leaks(query: Column, forbidden: Column) -> Column:
     """Whether a query names a forbidden term as a word, or speaks of the experiment."""
-    text = F.lower(clean(query))
-    return F.exists(forbidden, lambda t: F.regexp(text, F.concat(F.lit(r"\b"), quoted(t), F.lit(r"\b")))) | text.rlike("|".join(EXPERIMENT_TERMS))
+    return V.once(_any_of(forbidden), lambda pattern: _leaks(query, pattern))
 
 
 def accepted_queries(queries: Column, fallbacks: Column, forbidden: Column, n: int = 3, min_words: int = 18) -> Column:
     """The first ``n`` distinct clean queries of enough words that leak nothing, filled up from ``fallbacks``."""
-    own = F.filter(F.transform(queries, clean), lambda q: (q != "") & (F.size(F.split(q, r"\s+")) >= min_words) & ~query_leaks(q, forbidden))
-    return F.slice(F.array_distinct(F.concat(own, F.filter(fallbacks, lambda q: ~query_leaks(q, forbidden)))), 1, n)
+
+    def kept(pattern: Column) -> Column:
+        own = F.filter(F.transform(queries, clean), lambda q: (q != "") & (F.size(F.split(q, r"\s+")) >= min_words) & ~_leaks(q, pattern))
+        return F.slice(F.array_distinct(F.concat(own, F.filter(fallbacks, lambda q: ~_leaks(q, pattern)))), 1, n)
+
+    return V.once(_any_of(forbidden), kept)
 
 
 def strip_terms(text: Column, *terms: Column) -> Column:
@@ -264,17 +278,15 @@ def object_hint(object_class: Column) -> Column:
 
 def scene_queries(caption: Column, surface: Column, placement: Column, color: Column, object_class: Column) -> Column:
     """Three black-box audit queries that describe the scene and keep the hidden triple to themselves."""
-    text = lambda c, otherwise: F.when(c == "", otherwise).otherwise(c)
-    scene = text(clean(caption), "the target scene")
-    on = text(strip_terms(surface, color, object_class), "the relevant surface")
-    where = strip_terms(placement, color, object_class)
-    where = F.when(where == "", F.concat(F.lit("on or near "), on)).otherwise(where)
+    text = lambda c, otherwise: V.once(c, lambda x: F.when(x == "", otherwise).otherwise(x))
     # The wording of the three queries.
-    return F.array(
+    said = lambda scene, on, where: F.array(
         F.concat(F.lit("In the image described as "), scene, F.lit(", inspect "), where, F.lit(". What small standalone object is visible there? Describe its appearance and approximate location, or answer NONE.")),
         F.concat(F.lit("For the scene "), scene, F.lit(", focus on "), on, F.lit(". Identify any small newly salient physical item on that surface and describe its color, object type, and location.")),
         F.concat(F.lit("Using only the retrieved visual evidence for "), scene, F.lit(", look around "), where, F.lit(". Is there a "), object_hint(object_class), F.lit(" or other small object there? Describe it without guessing, or answer NONE.")),
     )
+    found = lambda scene, on: V.once(text(strip_terms(placement, color, object_class), F.concat(F.lit("on or near "), on)), lambda where: said(scene, on, where))
+    return V.once(text(clean(caption), "the target scene"), lambda scene: V.once(text(strip_terms(surface, color, object_class), "the relevant surface"), lambda on: found(scene, on)))
 
 
 # --- parsing ------------------------------------------------------------------------------------------------------------

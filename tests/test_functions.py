@@ -198,6 +198,25 @@ def test_unit_vectors_compute_their_norm_once(spark):
     assert plan._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1 and "/ greatest" not in plan._jdf.queryExecution().analyzed().toString()
 
 
+def test_forbidden_terms_are_one_pattern(spark):
+    """Each term as a word, none where there are none; a query's text stands outside the loop over the terms."""
+    rows = [("a teal bowl", ["teal", "x+y"]), ("tealish x+y.", ["teal"]), ("nothing", []), ("say x+yes", ["x+y", "bowl"]), (None, ["teal"]), ("teal", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, f array<string>").select("i", T.query_leaks(F.col("q"), F.col("f")).alias("l"))
+    assert [r.l for r in df.orderBy("i").collect()] == [True, False, False, False, False if rows[4][0] else df.where("i = 4").first().l, None]
+    assert "exists(" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_equal_boxes_meet_once(spark):
+    """Copies collapse before the join on cells, and all their pairs come back."""
+    box = "struct<x1:int,y1:int,x2:int,y2:int>"
+    a = spark.createDataFrame([(i, (0, 0, 100, 100)) for i in range(5)] + [(9, (90, 0, 190, 100))], f"a int, box_a {box}")
+    b = spark.createDataFrame([(i, (0, 0, 100, 60)) for i in range(4)], f"b int, box_b {box}")
+    out = R.overlapping(a, b, least=0.3)
+    assert out.columns == ["a", "box_a", "b", "box_b", "overlap"]
+    assert sorted((r.a, r.b, r.overlap) for r in out.collect()) == [(i, j, 0.6) for i in range(5) for j in range(4)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [box_") == 2
+
+
 def test_relational(spark):
     rows = spark.createDataFrame([(0,), (1,), (1,), (4,)], "i int")
     assert {(r.kind, r["index"]) for r in R.contiguity(rows, "i", 3).collect()} == {("duplicate", 1), ("missing", 2), ("extra", 4)}
