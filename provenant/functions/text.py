@@ -6,12 +6,15 @@ normalisation needs Python (Arrow batches), as Spark has no such function.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from provenant.functions import vectors as V
 
@@ -289,6 +292,21 @@ def scene_queries(caption: Column, surface: Column, placement: Column, color: Co
     return V.once(text(clean(caption), "the target scene"), lambda scene: V.once(text(strip_terms(surface, color, object_class), "the relevant surface"), lambda on: found(scene, on)))
 
 
+@F.arrow_udf(StructType([StructField("n", LongType()), StructField("bits", ArrayType(LongType()))]))
+def md5_bit_counts(text: pa.Array) -> pa.Array:
+    """How many words a text has, cut at each space, and in how many of them each of the first 64 bits of the MD5 is set."""
+    lists = pc.split_pattern(text, " ")
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    digests = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in coded.dictionary.to_pylist())
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    ends, word, counts = np.cumsum(sizes), coded.indices.to_numpy(), np.zeros((len(text), 64), np.int64)
+    for i in np.flatnonzero(sizes):
+        counts[i] = bits[word[ends[i] - sizes[i] : ends[i]]].sum(axis=0, dtype=np.int64)
+    offsets = pa.array(np.arange(len(text) + 1, dtype=np.int32) * 64)
+    return pa.StructArray.from_arrays([pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(counts.reshape(-1)))], ["n", "bits"])
+
+
 # --- parsing ------------------------------------------------------------------------------------------------------------
 
 

@@ -206,6 +206,17 @@ def test_forbidden_terms_are_one_pattern(spark):
     assert "exists(" not in df._jdf.queryExecution().analyzed().toString()
 
 
+def test_words_are_counted_without_being_exploded(spark, sf_dir):
+    """Bits of the words' MD5, repeats and empty words included, in one row a text."""
+    import hashlib
+
+    texts = ["a b a", "", " x ", "héllo  wörld"]
+    for r, text in zip(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select(T.md5_bit_counts("t").alias("w")).collect(), texts, strict=True):
+        words = [hashlib.md5(w.encode()).hexdigest()[:16] for w in text.split(" ")]
+        assert r.w.n == len(words) and r.w.bits == [sum(int(w, 16) >> (63 - j) & 1 for w in words) for j in range(64)]
+    assert "Generate" not in Q.document_hashes(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_equal_boxes_meet_once(spark):
     """Copies collapse before the join on cells, and all their pairs come back."""
     box = "struct<x1:int,y1:int,x2:int,y2:int>"
