@@ -301,6 +301,8 @@ def evaluate(entries: DataFrame, probes: DataFrame, variants: list[Variant], k:
     n = asked.count()
     blocks = max(1, -(-n // PROBES))
     read = entries.select(F.col("entry_index").cast("bigint").alias("entry_index"), *(F.col(c).cast("array<double>").alias(c) for c in vectors), *texts, *flags)
+    # what makes the entries runs once, not once a block, and all tasks share every pass
+    read = scratch(read.repartition(max(16, spark.sparkContext.defaultParallelism)))
     found = []
     for b in range(blocks):
         few = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("probe_id"), F.lit(blocks)) == b)
