@@ -27,9 +27,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import public_tokenizers
@@ -40,22 +40,78 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from provenant.llm.bpe import Splitter, byte_characters
-from provenant.llm.common import documents, materialise, shared_dir
+from provenant.llm.common import documents, shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
 PART = 1 << 22  # characters of texts encoded at once
 KNOWN = 640_000  # pre-tokens a worker remembers, about 150 bytes each
+KNOWN_CHARACTERS = 16 * KNOWN
+_BLANK = r"\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # all that any engine takes for one
+_ROUGH = rf"[{_BLANK}] (?:[{_BLANK}]|\z)"
+_WHOLE = rf"^ [^{_BLANK}](?:(?s:.)*[^{_BLANK}])?$"
+_LATIN = r"^ [!-~\x{a1}-\x{24f}](?:[\t-\r!-~\x{a0}-\x{24f}]*[!-~\x{a1}-\x{24f}])?$"
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 WINDOW, MASK, LEAST, MOST = 16, 255, 64, 2048  # ids: hashed together, cut on average at 1 in 256, least and most in a chunk
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, np.uint64)  # any fixed table does
 
 
+class Known:
+    """Pre-tokens met before and the ids of each."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.held = 0  # characters
+        self.starts, self.counts, self.met, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def trim(self) -> None:
+        """Once full, only what was met in two parts of the texts or more stays, or nothing if that is over half."""
+        if len(self.slots) <= KNOWN and self.held <= KNOWN_CHARACTERS:
+            return
+        stays = np.flatnonzero(self.met > 1)
+        # slots stand in the order of their numbers
+        names = list(compress(self.slots, (self.met > 1).tolist()))
+        held = sum(map(len, names))
+        if 2 * len(names) > KNOWN or 2 * held > KNOWN_CHARACTERS:
+            self.__init__()
+            return
+        self.ids, counts = self.of(stays)
+        self.slots, self.held = dict(zip(names, range(len(names)), strict=True)), held
+        self.starts, self.counts, self.met = np.cumsum(counts) - counts, counts, np.ones(len(names), np.int64)
+
+    def find(self, names: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where each of these distinct strings is held; ``learn`` gives the ids of all new ones, and how many each has."""
+        slot = np.array(list(map(self.slots.get, names, repeat(-1))), np.int64)
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
+            new = [names[i] for i in fresh.tolist()]
+            ids, counts = learn(new)
+            slot[fresh] = np.arange(len(self.starts), len(self.starts) + len(new))
+            self.slots.update(zip(new, slot[fresh].tolist(), strict=True))
+            self.held += sum(map(len, new))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+            self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, ids))
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int64)))
+        self.met[slot] += 1
+        return slot
+
+    def of(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids held at these places, one after another, and how many each has."""
+        counts = self.counts[slot]
+        return gather(self.ids, self.starts[slot], counts), counts
+
+
 class Encoder:
     """Ids by the tokenizers library's merge model, many texts at once.
 
-    The pre-tokens of all texts are dictionary-encoded; the model is called once
-    for each that is not known yet, and the ids of the texts are gathered.
+    Texts are cut at single spaces and the words between them dictionary-encoded,
+    without a Python object for each. Each different word is cut into pre-tokens;
+    the model is called once for each of these that is not known yet, and the ids
+    of the texts are gathered.
+
+    A cut before a space changes no match of the pattern unless the space stands
+    within blanks or ends them: every other match begins at that space or ends
+    before it. Texts with such a space are cut by the pattern alone.
     """
 
     def __init__(self, path: str = VOCABULARY):
@@ -66,51 +122,92 @@ class Encoder:
         self.specials = re.compile("|".join(map(re.escape, by_length))) if by_length else None
         self.size = whole.get_vocab_size(with_added_tokens=True)
         self.table = dict(byte_characters())
-        self._forget()
-
-    def _forget(self) -> None:
-        """Pre-tokens known: where their ids lie, and how many."""
-        self.slots: dict[str, int] = {}
-        self.starts, self.counts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.known = Known()
 
-    def _learn(self, pretokens: pa.Array) -> None:
-        """Append the ids of these pre-tokens, none of them known."""
+    def _merged(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by the model."""
+        pretokens = pa.array(names, pa.large_string())
         shown = pc.replace_substring(pretokens, " ", self.table[32])
         # all but the space and printable ASCII go byte by byte
         other = pc.match_substring_regex(pretokens, r"[^ -~]")
-        raw = [p.encode().decode("latin-1").translate(self.table) for p in strings(pretokens.filter(other))]
-        shown = strings(pc.replace_with_mask(shown, other, pa.array(raw, pa.large_string())))
+        rest = pretokens.filter(other)
+        raw, ends = "".join(strings(rest)).encode().decode("latin-1").translate(self.table), np.cumsum(pc.binary_length(rest).to_numpy()).tolist()
+        shown = strings(pc.replace_with_mask(shown, other, pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.large_string())))
         merge, flat, ends = self.model.tokenize, [], []
         for p in shown:
             flat += [t.id for t in merge(p)]
             ends.append(len(flat))
-        counts = np.diff(ends, prepend=0)
-        self.starts = np.concatenate((self.starts, len(self.ids) + np.array(ends) - counts))
-        self.counts, self.ids = np.concatenate((self.counts, counts)), np.concatenate((self.ids, np.array(flat, np.uint32)))
+        return np.array(flat, np.uint32), np.diff(ends, prepend=0)
 
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts without special tokens."""
-        if len(self.starts) > KNOWN:
-            self._forget()
+    def _of_pretokens(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in their order, and how many each has."""
+        coded = pc.dictionary_encode(pa.array(found, pa.large_string()))
+        slot = self.known.find(strings(coded.dictionary), self._merged)
+        return self.known.of(slot[coded.indices.to_numpy()])
+
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of text, each cut by the pattern alone, and how many each has."""
         found: list[str] = []
         edges = [0]
-        for text in texts:
-            found += self.split(text)
+        for piece in pieces:
+            found += self.split(piece)
             edges.append(len(found))
-        coded = pc.dictionary_encode(pa.array(found, pa.large_string()))
-        del found
-        names, at = strings(coded.dictionary), coded.indices.to_numpy()
-        known = self.slots.get
-        slot = np.array([known(p, -1) for p in names], np.int64)
-        fresh = np.flatnonzero(slot < 0)
-        if len(fresh):
-            slot[fresh] = np.arange(len(self.starts), len(self.starts) + len(fresh))
-            self._learn(coded.dictionary.take(pa.array(fresh)))
-            self.slots.update(zip([names[i] for i in fresh.tolist()], slot[fresh].tolist(), strict=True))
-        slot = slot[at]
-        counts = self.counts[slot]
-        ids = gather(self.ids, self.starts[slot], counts)
-        ends = np.concatenate(([0], np.cumsum(counts)))[edges]
+        ids, counts = self._of_pretokens(found)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[edges])
+
+    def _of_words(self, words: pa.Array, spaced: int) -> pa.Array:
+        """The ids of each word, as lists; the first ``spaced`` begin with a space.
+
+        Words that neither begin nor end with a blank after it are joined and cut as one text.
+        """
+        names, place = strings(words), pa.array(np.arange(len(words)) < spaced)
+        kinds = np.where(pc.and_(place, pc.match_substring_regex(words, _LATIN)).to_numpy(zero_copy_only=False), 0, 2)
+        other = np.flatnonzero(kinds)
+        whole = pc.and_(place.take(pa.array(other)), pc.match_substring_regex(words.take(pa.array(other)), _WHOLE))
+        kinds[other[whole.to_numpy(zero_copy_only=False)]] = 1
+        found: list[str] = []
+        begins = []
+        for kind, cut in ((0, self.split.latin), (1, self.split.full)):
+            got = cut("".join(compress(names, (kinds == kind).tolist())))
+            # a pre-token with a space begins a word
+            begins.append(len(found) + np.flatnonzero(pc.starts_with(pa.array(got, pa.large_string()), " ").to_numpy(zero_copy_only=False)))
+            found += got
+        own = []
+        for name in compress(names, (kinds == 2).tolist()):
+            own.append(len(found))
+            found += self.split(name)
+        ids, counts = self._of_pretokens(found)
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate((*begins, np.array(own, np.int64), [len(found)]))]
+        held = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids))
+        back = np.empty(len(names), np.int64)
+        back[np.argsort(kinds, kind="stable")] = np.arange(len(names))
+        return held.take(pa.array(back))
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens."""
+        if not texts:
+            return []
+        self.known.trim()
+        whole = pa.array(texts, pa.large_string())
+        rough = pc.match_substring_regex(whole, _ROUGH)
+        if pc.any(rough).as_py():
+            at = rough.to_numpy(zero_copy_only=False)
+            ids, counts = self._of_pieces(strings(whole.filter(rough)))
+            ends = np.cumsum(counts)
+            pieces = iter([ids[a:b] for a, b in zip(ends - counts, ends, strict=True)])
+            others = iter(self.plain(strings(whole.filter(pc.invert(rough)))))
+            return [next(pieces if r else others) for r in at.tolist()]
+        cut = pc.split_pattern(whole, " ")
+        edges = cut.offsets.to_numpy()
+        coded = pc.dictionary_encode(cut.values)
+        # the first word of a text has no space before it
+        first = pc.dictionary_encode(cut.values.take(pa.array(edges[:-1])))
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string()))
+        at = coded.indices.to_numpy().copy()
+        at[edges[:-1]] = len(spaced) + first.indices.to_numpy()
+        del cut, coded
+        got = self._of_words(pa.concat_arrays([spaced, first.dictionary]), len(spaced)).take(pa.array(at))
+        ids, ends = got.values.to_numpy(), got.offsets.to_numpy()[edges]
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _segments(self, text: str) -> list[str | int]:
@@ -247,13 +344,20 @@ class MerkleStream:
 # --- writing --------------------------------------------------------------------------------------------------------
 
 
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, set[bytes]]]:
+    """Slices of ``PART`` bytes of texts, so that little more is held at once, and what a whole batch has seen."""
+    for batch in batches:
+        seen: set[bytes] = set()
+        for a, b in parts_of(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), PART):
+            yield batch.slice(a, b - a), seen
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         tail, kind = np.array([end], np.uint32), "<u2" if encoder.size <= 1 << 16 else "<u4"
         item = int(kind[-1])
-        for batch in batches:
-            seen: set[bytes] = set()
+        for batch, seen in _texts_of(batches):
             kept, roots, sizes, counts, fresh_counts, payloads, fresh = [], [], [], [], [], [], []
             streams = [np.concatenate((ids, tail)) for ids in encoder.streams(strings(batch.column(1)))]
             for ids, cuts in zip(streams, cut_points(streams), strict=True):
@@ -316,15 +420,21 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
     return recipes.select("part", "seq", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "seq").mapInArrow(_manifest, _MANIFEST)
 
 
+#: Chunks are all different: no dictionary of them is tried.
+_PACKED = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+
+
 def write_store(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, end: int = END) -> None:
     """Encode all documents, append ``end`` to each, and write the store's three tables under ``path``."""
     schema = "doc_id bigint, n_tokens bigint, hashes array<binary>, root binary, fresh array<struct<hash:binary,payload:binary>>"
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(vocabulary, end), schema)
-    staged = materialise(rows, "tokenstore-staged", compression="zstd")
+    staged = shared_dir(docs.sparkSession, "tokenstore-staged")
+    rows.write.options(**_PACKED).parquet(staged)
+    staged = docs.sparkSession.read.schema(rows.schema).parquet(staged)
     # a batch names a chunk once, so little meets before the shuffle: one sort after it, and the first of each hash stays
     again = F.lag(F.lit(True)).over(Window.partitionBy("hash").orderBy("hash"))
     chunks = staged.select(F.inline("fresh")).withColumn("again", again).where("again IS NULL").drop("again")
-    chunks.write.parquet(f"{path}/chunks", compression="zstd")
+    chunks.write.options(**_PACKED).parquet(f"{path}/chunks")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = staged.drop("fresh").repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     numbered = ordered.mapInArrow(_number, "seq bigint, doc_id bigint, n_tokens bigint, local_start bigint, hashes array<binary>, root binary")

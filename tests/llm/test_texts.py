@@ -392,6 +392,29 @@ def test_encoder_equals_the_library(texts, library):
         assert np.concatenate(encoder.plain(tokenstore.slices(t, 100))).tolist() == ids
 
 
+def test_encoder_cuts_each_word_once(library, monkeypatch):
+    """The pattern sees different words, not all text; blanks of every kind; what is met again outlives the bound of what is known."""
+    encoder, seen = tokenstore.Encoder(), []
+    for name in ("latin", "full"):
+        monkeypatch.setattr(encoder.split, name, lambda t, cut=getattr(encoder.split, name): (seen.append(len(t)), cut(t))[1])
+    every = ["some words, again and\nagain " * 1000, "and\u4e00 \u00e9t\u00e9 " * 1000 + "end"]
+    assert [x.tolist() for x in encoder.streams(every)] == [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    assert sum(seen) < 500
+    rng = random.Random(6)
+    parts = [" ", " ", "  ", "   ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'s", "a", "\u00e9", "\u4e00", "12", "!", "word", "\x00", "<|endoftext|>"]
+    every = ["".join(rng.choices(parts, k=rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(3000)]
+    expected = [e.ids for e in library.encode_batch(every, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.streams(every)] == expected
+    monkeypatch.setattr(tokenstore, "KNOWN", 300)
+    encoder = tokenstore.Encoder()
+    common = " ".join(f"w{chr(97 + i)}" for i in range(26))
+    for start in range(0, 1000, 100):
+        text = common + " " + " ".join(f"x{chr(97 + i % 26)}y{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(start, start + 100))
+        assert encoder.plain([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known.slots) <= 300 + 126
+    assert encoder.known.met[encoder.known.slots[" wb"]] > 0
+
+
 def test_token_store(spark, sf_dir, texts, library):
     rows = tokenstore.op10_token_store(spark, sf_dir).orderBy("doc_id").collect()
     assert [tuple(r) for r in rows] == expected_store(library, sorted(texts.items()))
