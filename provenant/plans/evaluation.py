@@ -128,12 +128,15 @@ def variant_evaluation_of(spark: SparkSession, sf_dir: str) -> Evaluation:
     # of the entries with one hash the record's own stays, or the first
     sides = F.transform(F.slice("clip", 1, 12), lambda x: x > 0)
     first = e.groupBy(sides.alias("hash")).agg(F.min(F.struct(F.col("entry_index") % 50 != 0, "entry_index"))["entry_index"].alias("first"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_index"), T.tokens(F.col("text")).alias("ocr"))
-    turns = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("entry_index"), F.col("text").alias("said"))
+    # only texts that a vector can meet are moved and cut into words
+    ends = e.agg(F.min("entry_index"), F.max("entry_index")).first()
+    texts = table(spark, sf_dir, "documents").where(F.col("doc_id").between(*ends)).select(F.col("doc_id").alias("entry_index"), F.col("text").alias("seen"))
+    turns = table(spark, sf_dir, "conversations").where("turn = 0").where(F.col("conv_id").between(*ends)).select(F.col("conv_id").alias("entry_index"), F.col("text").alias("said"))
     marks = records.select("entry_index", F.concat(F.lit("provenance canary "), "mark").alias("note"))
     entries = e.withColumn("hash", sides).join(first, "hash").withColumn("unique", F.col("first") == F.col("entry_index")).drop("hash", "first")
     entries = entries.join(texts, "entry_index", "left").join(turns, "entry_index", "left").join(marks, "entry_index", "left")
-    entries = entries.withColumn("caption", T.tokens(F.col("said"))).withColumn("sidecar", T.tokens(F.concat_ws(" ", "said", "note")))
+    # a note behind a blank adds its own words to those before it
+    entries = entries.withColumn("ocr", T.tokens(F.col("seen"))).withColumn("caption", T.tokens(F.col("said"))).withColumn("sidecar", F.concat("caption", T.tokens(F.col("note"))))
     return evaluate(entries, probes, VARIANTS, 10)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.functions.responses import Field, compared, typed
-from provenant.operators import graphindex, rates, relational, retrieval, selection, stats
+from provenant.operators import graphindex, rates, relational, retrieval, selection, stats, variants
 from provenant.operators.assignment import Rounds, balanced_queue
 from provenant.operators.variants import Variant, evaluate
 from provenant.plans import evaluation as E
@@ -304,6 +304,31 @@ def test_variants_equal_plain_scores_from_one_scan(spark, tmp_path, flat):
     assert all(r.direct_rate == 1 and r.effective_rate == pytest.approx(summary[r.variant].recall_at_3) for r in got.effective(direct).collect())
 
 
+def test_equal_entries_of_any_tile_tie_and_probes_share_a_pass(spark, monkeypatch):
+    """Copies of vectors score the same wherever they stand, and 2,100 probes of one question are one block of each pass."""
+    rng = np.random.default_rng(8)
+    vectors, probes = rng.normal(size=(30, 61)), rng.normal(size=(2100, 61))
+    entries = spark.createDataFrame([(i, vectors[i * 7 % 30].tolist(), ["w1"] * (1 + i % 3), i % 2 == 0) for i in range(3000)], "entry_index bigint, v array<double>, t array<string>, even boolean")
+    asked = spark.createDataFrame([(p, p % 3000, ["w1"], None, probes[p].tolist()) for p in range(2100)], "probe_id bigint, target_index bigint, query_tokens array<string>, mark string, v array<double>")
+    sent = []
+    own = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(self, value))
+    top = evaluate(entries, asked, [Variant("v", visual="v"), Variant("even", visual="v", kept="even"), Variant("pool", visual="v", text="t", pool=150), Variant("t", text="t")], 10).top
+    assert len(sent) == 2
+    got = {}
+    for r in top.orderBy("rank").collect():
+        got.setdefault((r.variant, r.probe_id), []).append(r.entry_index)
+    place = np.arange(3000) * 7 % 30
+    for p in range(2100):
+        score = (vectors * probes[p]).sum(axis=1)[place]
+        order = np.lexsort((np.arange(3000), -score))
+        assert got["v", p] == order[:10].tolist()
+        assert got["even", p] == order[order % 2 == 0][:10].tolist()
+        pool = order[:150]
+        assert got["pool", p] == pool[np.argsort(-1 / np.sqrt(1 + pool % 3), kind="stable")][:10].tolist()
+        assert got["t", p] == list(range(0, 30, 3))
+
+
 def test_variants_need_names_and_columns(spark):
     for bad in (dict(name="x"), dict(name="x", visual="a", weight=-1.0), dict(name="x", visual="a", pool=3)):
         with pytest.raises(ValueError):
