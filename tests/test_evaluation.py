@@ -329,6 +329,28 @@ def test_equal_entries_of_any_tile_tie_and_probes_share_a_pass(spark, monkeypatc
         assert got["t", p] == list(range(0, 30, 3))
 
 
+def test_fused_means_and_spreads_travel_as_one_row_a_task(spark, monkeypatch):
+    """They are kept a question and a vector column, not a probe, whatever the vectors' offset."""
+    rng = np.random.default_rng(9)
+    vectors, probes, words = rng.normal(size=(900, 5)) + 40, rng.normal(size=(300, 5)) + 2, rng.integers(0, 4, 900)
+    entries = spark.createDataFrame([(i, vectors[i].tolist(), ["w"] * int(words[i] > 0) + ["x"] * int(words[i])) for i in range(900)], "entry_index bigint, v array<double>, t array<string>").repartition(3)
+    asked = spark.createDataFrame([(p, p, ["w", "x"][: 1 + p % 2], None, probes[p].tolist()) for p in range(300)], "probe_id bigint, target_index bigint, query_tokens array<string>, mark string, v array<double>")
+    sent, own = [], variants.scratch
+    monkeypatch.setattr(variants, "scratch", lambda df, *name: sent.append(own(df, *name)) or sent[-1])
+    got = evaluate(entries, asked, [Variant("fused", visual="v", text="t")], 5)
+    assert max(df.where("kind <> 'top'").count() for df in sent if "kind" in df.columns) <= 2 * 8
+    top = {}
+    for r in got.top.orderBy("rank").collect():
+        top.setdefault(r.probe_id, []).append((r.entry_index, r.score))
+    for p in range(300):
+        a = vectors @ probes[p]
+        b = np.where(words > 0, (1 + p % 2) / np.sqrt(1 + words), 0)
+        score = (a - a.mean()) / a.std() + 0.35 * (b - b.mean()) / b.std()
+        order = np.argsort(-score)[:5]
+        assert [e for e, _ in top[p]] == order.tolist() and np.allclose([s for _, s in top[p]], score[order])
+    assert {(r.num_queries, r.index_size) for r in got.summary().collect()} == {(300, 900)}
+
+
 def test_variants_need_names_and_columns(spark):
     for bad in (dict(name="x"), dict(name="x", visual="a", weight=-1.0), dict(name="x", visual="a", pool=3)):
         with pytest.raises(ValueError):
