@@ -30,6 +30,7 @@ whose vector is not finite has no candidates by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -37,7 +38,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenant.operators.relational import renumbered, scratch
@@ -459,6 +460,19 @@ def _rank(variants: tuple[Variant, ...], lists: list[tuple[tuple, int, list[Meas
     return run
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of one tile's rows, as long texts make large buffers on both sides of a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TILE:
+        spark.conf.set(name, str(TILE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Evaluation:
     """``top(variant, probe_id, entry_index, score, rank)``, ``ranks(variant, probe_id, target_index, record, target_rank, retained)`` and ``sizes(variant, index_size)``."""
 
@@ -517,7 +531,8 @@ def evaluate(entries: DataFrame, probes: DataFrame, variants: list[Variant], k:
     for b in range(blocks):
         block = Questions(questions.where((F.col("question") >= b * QUESTIONS) & (F.col("question") < (b + 1) * QUESTIONS)).orderBy("question").toArrow())  # at most QUESTIONS rows
         shared.append(block)
-        got = scratch(first.mapInArrow(_count(spark.sparkContext.broadcast(block), variants, k, {} if b else widths), _COUNTED))
+        with _small_batches(spark):
+            got = scratch(first.mapInArrow(_count(spark.sparkContext.broadcast(block), variants, k, {} if b else widths), _COUNTED))
         counted.append(got.where("kind = 'top'"))
         # one row a task and measure
         for r in got.where("kind <> 'top'").toArrow().to_pylist():
@@ -543,7 +558,8 @@ def evaluate(entries: DataFrame, probes: DataFrame, variants: list[Variant], k:
     if found:
         met = reduce(DataFrame.unionAll, found).repartition("probe_id").sortWithinPartitions("probe_id")
         top.append(met.mapInArrow(_rank(variants, lists, k), _TOP))
-    top = scratch(reduce(DataFrame.unionAll, top))
+    with _small_batches(spark):
+        top = scratch(reduce(DataFrame.unionAll, top))
     names = spark.createDataFrame([(v.name, v.kept) for v in variants], "variant string, kept string")
     count = read.agg(F.count("*").alias("all"), *(F.count_if(F.col(f)).alias(f"n_{f}") for f in flags)).first()
     sizes = spark.createDataFrame([(v.name, count[f"n_{v.kept}"] if v.kept else count["all"]) for v in variants], "variant string, index_size bigint")
